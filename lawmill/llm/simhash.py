@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lawmill.llm.components import connected_components
 from lawmill.session import materialise
@@ -53,7 +54,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     """The fingerprint as a signed long."""
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
