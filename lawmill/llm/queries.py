@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import chat, licenses, linededup, secret_scan, simhash
+from lawmill.llm import chat, decontam, licenses, linededup, secret_scan, simhash, spm, tiff, toxicity, urlrules
 from lawmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "toxicity.severity", "toxicity.grade", (F.col("toxicity.toxic_probability") >= 0.5).alias("toxic"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that overlap."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("contamination").alias("c")).select("doc_id", "c.*")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels name pages by id: a page is bad where its label's quality is 0."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    rules = urlrules.mine_rules(pages.join(labels, "page_id").select("url", "bad"))
+    return urlrules.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined_confidence")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -136,6 +157,48 @@ FROM marked GROUP BY doc_id, rn
 """
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, and whether they decode to its text."""
+    vocabulary = spm.load_vocabulary()
+    encoded = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    read = spm.decode(encoded, vocabulary)
+    return read.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"), "ids"
+    )
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), "text")
+    stored = docs.withColumn("media", tiff.text_to_tiff(F.col("text"))).drop("text")
+    read = stored.withColumn("read", tiff.tiff_pages(F.col("media")))
+    payload = read.withColumn("payload", tiff.joined_pixels(F.col("read.pages")))
+    pages = F.col("read.pages")
+    first = F.get(pages, 0)
+    samples = F.octet_length("payload")
+    mean = F.aggregate(pages, F.lit(0).cast("long"), lambda acc, p: acc + p["sample_sum"]) / samples
+    squares = F.aggregate(pages, F.lit(0).cast("long"), lambda acc, p: acc + p["sample_squares"])
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("pages="), F.size(pages)),
+        F.concat(F.lit("rows="), F.aggregate(pages, F.lit(0), lambda acc, p: acc + p["height"])),
+        F.concat(F.lit("width="), first["width"]),
+        F.concat(F.lit("compression="), first["compression"]),
+        F.concat(F.lit("predictor="), first["predictor"]),
+        F.concat(F.lit("mean="), F.format_number(mean, 6)),
+        F.concat(F.lit("deviation="), F.format_number(F.sqrt(F.greatest(squares / samples - mean * mean, F.lit(0.0))), 6)),
+    )
+    return payload.select(
+        "doc_id",
+        F.col("n_bytes").cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substr(F.col("payload"), F.octet_length("payload") - 63)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -148,10 +211,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_decontamination": op2_decontamination,
+        "op3_url_rules": op3_url_rules,
         "op4_simhash": op4_simhash,
         "op5_chat": op5_chat,
         "op6_secret_scan": op6_secret_scan,
         "op7_line_dedup": op7_line_dedup,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_tiff": op9_tiff,
         "op10_licenses": op10_licenses,
     }
 
