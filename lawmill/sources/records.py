@@ -14,19 +14,18 @@ from lawmill import schemas
 from lawmill.functions.keys import path_info, session_of
 from lawmill.functions.times import log_timestamp
 
-PATH = F.col
-
-
 def _json(spark: SparkSession, root: str, schema: str, pattern: str) -> DataFrame:
-    reader = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
-    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", True).json(root).withColumn("path", F.col("_metadata.file_path"))
+    """Whole files read with an explicit schema, plus ``path``; files that aren't JSON are left out."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    named = files.select("value", F.col("_metadata.file_path").alias("path")).filter(F.try_parse_json("value").isNotNull())
+    return named.select(F.from_json("value", schema).alias("o"), "path").select("o.*", "path")
 
 
 def read_bills(spark: SparkSession, root: str) -> DataFrame:
     """Every ``bills/*/metadata.json`` with its path keys; unreadable files are skipped."""
-    rows = _json(spark, root, schemas.BILL, "metadata.json").filter(F.col("_corrupt").isNull() & F.col("path").contains("/bills/"))
+    rows = _json(spark, root, schemas.BILL, "metadata.json").filter(F.col("path").contains("/bills/"))
     info = path_info(F.col("path"))
-    return rows.drop("_corrupt").withColumns(
+    return rows.withColumns(
         {"country": info["country"], "state": info["state"], "session_id": session_of(F.col("legislative_session"), F.col("path")), "bill_id": info["bill_id"]}
     )
 
@@ -34,12 +33,12 @@ def read_bills(spark: SparkSession, root: str) -> DataFrame:
 def read_logs(spark: SparkSession, root: str, repos=None) -> DataFrame:
     """JSON files under country / state / sessions / logs, with path keys, stamp and the bill that the log names."""
     rows = _json(spark, root, schemas.LOG, "*.json").filter(
-        F.col("_corrupt").isNull() & F.col("path").rlike(r"country:[^/]+/state:[^/]+/sessions/[^/]+/.*logs/[^/]+\.json$")
+        F.col("path").rlike(r"country:[^/]+/state:[^/]+/sessions/[^/]+/.*logs/[^/]+\.json$")
     )
     if repos is not None:
         rows = rows.filter(F.regexp_extract("path", r"/([^/]+-legislation)/", 1).isin(list(repos)))
     info = path_info(F.col("path"))
-    log = F.struct(*(c for c in rows.columns if c not in ("_corrupt", "path")))
+    log = F.struct(*(c for c in rows.columns if c != "path"))
     return rows.select(
         info["country"].alias("country"), info["state"].alias("state"), info["session_id"].alias("session_id"),
         F.coalesce("bill_id", "bill_identifier", info["bill_id"]).alias("bill_id"), log.alias("log"),
@@ -82,7 +81,7 @@ def typed_objects(objects: DataFrame, kind: str) -> DataFrame:
 def read_any_layout(spark: SparkSession, root: str) -> DataFrame:
     """Bills as ``metadata.json`` or ``bill_*.json`` at any depth outside .git."""
     parts = [_json(spark, root, schemas.BILL, p) for p in ("metadata.json", "bill_*.json")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).filter(F.col("_corrupt").isNull() & ~F.col("path").contains("/.git/")).drop("_corrupt")
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).filter(~F.col("path").contains("/.git/"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, on_bad: str = "skip", stream: bool = False) -> DataFrame:
