@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawmill.llm import decontam, linededup, simhash, spm, toxicity
+from lawmill.llm.rows import pack, unpack
 from lawmill.session import checkpoint_dir
 from lawmill.sources.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.filter(F.col("toxicity.toxic_probability") < 0.5).select(*docs.columns)
+    scored = toxicity.score(pack(docs, "text"), model)
+    return unpack(scored.filter(F.col("toxicity.toxic_probability") < 0.5), docs.columns, "text")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("contamination") == 0).select(*docs.columns)
+    found = decontam.find_contamination(pack(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return unpack(found.filter(F.size("contamination") == 0), docs.columns, "text")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

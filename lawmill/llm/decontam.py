@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lawmill.llm.rows import pack, unpack
+
 #: Window masks: 1 counts, 0 is ignored. Fixed values of the method.
 MASKS = ("1101100101011", "1110010110011", "1011010011101", "1100111010110001")
 MIN_OVERLAP = 13
@@ -146,8 +148,10 @@ def _blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[tuple[list[int]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``docs`` plus ``contamination``: array of (item_id, start, length, matched), empty for a clean document."""
-    out, columns = docs, []
+    """``docs`` plus ``contamination``: array of (item_id, start, length, matched), empty for a clean document.
+
+    A column of that name is replaced."""
+    out, columns = pack(docs, "text"), []
     context = docs.sparkSession.sparkContext
     for number, (ids, texts) in enumerate(_blocks(benchmark, block_tokens)):
         shared = context.broadcast((ids, texts))
@@ -162,4 +166,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_tokens: int
         out = out.withColumn(columns[-1], overlaps(F.col("text")))
     if not columns:
         return docs.withColumn("contamination", F.array().cast(FOUND))
-    return out.withColumn("contamination", F.concat(*columns)).drop(*columns)
+    return unpack(out, docs.columns, "text", contamination=F.concat(*columns))

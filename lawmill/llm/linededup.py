@@ -20,6 +20,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawmill.llm.rows import pack, unpack
+
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -48,7 +50,7 @@ def _key_hash(min_chars: int):
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with ``_lines`` (array before dropping) and ``_kept`` (array of the lines that stay)."""
+    """``docs`` (doc_id, text and columns of other names) with ``_lines`` (array before dropping) and ``_kept`` (array of the lines that stay)."""
     key = _key_hash(min_chars)
     found = docs.select(
         F.col("doc_id").alias("_doc"),
@@ -77,9 +79,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text`` and ``n_chars`` brought up to date."""
-    done = drop_repeated_lines(docs, min_chars, min_docs)
-    text = F.when(F.size("_lines") == F.size("_kept"), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    done = done.withColumn("text", text)
+    done = drop_repeated_lines(pack(docs, "doc_id", "text"), min_chars, min_docs)
+    changed = F.size("_lines") != F.size("_kept")
+    new = {"text": F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(changed, F.char_length(new["text"]).cast(kind)).otherwise(F.col("_rest.n_chars"))
+    return unpack(done, docs.columns, "doc_id", "text", **new)

@@ -313,10 +313,12 @@ def tiff_pages(files: pd.Series) -> pd.DataFrame:
 def explode_pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row per page: the columns of ``media`` without the bytes, then the page's fields and error.
 
-    Files without a page keep one row with null page fields."""
-    read = media.withColumn("_read", tiff_pages(F.col(column))).drop(column)
-    out = read.select("*", F.col("_read.error").alias("error"), F.explode_outer("_read.pages").alias("_page"))
-    return out.select(*(c for c in out.columns if not c.startswith("_")), "_page.*")
+    Files without a page keep one row with null page fields. Columns named like a page field are replaced."""
+    fields = PAGES["pages"].dataType.elementType.fieldNames()
+    kept = [c for c in media.columns if c != column and c not in fields and c != "error"]
+    read = media.select(*(F.col(f"`{c}`") for c in kept), tiff_pages(F.col(column)).alias("#read"))
+    out = read.select(*(F.col(f"`{c}`") for c in kept), F.col("`#read`.error").alias("error"), F.explode_outer("`#read`.pages").alias("#page"))
+    return out.select(*(F.col(f"`{c}`") for c in kept), "error", *(F.col(f"`#page`.{f}").alias(f) for f in fields))
 
 
 def joined_pixels(pages: Column) -> Column:
