@@ -6,7 +6,7 @@ import subprocess
 import sys
 
 import __spark_entry__ as entry
-from conftest import ROOT
+from helpers import ROOT
 
 
 def test_entry_runs(spark):

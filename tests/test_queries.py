@@ -1,5 +1,5 @@
 import pytest
-from conftest import same_rows
+from helpers import same_rows
 
 from lawmill import registry
 
