@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,30 @@ def prune_rows(df: DataFrame) -> DataFrame:
     return df.select(*(prune(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
+def _pruned(value):
+    """Plain data without null, "", [] and {} at any depth; None if nothing is left."""
+    if isinstance(value, dict):
+        kept = {k: p for k, v in value.items() if (p := _pruned(v)) is not None}
+        return kept or None
+    if isinstance(value, list):
+        return [p for v in value if (p := _pruned(v)) is not None] or None
+    return None if value is None or value == "" else value
+
+
+@F.pandas_udf(T.StringType())
+def prune_json(texts: pd.Series) -> pd.Series:
+    """The same for JSON text of any shape; null for text that isn't JSON or holds nothing."""
+
+    def one(text):
+        try:
+            kept = _pruned(json.loads(text))
+        except (TypeError, ValueError):
+            return None
+        return None if kept is None else json.dumps(kept, ensure_ascii=False, separators=(",", ":"))
+
+    return texts.map(one)
+
+
 def drop_keys(column: Column, kind: T.DataType, names=("_id", "scraped_at")) -> Column:
     """A typed value without the named fields at any depth."""
     if isinstance(kind, T.ArrayType):

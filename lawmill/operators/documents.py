@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lawmill.functions.text import html_placeholder, html_text
 
@@ -27,6 +31,43 @@ def candidates(links: DataFrame, keys=("bill_id", "note")) -> DataFrame:
     return first.select(*keys, "preference", "link.*").withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("preference")))
 
 
+class _Text(HTMLParser):
+    """Collects text outside script and style, and the title."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.title, self.skip, self.in_title = [], [], 0, False
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        self.in_title = tag == "title"
+
+    def handle_endtag(self, tag):
+        self.skip = max(0, self.skip - (tag in ("script", "style")))
+        self.in_title = False
+
+    def handle_data(self, data):
+        if not self.skip:
+            (self.title if self.in_title else self.parts).append(data)
+
+
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
+def parse_html(pages: pd.Series) -> pd.DataFrame:
+    """Title and text by a parser, for pages where patterns are not enough; null for null."""
+    titles, texts = [], []
+    for page in pages:
+        if page is None:
+            titles.append(None)
+            texts.append(None)
+            continue
+        reader = _Text()
+        reader.feed(page)
+        reader.close()
+        titles.append(" ".join("".join(reader.title).split()) or None)
+        texts.append(" ".join(" ".join(reader.parts).split()))
+    return pd.DataFrame({"title": titles, "text": texts})
+
+
 def xml_parts(xml: Column) -> Column:
     """Title, official title, section headings and text of a bill in XML; malformed input gives nulls."""
     sound = F.when(xml.rlike(r"(?s)^\s*<.*>\s*$"), xml)

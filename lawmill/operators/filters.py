@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lawmill.session import small
+
 
 def has_tags(tags: Column, names: Sequence[str] = ()) -> Column:
     """The tag map has an entry and, if names are given, one of them."""
@@ -25,18 +27,21 @@ def require(df: DataFrame, fields: Sequence[str], category: str) -> tuple[DataFr
 
 def session_gate(df: DataFrame, sessions: DataFrame, keys: Sequence[str] = ("state", "session_id"), broadcast_rows: int = 100_000) -> DataFrame:
     """``df`` with ``gate``: ok, missing_session, unknown_session. Sessions are a dimension; the hint is given under a counted size."""
-    known = sessions.select(*keys).distinct().withColumn("_known", F.lit(True))
-    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        known = F.broadcast(known)
+    known = small(sessions.select(*keys).distinct().withColumn("_known", F.lit(True)), broadcast_rows)
     gated = df.join(known, list(keys), "left")
     gate = F.when(F.coalesce(F.col(keys[-1]).cast("string"), F.lit("")) == "", "missing_session").when(F.col("_known").isNull(), "unknown_session").otherwise("ok")
     return gated.withColumn("gate", gate).drop("_known")
 
 
-def newer_than(df: DataFrame, cursors: DataFrame, category: str, ts: str) -> DataFrame:
-    """Rows strictly after their category's cursor; without a cursor all rows with a time pass."""
-    out = df.join(F.broadcast(cursors.select(F.col("category").alias(category), F.col("cursor").alias("_cursor"))), category, "left")
-    return out.filter(F.col(ts) > F.coalesce(F.col("_cursor"), F.lit("1900-01-01").cast("timestamp_ntz"))).drop("_cursor")
+def newer_than(df: DataFrame, cursors: DataFrame, category: str, ts: str, observation: Observation | None = None) -> DataFrame:
+    """Rows strictly after their category's cursor; without a cursor all rows with a time pass.
+
+    An observation counts all ``rows`` and the ``dropped`` ones as the result is computed."""
+    out = df.join(cursors.select(F.col("category").alias(category), F.col("cursor").alias("_cursor")), category, "left")
+    fresh = F.coalesce(F.col(ts) > F.coalesce(F.col("_cursor"), F.lit("1900-01-01").cast("timestamp_ntz")), F.lit(False))
+    if observation is not None:
+        out = out.observe(observation, F.count(F.lit(1)).alias("rows"), F.count_if(~fresh).alias("dropped"))
+    return out.filter(fresh).drop("_cursor")
 
 
 def changed_by_count(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], actions: str = "actions") -> DataFrame:
@@ -89,6 +94,13 @@ def slice_rows(df: DataFrame, state=None, session=None, chamber=None, topic=None
     return df.filter(F.col("title").ilike(f"%{text}%")) if text else df
 
 
+def match_labels(df: DataFrame, **patterns: str) -> DataFrame:
+    """Rows whose labels match all patterns in full, as series matchers do."""
+    for label, pattern in patterns.items():
+        df = df.filter(F.col(label).rlike(f"^(?:{pattern})$"))
+    return df
+
+
 def check_tag(tag_defs: DataFrame, name: str) -> str:
     """The name, or an error if no definition has it."""
     if not tag_defs.filter(F.col("name") == name).limit(1).count():

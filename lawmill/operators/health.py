@@ -19,6 +19,13 @@ def read_fleet(configs: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     return configs.filter(F.col("managed") & ~F.col("fleet").isin(*excluded)).withColumn("expected_workflows", F.array_except("expected_workflows", "disabled_jobs"))
 
 
+def expected_workflows(locales: DataFrame, templates: DataFrame) -> DataFrame:
+    """(fleet, locale, workflow): the workflow files that each locale's template brings, less its disabled jobs."""
+    files = templates.select("template", F.explode("workflow_files").alias("workflow"))
+    joined = locales.join(files, "template")
+    return joined.filter(~F.array_contains("disabled_jobs", F.col("workflow"))).select("fleet", "locale", "workflow").distinct()
+
+
 def last_over_time(samples: DataFrame, series: Sequence[str], now: Column, hours: float, ts: str = "ts", value: str = "value") -> DataFrame:
     """The latest sample of each series in (now - hours, now]."""
     age = seconds_of(now) - seconds_of(F.col(ts))

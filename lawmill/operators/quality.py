@@ -94,5 +94,17 @@ def outstanding_errors(errors: DataFrame, key: str, ts: str) -> DataFrame:
     return errors.groupBy(key).agg(F.count(F.lit(1)).alias("errors"), F.min(ts).alias("since"))
 
 
+def counts_by_kind(objects: DataFrame, kind: str = "kind") -> DataFrame:
+    """Processing counters by kind of object."""
+    return objects.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_mismatch(configured: DataFrame, verified: DataFrame, key: str = "locale", status: str = "status") -> DataFrame:
+    """Locales whose configured status isn't the verified one, or that only one side lists."""
+    a = configured.select(key, F.col(status).alias("configured"))
+    b = verified.select(key, F.col(status).alias("verified"))
+    return a.join(b, key, "full_outer").filter(~F.col("configured").eqNullSafe(F.col("verified")))
+
+
 def unreported(findings: DataFrame, known: DataFrame, keys: Sequence[str] = ("state", "symptom")) -> DataFrame:
     return findings.join(known.select(*keys).distinct(), list(keys), "left_anti")

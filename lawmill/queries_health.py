@@ -6,7 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from lawmill.operators import filters, health, joins, runlogs
+from lawmill.operators import filters, health, joins, quality, runlogs, tagging
+from lawmill.queries_text import TAGS, _sql_tags
 from lawmill.registry import query
 from lawmill.session import checkpoint_dir
 from lawmill.sources.tables import table
@@ -258,6 +259,74 @@ def stream_windows(spark, sf):
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", F.col("count").alias("n"))
 
 
+@query("stream_tag", _sql_tags())
+def stream_tag(spark, sf):
+    """The keyword tagger over a stream of documents, upserted batch by batch."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-tag-{next(tempfile._get_candidate_names())}"
+    texts = _stream_of(spark, sf, "documents").select("doc_id", "text")
+    streams.stream_tags(texts, tagging.tag_defs(spark, TAGS), f"{base}/out", f"{base}/checkpoint")
+    out = streams.current_results(spark, f"{base}/out")
+    return out.select("doc_id", "tag", F.array_join("keywords", ",").alias("keywords"), "score")
+
+
+@query("expected_workflows", """SELECT p_type AS fleet, p_partkey AS locale, unnest(CASE WHEN p_size % 2 = 0 THEN ['scrape', 'format'] WHEN p_brand = 'Brand#2' THEN ['scrape', 'extract'] ELSE ['scrape', 'format', 'extract'] END) AS workflow FROM part WHERE p_partkey < 500""")
+def expected_workflows(spark, sf):
+    """Two templates of workflow files, joined to locales that switch some off."""
+    templates = spark.sql("SELECT * FROM VALUES ('small', array('scrape', 'format')), ('full', array('scrape', 'format', 'extract')) AS t(template, workflow_files)")
+    locales = table(spark, sf, "part").filter("p_partkey < 500").select(
+        F.col("p_type").alias("fleet"), F.col("p_partkey").alias("locale"), F.when(F.col("p_size") % 2 == 0, "small").otherwise("full").alias("template"),
+        F.when((F.col("p_brand") == "Brand#2") & (F.col("p_size") % 2 == 1), F.array(F.lit("format"))).otherwise(F.array().cast("array<string>")).alias("disabled_jobs"),
+    )
+    return health.expected_workflows(locales, templates)
+
+
+@query("status_mismatch", """SELECT c_custkey AS locale, CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'paused' END AS configured, s AS verified FROM customer LEFT JOIN (SELECT o_custkey, CASE WHEN count(*) > 9 THEN 'active' ELSE 'paused' END AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey
+       WHERE CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'paused' END IS DISTINCT FROM s""")
+def status_mismatch(spark, sf):
+    configured = table(spark, sf, "customer").select(F.col("c_custkey").alias("locale"), F.when(F.col("c_acctbal") > 0, "active").otherwise("paused").alias("status"))
+    verified = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("locale")).count().select("locale", F.when(F.col("count") > 9, "active").otherwise("paused").alias("status"))
+    return quality.status_mismatch(configured, verified)
+
+
+@query("counts_by_kind", """SELECT role AS kind, count(*) AS n FROM conversations GROUP BY 1""")
+def counts_by_kind(spark, sf):
+    return quality.counts_by_kind(table(spark, sf, "conversations").withColumnRenamed("role", "kind"))
+
+
+@query("outstanding_errors", """SELECT user_id, count(*) AS errors, min(event_id) AS since FROM events WHERE event_type = 'error' GROUP BY 1""")
+def outstanding_errors(spark, sf):
+    return quality.outstanding_errors(table(spark, sf, "events").filter("event_type = 'error'"), "user_id", "event_id")
+
+
+@query("unreported_findings", """SELECT DISTINCT user_id AS state, event_type AS symptom FROM events e WHERE value > 150 AND NOT EXISTS (SELECT 1 FROM events k WHERE k.user_id = e.user_id AND k.event_type = e.event_type AND k.value < 1)""")
+def unreported_findings(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("state"), F.col("event_type").alias("symptom"), "value")
+    return quality.unreported(rows.filter("value > 150").select("state", "symptom").distinct(), rows.filter("value < 1"))
+
+
+@query("heartbeat", """SELECT role AS fleet, count(*) AS repos, count(*) FILTER (WHERE length(text) > 400) AS errors FROM conversations GROUP BY 1""")
+def heartbeat(spark, sf):
+    errors = F.when(F.char_length("text") > 400, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>"))
+    return health.heartbeat(table(spark, sf, "conversations").select(F.col("role").alias("fleet"), errors.alias("errors")))
+
+
+@query("label_matchers", """SELECT event_type, count(*) AS n FROM events WHERE regexp_full_match(event_type, 'view|cl.*') AND regexp_full_match(user_id::VARCHAR, '1[0-9]*') GROUP BY 1""")
+def label_matchers(spark, sf):
+    rows = table(spark, sf, "events").withColumn("user", F.col("user_id").cast("string"))
+    return filters.match_labels(rows, event_type="view|cl.*", user="1[0-9]*").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("staleness_vs_calendar", """SELECT state FROM (SELECT o_custkey % 50 AS state, max(o_orderdate) AS l FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0 GROUP BY 1) WHERE state % 2 = 0 AND (state % 4 = 0 OR state > 20) AND date_diff('day', l, TIMESTAMP '2001-08-10') > 30""")
+def staleness_vs_calendar(spark, sf):
+    """States in session whose last data commit is old."""
+    commits = table(spark, sf, "orders").filter("o_custkey % 3 = 0 AND o_orderstatus = 'F'").groupBy((F.col("o_custkey") % 50).alias("state")).agg(F.max("o_orderdate").alias("last_data_commit"))
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    calendar = table(spark, sf, "customer").select((F.col("c_custkey") % 50).alias("state")).distinct().filter("state % 2 = 0").select(
+        "state", day("2001-01-01").alias("start_date"), F.when(F.col("state") % 4 == 0, None).otherwise(F.when(F.col("state") > 20, day("2001-12-31")).otherwise(day("2001-02-01"))).alias("end_date")
+    )
+    return health.staleness_vs_calendar(commits, calendar, day("2001-08-10"), 30).select("state")
+
+
 @query("changed_runs", """SELECT user_id, count(*) AS n FROM events WHERE event_id > user_id * 20 AND ts >= TIMESTAMP '2024-01-29 12:00:00' GROUP BY 1""")
 def changed_runs(spark, sf):
     """Runs after their watermark within the look-back."""

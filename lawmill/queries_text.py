@@ -9,6 +9,7 @@ from lawmill.functions import keys, records, text, times
 from lawmill.operators import documents as docs_ops
 from lawmill.operators import filters, latest, quality, tagging
 from lawmill.registry import query
+from lawmill.session import materialise, small
 from lawmill.sources.tables import table
 
 TAGS = {
@@ -63,7 +64,7 @@ def _centroids(spark, sf):
 )
 def cosine_topk(spark, sf):
     """The ten vectors nearest to each label's mean; the means are a small table (one row per label)."""
-    both = table(spark, sf, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(_centroids(spark, sf)))
+    both = table(spark, sf, "embeddings").select("vec_id", "embedding").crossJoin(small(materialise(_centroids(spark, sf))))
     scored = both.select("vec_id", "label", tagging.cosine(F.col("embedding"), F.col("v")).alias("score"))
     return latest.limit_per_key(scored, ["label"], 10, F.desc("score"), F.asc("vec_id")).withColumn("score", F.round("score", 5))
 
@@ -78,8 +79,8 @@ def cosine_topk(spark, sf):
 )
 def composite_score(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    means = _centroids(spark, sf)
-    both = vectors.join(F.broadcast(means), "label").join(F.broadcast(means.select(((F.col("label") + 9) % 10).alias("label"), F.col("v").alias("w"))), "label")
+    means = materialise(_centroids(spark, sf))
+    both = vectors.join(means, "label").join(means.select(((F.col("label") + 9) % 10).alias("label"), F.col("v").alias("w")), "label")
     score = tagging.composite_score(
         tagging.cosine(F.col("embedding"), F.col("v")), F.lit(None).cast("double"), F.col("vec_id") % 3 == 0,
         tagging.cosine(F.col("embedding"), F.col("w")), F.col("vec_id") % 11 == 0, F.lit(0.5),

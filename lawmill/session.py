@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "lawmill") -> SparkSession:
@@ -36,6 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows that it has at most ``rows`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage and compute once: a reliable checkpoint in the shared folder, which survives lost executors."""
     checkpoint_dir(df.sparkSession)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from lawmill.operators import tagging
+
 # the process that prepares a processor's state does not get files added to the application, so processors travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,6 +115,28 @@ def stream_dead_man(beats: DataFrame, hours: float = 6) -> DataFrame:
     return beats.groupBy("key").transformWithStateInPandas(DeadManProcessor(hours), f"key {kind}, last_seen timestamp, dead boolean", "Append", "ProcessingTime")
 
 
+def stream_tags(texts: DataFrame, defs: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("doc_id",)) -> None:
+    """Score a stream of texts and keep the results under ``path``: one folder per batch, replaced if the batch is
+    run again, so that each text and tag is there once. Texts scored in an earlier batch are left out."""
+    spark = texts.sparkSession
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        done = current_results(spark, path, before=number)
+        fresh = batch if done is None else tagging.not_yet_tagged(batch, done, keys)
+        tagging.tag_by_keywords(fresh, defs).select(*keys, "tag", "keywords", "score").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available(texts, upsert, checkpoint)
+
+
+def current_results(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """All results under ``path``, or those of batches before a number; None without any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.parquet(path)
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+
 def recent(rows: DataFrame, ts: str = "created_at", hours: int = 24) -> DataFrame:
     """Rows under a watermark that bounds how late they may come; ``ts`` is a timestamp."""
     return rows.withWatermark(ts, f"{hours} hours")
