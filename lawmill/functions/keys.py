@@ -11,7 +11,19 @@ from lawmill.functions.text import slugify
 from lawmill.functions.times import compact_ts
 
 #: Action classes whose logs are named by class. Fixed values.
-TRACKED_CLASSES = ("introduction", "passage", "executive-signature", "became-law")
+TRACKED_CLASSES = ("introduction", "passage", "executive-receipt", "became-law")
+#: Names of jurisdictions by code. Fixed values.
+STATE_NAMES = {
+    "al": "Alabama", "ak": "Alaska", "az": "Arizona", "ar": "Arkansas", "ca": "California", "co": "Colorado", "ct": "Connecticut",
+    "de": "Delaware", "fl": "Florida", "ga": "Georgia", "hi": "Hawaii", "id": "Idaho", "il": "Illinois", "in": "Indiana",
+    "ia": "Iowa", "ks": "Kansas", "ky": "Kentucky", "la": "Louisiana", "me": "Maine", "md": "Maryland", "ma": "Massachusetts",
+    "mi": "Michigan", "mn": "Minnesota", "ms": "Mississippi", "mo": "Missouri", "mt": "Montana", "ne": "Nebraska", "nv": "Nevada",
+    "nh": "New Hampshire", "nj": "New Jersey", "nm": "New Mexico", "ny": "New York", "nc": "North Carolina", "nd": "North Dakota",
+    "oh": "Ohio", "ok": "Oklahoma", "or": "Oregon", "pa": "Pennsylvania", "ri": "Rhode Island", "sc": "South Carolina",
+    "sd": "South Dakota", "tn": "Tennessee", "tx": "Texas", "ut": "Utah", "vt": "Vermont", "va": "Virginia", "wa": "Washington",
+    "wv": "West Virginia", "wi": "Wisconsin", "wy": "Wyoming", "dc": "District of Columbia", "pr": "Puerto Rico", "gu": "Guam",
+    "vi": "U.S. Virgin Islands", "mp": "Northern Mariana Islands", "as": "American Samoa", "usa": "United States",
+}
 
 
 def org_classification(text: Column, missing: str | None = None) -> Column:
@@ -21,13 +33,21 @@ def org_classification(text: Column, missing: str | None = None) -> Column:
 
 
 def jurisdiction_code(jurisdiction: Column, fallback: Column | None = None, names: Mapping[str, str] | None = None) -> Column:
-    """State code of a jurisdiction id, ``usa`` for the federal one, else by name, else the fallback in lower case."""
+    """State code of a jurisdiction id, ``usa`` for the federal one, else by name, else the fallback."""
     code = F.nullif(F.regexp_extract(jurisdiction, r"(?:state|territory|district):([a-z]{2})\b", 1), F.lit(""))
-    federal = F.when(jurisdiction.rlike(r"country:us(?:/government)?$"), "usa")
+    federal = F.when(jurisdiction.contains("country:us"), "usa")
     named = F.lit(None).cast("string")
     for name, value in (names or {}).items():
         named = F.when(F.lower(jurisdiction) == name.lower(), value).otherwise(named)
-    return F.coalesce(code, federal, named, F.lower(fallback) if fallback is not None else F.lit(None))
+    return F.coalesce(code, federal, named, fallback if fallback is not None else F.lit(None))
+
+
+def jurisdiction_name(name: Column, code: Column) -> Column:
+    """The given name, else by code, else the code in upper case or ``?``."""
+    known = F.lit(None).cast("string")
+    for key, value in STATE_NAMES.items():
+        known = F.when(code == key, value).otherwise(known)
+    return F.coalesce(F.nullif(name, F.lit("")), known, F.upper(code), F.lit("?"))
 
 
 def path_part(path: Column, name: str) -> Column:
@@ -58,17 +78,18 @@ def bill_key(state: Column, session: Column, identifier: Column) -> Column:
 
 
 def action_log_key(date: Column, description: Column, classification: Column, organization: Column) -> Column:
-    """File key of an action's log: by class and chamber for tracked classes, else by the description."""
+    """File key of an action's log: by class and chamber if the first class is tracked, else by the description."""
     stamp = F.coalesce(compact_ts(date), F.lit("unknown"))
-    tracked = F.array_intersect(F.array(*map(F.lit, TRACKED_CLASSES)), classification)
-    by_class = F.concat_ws(".", stamp, F.lit("classification"), F.get(tracked, 0), org_classification(organization, "unknown"))
-    return F.when(F.size(tracked) > 0, by_class).otherwise(F.concat_ws("_", stamp, slugify(description)))
+    first = F.get(classification, 0)
+    by_class = F.concat_ws(".", stamp, F.lit("classification"), first, org_classification(organization, "unknown"))
+    slug = slugify(F.coalesce(description, F.lit("no_description")))
+    return F.when(first.isin(*TRACKED_CLASSES), by_class).otherwise(F.concat_ws("_", stamp, slug))
 
 
-def vote_log_key(date: Column, result: Column, motion: Column, organization: Column) -> Column:
+def vote_log_key(date: Column, result: Column, organization: Column) -> Column:
     stamp = F.coalesce(compact_ts(date), F.lit("unknown"))
     passed = F.concat_ws(".", stamp, F.lit("vote_event.pass"), org_classification(organization, "unknown"))
-    return F.when(result == "pass", passed).otherwise(F.concat_ws("_", stamp, F.lit("vote_event"), slugify(F.coalesce(motion, result))))
+    return F.when(result == "pass", passed).otherwise(F.concat_ws("_", stamp, F.lit("vote_event"), slugify(F.coalesce(result, F.lit("unknown")))))
 
 
 def vote_result(text: Column) -> Column:

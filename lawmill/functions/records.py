@@ -17,15 +17,16 @@ def canonical_classes(action: Column, strict_legacy: bool = False) -> Column:
     return action["classification"] if strict_legacy else F.coalesce(action["classification"], action["classifications"])
 
 
-def reshape_action(action: Column, state: Column, session: Column) -> Column:
-    """The log's action struct, with empty values for what is missing."""
+def reshape_action(action: Column, session: Column, sources: Column) -> Column:
+    """The log's action struct, with the defaults for what is missing."""
     return F.struct(
-        F.coalesce(action["description"], F.lit("")).alias("description"),
-        action["date"].alias("occurred_at"),
-        F.lower(state).alias("jurisdiction_id"),
+        F.coalesce(action["description"], F.lit("no_description")).alias("description"),
+        F.coalesce(action["date"], F.lit("no_date")).alias("occurred_at"),
+        F.coalesce(action["organization_id"], F.lit("no_jurisdiction")).alias("jurisdiction_id"),
         session.alias("session_id"),
-        F.coalesce(action["organization_id"], F.lit("")).alias("entity_type"),
+        F.lit("bill").alias("entity_type"),
         F.coalesce(canonical_classes(action), F.array().cast("array<string>")).alias("classifications"),
+        sources.alias("sources"),
     )
 
 
@@ -117,8 +118,10 @@ def merge_processing(theirs: Column, ours: Column, stamp: str = "text_extraction
 
 
 def feed_title(tags: Column, repo: Column, title: Column, identifier: Column) -> Column:
-    names = F.nullif(F.array_join(F.array_sort(tags), ", "), F.lit(""))
-    return F.concat_ws(" – ", names, repo, F.coalesce(F.nullif(F.trim(title), F.lit("")), F.nullif(identifier, F.lit("")), F.lit("Legislative update")))
+    """Tags, repository and title or identifier, with a word for each that is missing."""
+    names = F.coalesce(F.nullif(F.array_join(F.array_sort(tags), ", "), F.lit("")), F.lit("untagged"))
+    name = F.coalesce(F.nullif(F.trim(title), F.lit("")), identifier, F.lit("Legislative Update"))
+    return F.concat_ws(" - ", names, F.coalesce(repo, F.lit("unknown")), name)
 
 
 def feed_description(pairs: list[tuple[str, Column]]) -> Column:
@@ -131,4 +134,4 @@ def feed_link(base: Column, bill_path: Column, first_url: Column) -> Column:
 
 
 def guid(log_path: Column, timestamp: Column, row_id: Column) -> Column:
-    return F.coalesce(F.nullif(log_path, F.lit("")), F.concat_ws("_", timestamp, row_id))
+    return F.coalesce(F.nullif(log_path, F.lit("")), F.concat(F.coalesce(timestamp, F.lit("")), F.lit("_"), F.coalesce(row_id, F.lit(""))))

@@ -6,13 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Phrases of a page that needs JavaScript. Fixed values.
-SCRIPT_PHRASES = ("enable javascript", "javascript is required", "requires javascript", "javascript must be enabled", "please turn on javascript")
+SCRIPT_PHRASES = (
+    "enable javascript",
+    "enable it to continue",
+    "doesn't work properly without javascript",
+    "does not work properly without javascript",
+    "requires javascript",
+)
 
 
 def slugify(text: Column, limit: int = 100) -> Column:
-    """Lower case, word characters only, blanks and dashes folded to one underscore, cut to ``limit``."""
-    plain = F.regexp_replace(F.lower(F.trim(text)), r"(?U)[^\w\s-]", "")
-    return F.substring(F.regexp_replace(plain, r"(?U)[-\s]+", "_"), 1, limit)
+    """Lower case, word characters only, white space folded to one underscore, none at the ends, cut to ``limit``."""
+    plain = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", "")
+    return F.substring(F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", "_"), "^_+|_+$", ""), 1, limit)
 
 
 def file_slug(text: Column) -> Column:
@@ -75,8 +81,8 @@ def sniff(content_type: Column, text: Column) -> Column:
 
 
 def metric_escape(text: Column) -> Column:
-    """Tag escaping of the line protocol: backslash before comma, equals sign and blank."""
-    return F.regexp_replace(text, r"([,= ])", r"\\$1")
+    """Tag escaping of the line protocol: backslash before backslash, comma, equals sign and blank; null for a line break."""
+    return F.when(~text.rlike(r"[\r\n]"), F.regexp_replace(text, r"([\\,= ])", r"\\$1"))
 
 
 def metric_number(value: Column) -> Column:
@@ -88,7 +94,7 @@ def routine_line(line: Column) -> Column:
     """Class of a log line: ``routine`` (HH:MM:SS INFO), ``warning`` (a python warning), ``other``."""
     return (
         F.when(line.rlike(r"^\d{2}:\d{2}:\d{2} INFO"), "routine")
-        .when(line.rlike(r"^\S+\.py:\d+: \w*Warning"), "warning")
+        .when(line.rlike(r"^/[^ ]*:[0-9]+: [A-Za-z_]+Warning: "), "warning")
         .otherwise("other")
     )
 

@@ -58,12 +58,13 @@ def ns_to_iso(ns: Column) -> Column:
     )
 
 
-def corrected_end_date(name: Column, start: Column, end: Column) -> Column:
-    """End of a session whose name is a range of years: 31 December of the last year if the given end is earlier."""
-    last = F.regexp_extract(name, r"(?:19|20)\d{2}\s*[-–/]\s*((?:19|20)?\d{2})", 1)
-    year = F.when(F.length(last) == 2, F.concat(F.lit("20"), last)).when(F.length(last) == 4, last).cast("int")
-    ranged = F.make_date(year, F.lit(12), F.lit(31))
-    return F.when(year.isNotNull() & (end.isNull() | (end < ranged)), ranged).otherwise(end)
+def corrected_end_date(name: Column, identifier: Column, end: Column) -> Column:
+    """End of a session whose name (else identifier) is a range of years that goes one year past the given end:
+    31 December of the last year. Other ends stay."""
+    span = r"20\d{2}\D{0,3}(20\d{2})"
+    last = [F.nullif(F.regexp_extract(c, span, 1), F.lit("")) for c in (name, identifier)]
+    year = F.coalesce(*last).cast("int")
+    return F.when(year - F.year(end) == 1, F.make_date(year, F.lit(12), F.lit(31))).otherwise(end)
 
 
 def log_timestamp(path: Column) -> Column:

@@ -13,14 +13,18 @@ from pyspark.sql import types as T
 from lawmill.functions.text import html_placeholder, html_text
 
 #: Preference of document kinds. Fixed values.
-PREFERENCE = {"text/xml": 1, "application/xml": 1, "text/html": 2, "application/pdf": 3, "text/plain": 4}
+PREFERENCE = {"text/xml": 1, "text/html": 2, "application/pdf": 3, "text/plain": 4}
+MARKUP_NOTE = (
+    "Visual Markup Detected: true -- this document likely contains redline (strikethrough/underline) formatting; "
+    "plain text extraction may not faithfully represent what the bill changes. See the saved original file."
+)
 RULE = "=" * 80
 
 
 def preference(media_type: Column) -> Column:
     rank = F.lit(9)
     for kind, place in reversed(PREFERENCE.items()):
-        rank = F.when(F.lower(media_type) == kind, place).otherwise(rank)
+        rank = F.when(F.lower(media_type).contains(kind), place).otherwise(rank)
     return rank
 
 
@@ -106,13 +110,13 @@ def text_document(title: Column, official: Column, source: Column, media_type: C
     """Header, a rule and the text."""
     head = F.concat_ws(
         "\n",
-        F.concat(F.lit("Title: "), title),
-        F.when(official.isNotNull(), F.concat(F.lit("Official Title: "), official)),
+        F.concat(F.lit("Title: "), F.coalesce(title, F.lit("N/A"))),
+        F.concat(F.lit("Official Title: "), F.coalesce(official, F.lit("N/A"))),
         F.concat(F.lit("Source: "), source),
         F.concat(F.lit("Media Type: "), media_type),
-        F.when(markup, F.lit("Contains Markup: yes")),
+        F.when(markup, F.lit(MARKUP_NOTE)),
     )
-    return F.concat(head, F.lit(f"\n{RULE}\n\n"), text)
+    return F.concat(head, F.lit(f"\n\n{RULE}\n\n"), F.coalesce(text, F.lit("")))
 
 
 def availability(before: DataFrame, results: DataFrame, key: str, now: Column) -> DataFrame:

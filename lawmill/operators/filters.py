@@ -74,10 +74,12 @@ def pick_repos(df: DataFrame, wanted: str | Sequence[str] = "all", column: str =
 
 
 def needs_extraction(today: Column, updated: Column, extracted: Column, has_text: Column, unavailable_at: Column, recheck_days: int = 15) -> Column:
-    """Whether a bill's text must be fetched: not lately unavailable, and without text or changed since."""
-    resting = unavailable_at.isNotNull() & (F.datediff(today, unavailable_at) < recheck_days)
-    current = has_text & extracted.isNotNull() & (F.coalesce(updated <= extracted, F.lit(True)))
-    return ~F.coalesce(resting, F.lit(False)) & ~F.coalesce(current, F.lit(False))
+    """Whether a bill's text must be fetched. An unavailable one is tried again once it changed or the days are over;
+    any other if it was never read, changed since, or has no text."""
+    changed_while_away = F.coalesce(updated > unavailable_at, F.lit(False))
+    again = changed_while_away | (F.datediff(today, unavailable_at) >= recheck_days)
+    current = has_text & extracted.isNotNull() & ~F.coalesce(updated > extracted, F.lit(False))
+    return F.when(unavailable_at.isNotNull(), again).otherwise(~F.coalesce(current, F.lit(False)))
 
 
 def bad_label(value: Column) -> Column:

@@ -102,9 +102,8 @@ def last_data_commit(commits: DataFrame, key: str, ts: str, path: str) -> DataFr
 
 
 def metric_lines(samples: DataFrame, measurement: str, tags: Sequence[str], ts_ns: str, value: str = "value") -> DataFrame:
-    """Line protocol: tags sorted and escaped, one field; rows with a null tag or value are skipped."""
-    names = sorted(tags)
-    labels = [F.concat(F.lit(f",{n}="), metric_escape(F.col(n).cast("string"))) for n in names]
+    """Line protocol: tags in the order given and escaped, one field; rows with a bad or null tag or value are skipped."""
+    labels = [F.concat(F.lit(f",{n}="), metric_escape(F.col(f"`{n}`").cast("string"))) for n in tags]
     line = F.concat(F.lit(measurement), *labels, F.lit(f" {value}="), metric_number(F.col(value)), F.lit(" "), F.col(ts_ns).cast("string"))
     return samples.withColumn("line", line).filter(F.col("line").isNotNull())
 

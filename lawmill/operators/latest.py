@@ -23,7 +23,7 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
 
 def latest_past_action(actions: Column, today: Column) -> Column:
     """The latest action not after today; of equal dates the first in the list."""
-    past = F.filter(F.transform(actions, lambda a, i: F.struct(F.substring(a["date"], 1, 10).alias("day"), (-i).alias("back"), a.alias("action"))), lambda x: x["day"] <= today)
+    past = F.filter(F.transform(actions, lambda a, i: F.struct(a["date"].alias("day"), (-i).alias("back"), a.alias("action"))), lambda x: F.substring(x["day"], 1, 10) <= today)
     ordered = F.array_sort(past, lambda x, y: F.when(x["day"] > y["day"], -1).when(x["day"] < y["day"], 1).when(x["back"] > y["back"], -1).when(x["back"] < y["back"], 1).otherwise(0))
     return F.get(ordered, 0)["action"]
 

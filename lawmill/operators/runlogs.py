@@ -15,16 +15,16 @@ from lawmill.functions.text import log_noise, routine_line
 FAILURES = (
     ("N1_ACTIVE_BLOCK", r"ConnectionRefusedError|Errno 111"),
     ("N3_ACTIVE_BLOCK", r"ConnectionResetError"),
-    ("H1_ACTIVE_BLOCK", r"403.*Forbidden|Forbidden.*403"),
-    ("N4_DNS_FAILURE", r"Name or service not known|getaddrinfo failed|Temporary failure in name resolution"),
+    ("H1_ACTIVE_BLOCK", r"403.*(Forbidden|forbidden)|Forbidden.*403"),
+    ("N4_DNS_FAILURE", r"Name or service not known|nodename nor servname provided|EAI_NONAME"),
     ("H3_RATE_LIMITED", r"(?:^|[^0-9])429(?:[^0-9]|$)|Too Many Requests"),
-    ("N2_CONNECTIVITY", r"ConnectTimeout|ReadTimeout|timed out|Max retries exceeded"),
-    ("H4_SERVER_DOWN", r"(?:^|[^0-9])503(?:[^0-9]|$)"),
-    ("S6_VALIDATION", r"ValidationError|ScrapeValueError"),
+    ("N2_CONNECTIVITY", r"TimeoutError|ConnectTimeoutError|timed out|Errno 110|RemoteDisconnected|Connection aborted"),
+    ("H4_SERVER_DOWN", r"(?:^|[^0-9])503(?:[^0-9]|$)|Service Unavailable"),
+    ("S6_VALIDATION", r"ScrapeValueError|validation.*failed|failed.*validation"),
     ("H2_AUTH_FAILURE", r"401|Unauthorized"),
     ("S1_OUT_OF_SESSION", r"no objects returned"),
-    ("S2_OUT_OF_SESSION", r"no active session"),
-    ("S3_SESSION_CONFIG", r"Session\(s\) .* reported"),
+    ("S2_OUT_OF_SESSION", r"contains no matching files"),
+    ("S3_SESSION_CONFIG", r"AssertionError.*[Ss]ession"),
     ("S4_SITE_STRUCTURE", r"KeyError"),
     ("S5_SITE_STRUCTURE", r"ValueError|IndexError"),
 )
@@ -80,34 +80,47 @@ def islands(lines: DataFrame, keys: Sequence[str], order: str, kind: str) -> Dat
     )
 
 
-def fold_routine(lines: DataFrame, key: str, order: str, seconds: str, line: str = "line", span: int = 300, block: int = 20) -> DataFrame:
-    """Folded log of each run: routine lines of at most ``span`` seconds from an island's first become one row;
-    warning blocks fold up to ``block`` lines; others stay.
+def fold_routine(lines: DataFrame, key: str, order: str, line: str = "line", span: int = 300, block: int = 20) -> DataFrame:
+    """``lines`` of each run with ``fold``: the place of the first line of their group, null outside of groups.
 
-    The span counts from the island's start, which depends on the islands before it, so each run is walked once
-    in order, in batches of its rows; a run's lines are bounded by the log's own size.
+    A group holds routine lines and warning blocks that follow each other. A routine line starts a new group if its
+    time of day is before the group's start or ``span`` seconds or more after it. A warning block runs from the
+    warning to the line that is indented by just two blanks, at most ``block`` further lines.
+
+    The span counts from the group's start, which depends on the groups before it, so each run is walked once in
+    order; a run's lines are bounded by the log's own size.
     """
-    sized = lines.select(key, order, seconds, line).withColumn("kind", routine_line(F.col(line)))
+    clock = F.substring(line, 1, 2).cast("int") * 3600 + F.substring(line, 4, 2).cast("int") * 60 + F.substring(line, 7, 2).cast("int")
+    kind = routine_line(F.col(line))
+    marked = lines.select(
+        key, order, line, kind.alias("kind"), F.when(kind == "routine", clock).alias("clock"), F.col(line).rlike(r"^  [^ ]").alias("ends")
+    )
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        out: list[list] = []
-        for run, place, second, text, kind in pdf[[key, order, seconds, line, "kind"]].itertuples(index=False):
-            last = out[-1] if out else None
-            same = last is not None and last[3] == kind and kind != "other"
-            if same and kind == "routine":
-                same = last[5] <= second <= last[4] + span
-            elif same:
-                same = last[2] < block
-            if same:
-                last[2] += 1
-                last[5] = second
+        folds: list = []
+        group, start, last, left = None, None, None, 0
+        for place, what, second, ends in zip(pdf[order], pdf["kind"], pdf["clock"], pdf["ends"]):
+            if left:
+                left = 0 if ends else left - 1
+                what = "warning"
+            elif what == "warning":
+                left = block
+            elif what == "routine":
+                last = second
+                if group is None or second < start or second - start >= span:
+                    group, start = place, second
             else:
-                out.append([run, place, 1, kind, second, second, text])
-        return pd.DataFrame([x[:4] + x[6:] for x in out], columns=[key, order, "n_lines", "kind", line])
+                group = None
+            if what == "warning" and group is None:
+                group, start = place, start if last is None else last
+            if start is None:
+                start = 0
+            folds.append(group)
+        return pd.DataFrame({key: pdf[key], order: pdf[order], line: pdf[line], "fold": pd.array(folds, "Int64")})
 
-    kinds = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
-    return sized.groupBy(key).applyInPandas(walk, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, n_lines long, kind string, `{line}` string")
+    kinds = {f.name: f.dataType.simpleString() for f in marked.schema.fields}
+    return marked.groupBy(key).applyInPandas(walk, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{line}` string, fold long")
 
 
 def failure_class(lines: DataFrame, keys: Sequence[str], line: str = "line", exit_code: str = "exit_code", shrunk: str | None = None) -> DataFrame:
@@ -122,14 +135,30 @@ def failure_class(lines: DataFrame, keys: Sequence[str], line: str = "line", exi
     return out.select(*keys, "failure_class", F.col("failure_class").isin(*ACTIVE_BLOCKS).alias("is_active_block"))
 
 
-def error_digest(lines: DataFrame, keys: Sequence[str], order: str, line: str = "line", n: int = 10) -> DataFrame:
-    """The first n error lines of each run: tracebacks if there are any, else exceptions, else other errors."""
+def error_digest(lines: DataFrame, keys: Sequence[str], order: str, line: str = "line", n: int = 10, context: int = 10, traceback_lines: int = 30) -> DataFrame:
+    """The error lines of each run with their ``rank``: tracebacks with the lines after them (1), if there are none
+    exceptions (2), else other errors (3); retried and informational lines don't count. Skipped items: ``skipped_items``."""
     text = F.col(line)
-    rank = F.when(text.contains("Traceback"), 1).when(text.rlike(r"\b\w*(?:Error|Exception)\b"), 2).when(F.lower(text).contains("error"), 3)
-    ranked = lines.withColumn("rank", rank).filter(F.col("rank").isNotNull())
+    by = W.partitionBy(*keys).orderBy(order)
+    place = F.row_number().over(by)
+    start = F.last(F.when(text.startswith("Traceback (most recent call last):"), F.col("_place")), ignorenulls=True).over(by)
+    settled = text.rlike(r"retry|retrying|resolved|recovered|succeeded after")
+    other = text.rlike(r"ERROR|EXCEPTION|TRACEBACK|AssertionError|TimeoutError|ConnectionError|HTTPError")
+    noise = text.rlike(r"(?i) INFO |scrape attempt|retry|retrying|resolved|recovered|succeeded|SKIPPED BILL")
+    rank = (
+        F.when(F.col("_place") - F.col("_start") <= context, 1)
+        .when(text.rlike(r"(?i)^\w+(?:Error|Exception|Warning):") & ~settled, 2)
+        .when(other & ~noise, 3)
+    )
+    ranked = lines.withColumn("_place", place).withColumn("_start", start).withColumn("rank", rank).filter(F.col("rank").isNotNull())
     best = ranked.withColumn("_best", F.min("rank").over(W.partitionBy(*keys))).filter(F.col("rank") == F.col("_best"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    return best.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place", "_best")
+    limit = F.when(F.col("rank") == 1, traceback_lines).otherwise(n)
+    return best.withColumn("_place", F.row_number().over(by)).filter(F.col("_place") <= limit).drop("_place", "_best", "_start")
+
+
+def skipped_items(lines: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
+    """How many items each run says it skipped."""
+    return lines.filter(F.col(line).contains("SKIPPED BILL:")).groupBy(*keys).agg(F.count(F.lit(1)).alias("skipped"))
 
 
 def counters(lines: DataFrame, keys: Sequence[str], order: str, names: Sequence[str], line: str = "line") -> DataFrame:

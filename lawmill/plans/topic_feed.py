@@ -33,6 +33,7 @@ def select_default(rows: DataFrame) -> DataFrame:
         F.when(F.col("bill").isNotNull(), bill).alias("bill"),
         "tags",
         F.create_map(F.lit("log"), F.col("path")).alias("sources"),
+        F.nullif(F.regexp_extract("path", r"([^/]+-legislation)/", 1), F.lit("")).alias("repo"),
         F.col("log_ts").alias("timestamp"),
     )
 
@@ -43,7 +44,7 @@ def feed(rows: DataFrame, names: Sequence[str] = (), limit: int | None = 100, ba
     one = first_row(tagged, ["guid"], F.struct("timestamp", "id"))
     picked = top(one, limit, F.desc_nulls_last("timestamp"), F.asc("guid"))
     return picked.select(
-        feed_title(F.map_keys("tags"), F.split("id", "/")[0], F.col("bill.title"), F.col("bill.identifier")).alias("title"),
+        feed_title(F.map_keys("tags"), F.col("repo"), F.col("bill.title"), F.col("id")).alias("title"),
         feed_description([("Bill", F.col("bill.identifier")), ("Title", F.col("bill.title")), ("Action", F.col("log.action.description")), ("Session", F.col("bill.legislative_session"))]).alias("description"),
         feed_link(base_url if base_url is not None else F.lit(""), F.element_at("sources", "log"), F.lit(None).cast("string")).alias("link"),
         rfc2822(parse_ts(F.col("timestamp"))).alias("pub_date"),

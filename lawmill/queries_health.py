@@ -100,12 +100,16 @@ def failure_class(spark, sf):
 
 @query(
     "error_digest",
-    """WITH r AS (SELECT user_id, event_id, CASE WHEN value > 100 THEN 1 WHEN value > 60 THEN 2 WHEN value > 30 THEN 3 END AS rank FROM events),
+    """WITH p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+            s AS (SELECT *, last_value(CASE WHEN value > 200 AND user_id % 2 = 0 THEN place END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS start FROM p),
+            r AS (SELECT *, CASE WHEN place - start <= 10 THEN 1 WHEN value > 60 AND user_id % 3 > 0 AND NOT (value > 200 AND user_id % 2 = 0) THEN 2 WHEN value > 30 AND NOT (value > 60 AND user_id % 3 > 0) AND NOT (value > 200 AND user_id % 2 = 0) THEN 3 END AS rank FROM s),
             b AS (SELECT *, min(rank) OVER (PARTITION BY user_id) AS best FROM r WHERE rank IS NOT NULL)
-       SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM b WHERE rank = best) WHERE rn <= 10""",
+       SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM b WHERE rank = best) WHERE rn <= CASE WHEN rank = 1 THEN 30 ELSE 10 END""",
 )
 def error_digest(spark, sf):
-    line = F.when(F.col("value") > 100, "Traceback (most recent)").when(F.col("value") > 60, "ValueError: x").when(F.col("value") > 30, "an error here").otherwise("ok")
+    traceback = (F.col("value") > 200) & (F.col("user_id") % 2 == 0)
+    exception = (F.col("value") > 60) & (F.col("user_id") % 3 > 0)
+    line = F.when(traceback, "Traceback (most recent call last):").when(exception, "ValueError: x").when(F.col("value") > 30, "12 ERROR here").otherwise("10:00:00 INFO ERROR retry")
     rows = table(spark, sf, "events").select("user_id", "event_id", line.alias("line"))
     return runlogs.error_digest(rows, ["user_id"], "event_id").select("user_id", "event_id", "rank")
 

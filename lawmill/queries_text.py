@@ -123,7 +123,7 @@ def org_class(spark, sf):
     return table(spark, sf, "events").select("event_id", keys.org_classification(raw).alias("chamber"))
 
 
-@query("slug", """SELECT doc_id, substr(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 300))), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g'), '[-\\s]+', '_', 'g'), 1, 100) AS slug FROM documents""")
+@query("slug", """SELECT doc_id, substr(trim(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'), '\\s+', '_', 'g'), '_'), 1, 100) AS slug FROM documents""")
 def slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slugify(F.substring("text", 1, 300)).alias("slug"))
 
@@ -158,7 +158,7 @@ def hours_since(spark, sf):
     return rows.select("event_id", times.hours_since(F.col("s"), now).alias("hours"), times.days_since(F.col("ts"), now).alias("days"))
 
 
-@query("action_log_key", """SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || CASE WHEN o_orderstatus = 'F' THEN '.classification.passage.upper' ELSE '_' || regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9_\\s-]', '', 'g'), '[-\\s]+', '_', 'g') END AS log_key FROM orders""")
+@query("action_log_key", """SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || CASE WHEN o_orderstatus = 'F' THEN '.classification.passage.upper' ELSE '_' || regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9_\\s]', '', 'g'), '\\s+', '_', 'g') END AS log_key FROM orders""")
 def action_log_key(spark, sf):
     classes = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("passage"))).otherwise(F.array(F.lit("other")))
     key = keys.action_log_key(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderpriority"), classes, F.lit('~{"classification": "upper"}'))
@@ -188,7 +188,7 @@ def pruned_json(spark, sf):
 
 @query(
     "feed_items",
-    """SELECT event_id, event_type || ' – ' || 'usr' || user_id || ' – ' || 'Event ' || event_id AS title,
+    """SELECT event_id, event_type || ' - ' || 'usr' || user_id || ' - ' || 'Event ' || event_id AS title,
               'Bill: ' || event_id || chr(10) || 'Type: ' || event_type AS description, 'https://x.example/' || event_id AS link,
               strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') AS pub_date, 'g' || event_id AS guid
        FROM events ORDER BY ts DESC, event_id LIMIT 100""",
@@ -239,7 +239,8 @@ def xml_sections(spark, sf):
     return parts.select("p_partkey", "x.title", "x.official_title", F.array_join("x.sections", ",").alias("sections"))
 
 
-@query("extract_skip", """SELECT d.doc_id, CASE WHEN NOT (coalesce(d.doc_id % 5 = 0 AND d.doc_id % 30 < 15, false)) AND NOT (l.doc_id IS NOT NULL AND d.doc_id % 4 > 0) THEN 1 ELSE 0 END AS fetch
+@query("extract_skip", """SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN CASE WHEN (d.doc_id % 4 = 0 AND d.doc_id % 30 > 0) OR (d.doc_id % 4 > 0 AND d.doc_id % 30 > 9) OR d.doc_id % 30 >= 15 THEN 1 ELSE 0 END
+              WHEN l.doc_id IS NOT NULL AND d.doc_id % 4 > 0 THEN 0 ELSE 1 END AS fetch
        FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def extract_skip(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", F.lit(True).alias("has")), "doc_id", "left")
@@ -272,7 +273,7 @@ def doc_preference(spark, sf):
     return docs_ops.candidates(links, ["doc_id"]).filter("rank = 1").select("doc_id", "media_type")
 
 
-@query("document_header", """SELECT doc_id, sha256('Title: ' || source || chr(10) || 'Source: s' || doc_id || chr(10) || 'Media Type: text/html' || chr(10) || repeat('=', 80) || chr(10) || chr(10) || text) AS h FROM documents""")
+@query("document_header", """SELECT doc_id, sha256('Title: ' || source || chr(10) || 'Official Title: N/A' || chr(10) || 'Source: s' || doc_id || chr(10) || 'Media Type: text/html' || chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || text) AS h FROM documents""")
 def document_header(spark, sf):
     whole = docs_ops.text_document(F.col("source"), F.lit(None).cast("string"), F.concat(F.lit("s"), "doc_id"), F.lit("text/html"), F.lit(False), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.sha2(whole, 256).alias("h"))

@@ -15,7 +15,7 @@ from lawmill.functions.text import xml_escape
 
 def action_log_rows(bills: DataFrame) -> DataFrame:
     """One row per action with its file key; of equal keys the last action stays."""
-    rows = bills.select("state", "session_id", "bill_id", F.posexplode("actions").alias("pos", "action"))
+    rows = bills.select("state", "session_id", "bill_id", "sources", F.posexplode("actions").alias("pos", "action"))
     keyed = rows.withColumn(
         "log_key",
         action_log_key(
@@ -25,13 +25,13 @@ def action_log_rows(bills: DataFrame) -> DataFrame:
     )
     last = F.row_number().over(W.partitionBy("state", "session_id", "bill_id", "log_key").orderBy(F.desc("pos")))
     return keyed.withColumn("_n", last).filter("_n = 1").select(
-        "state", "session_id", "bill_id", "log_key", reshape_action(F.col("action"), F.col("state"), F.col("session_id")).alias("action")
+        "state", "session_id", "bill_id", "log_key", reshape_action(F.col("action"), F.col("session_id"), F.col("sources")).alias("action")
     )
 
 
 def vote_log_rows(votes: DataFrame) -> DataFrame:
     """Vote events with their file key; of equal keys the last identifier stays."""
-    keyed = votes.withColumn("log_key", vote_log_key(F.col("start_date"), F.col("result"), F.col("motion_text"), F.col("organization")))
+    keyed = votes.withColumn("log_key", vote_log_key(F.col("start_date"), F.col("result"), F.col("organization")))
     last = F.row_number().over(W.partitionBy("state", "session_id", "bill_id", "log_key").orderBy(F.desc("identifier")))
     return keyed.withColumn("_n", last).filter("_n = 1").drop("_n")
 

@@ -27,7 +27,9 @@ def test_first_wins_whatever_the_order(spark, seed):
 def test_latest_past_action_ties_keep_the_first(spark):
     df = spark.sql("SELECT array(named_struct('date','2024-01-02','n',1), named_struct('date','2024-01-02T09','n',2), named_struct('date','2030-01-01','n',3)) AS a, array() AS e")
     got = df.select(latest.latest_past_action(F.col("a"), F.lit("2024-12-31"))["n"].alias("n")).collect()
-    assert got[0]["n"] == 1
+    assert got[0]["n"] == 2
+    tied = spark.sql("SELECT array(named_struct('date','2024-01-02','n',1), named_struct('date','2024-01-02','n',2)) AS a")
+    assert tied.select(latest.latest_past_action(F.col("a"), F.lit("2024-12-31"))["n"].alias("n")).collect()[0]["n"] == 1
 
 
 def test_byte_tail_keeps_one_line_and_counts(spark):
@@ -37,9 +39,11 @@ def test_byte_tail_keeps_one_line_and_counts(spark):
 
 
 def test_fold_counts_from_the_islands_start(spark):
-    rows = [("r", i, t, "10:00:00 INFO x") for i, t in enumerate([0, 200, 350, 500, 900, 800])] + [("r", 9, 901, "Traceback")]
-    out = runlogs.fold_routine(spark.createDataFrame(rows, "run string, i int, t long, line string"), "run", "i", "t").orderBy("i").collect()
-    assert [(r["i"], r["n_lines"], r["kind"]) for r in out] == [(0, 2, "routine"), (2, 2, "routine"), (4, 1, "routine"), (5, 1, "routine"), (9, 1, "other")]
+    at = lambda s: f"10:{s // 60:02d}:{s % 60:02d} INFO x"
+    lines = [at(0), at(200), at(300), at(599), "/a/b.py:3: FutureWarning: old", "    more", "  last()", at(600), at(550), "Traceback", at(560), "other"]
+    rows = [("r", i, line) for i, line in enumerate(lines)]
+    out = runlogs.fold_routine(spark.createDataFrame(rows, "run string, i int, line string").repartition(3), "run", "i").orderBy("i").collect()
+    assert [r["fold"] for r in out] == [0, 0, 2, 2, 2, 2, 2, 7, 8, None, 10, None]
 
 
 def test_failure_order(spark):

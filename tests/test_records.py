@@ -18,8 +18,8 @@ def test_times(spark):
     ts = lambda s: times.compact_ts(F.lit(s))
     got = one(spark, a=ts("2025-01-31T00:14:23-05:00"), b=ts("2025-01-31"), c=ts("20250131T001423Z"), d=ts("not a date"), e=times.log_timestamp(F.lit("x/logs/20250131T001423Z.vote_event.pass.upper.json")), f=times.legacy_timestamp(F.lit("x/20250131T001423Z.vote_event.pass.json")))
     assert got == {"a": "20250131T001423Z", "b": "20250131T000000Z", "c": "20250131T001423Z", "d": None, "e": "20250131T001423Z", "f": "20250131T001423Z.vote"}
-    end = lambda name, e: times.corrected_end_date(F.lit(name), F.lit("2025-01-01").cast("date"), F.lit(e).cast("date")).cast("string")
-    assert one(spark, a=end("2025-2026 Session", "2025-05-01"), b=end("2025 Session", "2025-05-01"), c=end("2025-26", None)) == {"a": "2026-12-31", "b": "2025-05-01", "c": "2026-12-31"}
+    end = lambda name, e: times.corrected_end_date(F.lit(name), F.lit("2025"), F.lit(e).cast("date")).cast("string")
+    assert one(spark, a=end("2025-2026 Session", "2025-05-01"), b=end("2025 Session", "2025-05-01"), c=end("2025-2027", "2025-05-01")) == {"a": "2026-12-31", "b": "2025-05-01", "c": "2025-05-01"}
     assert one(spark, n=times.to_ns(F.lit("2024-01-01T00:00:00.5Z")))["n"] == 1704067200500000000
 
 
@@ -30,7 +30,7 @@ def test_keys(spark):
         spark, a=key("2025-01-31T00:14:23", "x", ["introduction"]), b=key("2025-01-29", "Bill Number Assigned!", ["other"]), c=key(None, "A b", ["x"]),
         d=keys.org_classification(F.lit("bad"), "unknown"), e=keys.jurisdiction_code(F.lit("ocd-jurisdiction/country:us/state:wy/government")),
         f=keys.jurisdiction_code(F.lit("ocd-jurisdiction/country:us/government")), g=keys.bill_key(F.lit("WY"), F.lit("2025"), F.lit("HB 1")),
-        h=keys.vote_log_key(F.lit("2025-02-05T17:21:10"), F.lit("pass"), F.lit("m"), F.lit(org)), i=keys.vote_result(F.lit("x.vote_event.fail.json")),
+        h=keys.vote_log_key(F.lit("2025-02-05T17:21:10"), F.lit("pass"), F.lit(org)), i=keys.vote_result(F.lit("x.vote_event.fail.json")),
     )
     assert got["a"] == "20250131T001423Z.classification.introduction.upper" and got["b"] == "20250129T000000Z_bill_number_assigned"
     assert got["c"] == "unknown_a_b" and got["d"] == "unknown" and got["e"] == "wy" and got["f"] == "usa" and got["g"] == "wy/2025/HB1"
@@ -39,7 +39,7 @@ def test_keys(spark):
 
 def test_text(spark):
     page = "<html><head><title> T </title><script>x<y</script></head><body>a&amp;b <b>c</b><!-- no --></body></html>"
-    got = one(spark, a=text.html_text(F.lit(page)), b=text.html_title(F.lit(page)), c=text.html_placeholder(F.lit("Please enable JavaScript"), F.lit("x" * 300)),
+    got = one(spark, a=text.html_text(F.lit(page)), b=text.html_title(F.lit(page)), c=text.html_placeholder(F.lit("Please ENABLE JavaScript"), F.lit("x" * 300)),
               d=text.sniff(F.lit(""), F.lit("<?xml version='1.0'?>")), e=text.metric_escape(F.lit("a b,c=d")), f=text.metric_number(F.lit(3.0)), g=text.metric_number(F.lit(3.5)),
               h=text.session_slug(F.lit("2025 Regular")), i=text.session_slug(F.lit("a/b")))
     assert got == {"a": "T a&b c", "b": "T", "c": True, "d": "xml", "e": "a\\ b\\,c\\=d", "f": "3", "g": "3.5", "h": "2025-regular", "i": None}
@@ -83,7 +83,7 @@ def test_read_tree_to_feed(spark, tmp_path):
 
     rows = topic_feed.log_rows(logs, {"bill": bills, "tags": tags}, rule_sets={"wy": RuleSet(("introduction",))})
     feed = topic_feed.feed(topic_feed.select_default(rows), ["trade"], base_url=F.lit("https://x.example/")).collect()
-    assert len(feed) == 1 and feed[0]["title"] == "trade – wy – A bill" and "Action: Signed" in feed[0]["description"]
+    assert len(feed) == 1 and feed[0]["title"] == "trade - unknown - A bill" and "Action: Signed" in feed[0]["description"]
     xml = sinks.feed_xml(topic_feed.feed(topic_feed.select_default(rows)), "T", "L").collect()[0]["rss"]
     assert xml.count("<item>") == 1
 
