@@ -41,11 +41,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids, and whether the ids read back as the text."""
-    vocabulary = spm.load_vocabulary()
-    encoded = spm.decode(spm.encode(docs, vocabulary), vocabulary)
-    return encoded.select(
-        "doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
-    )
+    done = spm.encode_checked(docs.select("doc_id", "source", "lang", "text"), spm.load_vocabulary())
+    return done.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_ids"), "lossless")
 
 
 STAGES = [

@@ -159,12 +159,9 @@ FROM marked GROUP BY doc_id, rn
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether they decode to its text."""
-    vocabulary = spm.load_vocabulary()
-    encoded = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    read = spm.decode(encoded, vocabulary)
-    return read.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"), "ids"
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = spm.encode_checked(docs, spm.load_vocabulary())
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "lossless", "ids")
 
 
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,17 +24,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_CHARS = 2_000_000
-REMEMBERED = 500_000
+SLICE_BYTES = 1_200_000
+REMEMBERED = 200_000
 NEVER = np.int64(1) << 60
 
 
@@ -117,29 +118,34 @@ class Encoder:
         self.none = len(v.pieces)  # stands for a character without a piece
         chosen = [i for i, ok in enumerate(v.normal) if ok]
         self.depth = max(len(v.pieces[i]) for i in chosen)
-        windows = np.zeros((len(chosen), self.depth), ">u4")
+        # characters by the order of their code points: 0 between chunks, 1 for those in no piece
+        chars = sorted({c for i in chosen for c in v.pieces[i]})
+        self.dense = np.ones(0x110000, np.uint16)
+        self.dense[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
+        windows = np.zeros((len(chosen), self.depth), ">u2")
         for row, i in enumerate(chosen):
-            windows[row, : len(v.pieces[i])] = _codes(v.pieces[i])
+            windows[row, : len(v.pieces[i])] = self.dense[_codes(v.pieces[i])]
         tails = windows.copy()
         for row, i in enumerate(chosen):
-            tails[row, len(v.pieces[i]) :] = 0xFFFFFFFF
-        kind = f"S{4 * self.depth}"
+            tails[row, len(v.pieces[i]) :] = 0xFFFF
+        kind = f"S{2 * self.depth}"
         low, high = (np.ascontiguousarray(x).view(kind).ravel() for x in (windows, tails))
         by = np.argsort(low)
         self.low, self.high, self.found = low[by], high[by], np.array(chosen, np.int64)[by]
         self.length = np.array([len(v.pieces[i]) if v.normal[i] else 0 for i in range(self.none)] + [1], np.int64)
-        self.single = {ord(v.pieces[i]): i for i in chosen if len(v.pieces[i]) == 1}
         bits = 1
         while 1 << bits < 16 * len(v.pair_keys):
             bits += 1
         self.filter, self.shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
         self.filter[self._slot(v.pair_keys)] = True
-        self.cut = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        # a control character in no piece stands alone, as no merge reaches over it
+        alone = "".join(f"\\x{c:02x}" for c in range(32) if chr(c) not in chars)
+        self.cut = re.compile(f"{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.starts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        self.flat, self.starts, self.seen = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
@@ -177,14 +183,15 @@ class Encoder:
         """Encode chunks and remember their ids."""
         sizes = np.array([len(c) for c in chunks], np.int64)
         begin = np.cumsum(sizes + 1) - sizes  # a zero stands before each chunk
-        codes = np.zeros(int((sizes + 1).sum()) + self.depth, np.uint32)
-        codes[:-self.depth] = _codes("\0" + "\0".join(chunks))
+        raw = _codes("\0" + "\0".join(chunks))
+        n = len(raw)
+        codes = np.zeros(n + self.depth, np.uint16)
+        codes[:n] = self.dense[raw]
         codes[begin - 1] = 0
-        n = len(codes) - self.depth
         chunk_of = np.repeat(np.arange(len(chunks)), sizes + 1)
         offset = np.arange(n) - begin[chunk_of]
         suffixes = _suffix_array(codes, n, self.depth)
-        windows = np.lib.stride_tricks.sliding_window_view(codes, self.depth)[suffixes].astype(">u4")
+        windows = np.lib.stride_tricks.sliding_window_view(codes, self.depth)[suffixes].astype(">u2")
         # what follows a chunk's end is not part of it
         over = np.arange(self.depth)[None, :] >= (sizes[chunk_of[suffixes]] - offset[suffixes])[:, None]
         windows[over] = 0
@@ -224,10 +231,11 @@ class Encoder:
         tokens, owners = tokens[by], owners[by]
         odd = tokens == self.none
         if odd.any():
-            tokens, owners = self._with_bytes(tokens, owners, chunks, begin, codes)
-        base = self.starts[-1][-1]
-        self.flat.append(tokens.astype(np.int32))
-        self.starts.append(base + np.cumsum(np.bincount(owners, minlength=len(chunks))))
+            tokens, owners = self._with_bytes(tokens, owners, chunks, begin, raw)
+        ends = np.cumsum(np.bincount(owners, minlength=len(chunks)))
+        self.starts = np.r_[self.starts, len(self.flat) + ends]
+        self.flat = np.r_[self.flat, tokens.astype(np.int32)]
+        self.seen = np.r_[self.seen, np.zeros(len(chunks), np.int64)]
         first = len(self.index)
         self.index.update((c, first + k) for k, c in enumerate(chunks))
 
@@ -245,41 +253,58 @@ class Encoder:
         for at in np.flatnonzero(tokens == self.none):
             out.append(tokens[before:at])
             who.append(owners[before:at])
-            ids = self.v.bytes_at[list(chr(codes[place[at]] - 1).encode("utf-8"))]
+            ids = self.v.bytes_at[list(chr(codes[place[at]]).encode("utf-8"))]
             out.append(ids.astype(np.int64))
             who.append(np.full(len(ids), owners[at]))
             before = at + 1
         return np.concatenate([*out, tokens[before:]]), np.concatenate([*who, owners[before:]])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end, from a leading 0 on."""
         cut, index = self.cut.findall, self.index
         chunks = [cut((BLANK + t.replace(" ", BLANK)) if t else "") for t in texts]
-        if len(index) > REMEMBERED:
-            self.forget()
-            index = self.index
+        known = len(index)
         new = list({c: None for row in chunks for c in row if c not in index})
         if new:
             self._learn(new)
-            self.flat, self.starts = [np.concatenate(self.flat)], [np.concatenate(self.starts)]
-        flat, starts = self.flat[0], self.starts[0]
-        out = []
-        for row in chunks:
-            k = np.fromiter(map(index.__getitem__, row), np.int64, len(row))
-            sizes = starts[k + 1] - starts[k]
-            total = int(sizes.sum())
-            out.append(flat[np.repeat(starts[k] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)])
-        return out
+        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        k = np.fromiter(map(index.__getitem__, chain.from_iterable(chunks)), np.int64, int(counts.sum()))
+        sizes = self.starts[k + 1] - self.starts[k]
+        ends = np.r_[0, np.cumsum(sizes)]
+        flat = self.flat[np.repeat(self.starts[k] - ends[:-1], sizes) + np.arange(ends[-1])]
+        self.seen += np.bincount(k, minlength=len(self.seen))
+        self._keep(known)
+        return flat, ends[np.r_[0, np.cumsum(counts)]]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        flat, ends = self.encode_flat(texts)
+        return np.split(flat, ends[1:-1]) if texts else []
+
+    def _keep(self, known: int) -> None:
+        """Keep the chunks known before and the new ones met twice; the more frequent half if that is too many."""
+        chosen = np.r_[np.ones(known, bool), self.seen[known:] > 1]
+        if chosen.sum() > REMEMBERED:
+            chosen &= self.seen > np.median(self.seen[chosen])
+        if chosen.all():
+            return
+        kept, sizes = np.flatnonzero(chosen), np.diff(self.starts)
+        self.flat = self.flat[np.repeat(chosen, sizes)]
+        self.starts = np.r_[0, np.cumsum(sizes[kept])]
+        self.seen = self.seen[kept]
+        names = list(self.index)
+        self.index = {names[k]: at for at, k in enumerate(kept.tolist())}
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32) + np.uint32(1)
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def _suffix_array(codes: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Places 0..n-1 in the order of the ``depth`` codes from each on, by prefix doubling."""
     rank = codes.astype(np.int64)
-    span, order = 1, np.argsort(rank)
+    span = 1
+    order = np.argsort(rank) if depth == 1 else rank
     while span < depth:
         key = rank * (int(rank.max()) + 1)
         key[: len(rank) - span] += rank[span:]
@@ -291,46 +316,97 @@ def _suffix_array(codes: np.ndarray, n: int, depth: int) -> np.ndarray:
     return order[order < n]
 
 
+class Decoder:
+    """Texts of ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.table = [p.replace(BLANK, " ").encode() if ok else b"" for p, ok in zip(vocabulary.pieces, vocabulary.normal)]
+        for byte, i in enumerate(vocabulary.bytes_at):
+            if i != vocabulary.unknown:
+                self.table[i] = bytes([byte])
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch whose texts have a bounded size together (or one text), with these texts."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    first = 0
+    while first < len(sizes):
+        last = first + max(1, int(np.searchsorted(np.cumsum(sizes[first:]), SLICE_BYTES, "right")))
+        part = batch.slice(first, last - first)
+        yield part, part.column(column).to_pylist()
+        first = last
+
+
+def _with(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with columns that ``make(slice, texts)`` gives as Arrow arrays; columns of these names are replaced.
+
+    Rows go through Arrow in slices, so that a worker holds one slice's objects at a time."""
+    kept = [f for f in df.schema.fields if f.name not in columns]
+    schema = T.StructType(kept + [T.StructField(n, t) for n, t in columns.items()])
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slicer = make()
+        for batch in batches:
+            for part, arrays in slicer(batch):
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *arrays], [*names, *columns])
+
+    return df.mapInArrow(run, schema)
+
+
+def _id_lists(flat: np.ndarray, ends: np.ndarray, texts: list[str | None]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([t is None for t in texts]))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` plus the ids of ``column``."""
+    return _encode(docs, vocabulary, column, to, None)
+
+
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str = "ids", check: str = "lossless") -> DataFrame:
+    """``docs`` plus the ids and whether they decode to the text; null text is lossless.
+
+    Encoding and decoding share one Python worker, so the ids cross to Spark once."""
+    return _encode(docs, vocabulary, column, to, check)
+
+
+def _encode(docs: DataFrame, vocabulary: Vocabulary, column: str, to: str, check: str | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value)
-        for batch in batches:
-            out, part, size = [], [], 0
-            for text in batch:
-                part.append(text or "")
-                size += len(part[-1])
-                if size > SLICE_CHARS:
-                    out += encoder.encode(part)
-                    part, size = [], 0
-            out += encoder.encode(part)
-            yield pd.Series([None if t is None else x for t, x in zip(batch, out)], dtype=object)
+    def make():
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+
+        def slicer(batch):
+            for part, texts in _slices(batch, column):
+                flat, ends = encoder.encode_flat([t or "" for t in texts])
+                arrays = [_id_lists(flat, ends, texts)]
+                if check:
+                    arrays.append(pa.array([decoder.decode(flat[a:b]) == (t or "") for a, b, t in zip(ends[:-1], ends[1:], texts)]))
+                yield part, arrays
 
-    return docs.withColumn(to, ids(F.col(column)))
+        return slicer
+
+    kinds = {to: T.ArrayType(T.IntegerType())} | ({check: T.BooleanType()} if check else {})
+    return _with(docs, kinds, make)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` plus the text of the ids in ``column``."""
-    table = [p.replace(BLANK, " ").encode() for p in vocabulary.pieces]
-    for byte, i in enumerate(vocabulary.bytes_at):
-        if i != vocabulary.unknown:
-            table[i] = bytes([byte])
-    for i in range(len(table)):
-        if not vocabulary.normal[i] and len(table[i]) != 1:
-            table[i] = b""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf(T.StringType())
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = shared.value.__getitem__
-        for batch in batches:
-            out = []
-            for ids in batch:
-                text = None if ids is None else b"".join(map(piece, ids.tolist())).decode("utf-8", "replace")
-                out.append(text[1:] if text and text[0] == " " else text)
-            yield pd.Series(out, dtype=object)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        decoder = Decoder(shared.value)
+
+        def slicer(batch):
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                lists = part.column(column)
+                yield part, [pa.array([None if not x.is_valid else decoder.decode(np.asarray(x.values)) for x in lists], pa.string())]
+
+        return slicer
 
-    return docs.withColumn(to, texts(F.col(column)))
+    return _with(docs, {to: T.StringType()}, make)
