@@ -108,13 +108,17 @@ def metric_lines(samples: DataFrame, measurement: str, tags: Sequence[str], ts_n
     return samples.withColumn("line", line).filter(F.col("line").isNotNull())
 
 
-def log_streams(lines: DataFrame, labels: Sequence[str], ns: str, line: str, metadata: str | None = None) -> DataFrame:
-    """One row per label set with its values in time order as JSON; sets with a bad label are left out."""
+def log_streams(lines: DataFrame, labels: Sequence[str], ns: str, line: str, metadata: str | None = None, span_ns: int | None = None) -> DataFrame:
+    """One row per label set with its values in time order as JSON; sets with a bad label are left out.
+
+    With ``span_ns`` a set's values are cut into rows of so much time (``span`` numbers them), which bounds a row
+    where one label set holds much of the log."""
     good = F.lit(True)
     for label in labels:
         good = good & F.col(label).isNotNull() & ~F.col(label).cast("string").rlike(r"[\r\n]")
     entry = F.struct(F.col(ns).alias("ns"), F.col(line).alias("line"), *([F.col(metadata).alias("metadata")] if metadata else []))
-    return lines.filter(good).groupBy(*labels).agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("values"), F.count(F.lit(1)).alias("n_values"))
+    span = [F.floor(F.col(ns) / span_ns).alias("span")] if span_ns else []
+    return lines.filter(good).groupBy(*labels, *span).agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("values"), F.count(F.lit(1)).alias("n_values"))
 
 
 def expected_series(fleet: DataFrame) -> DataFrame:

@@ -62,3 +62,13 @@ def test_dashboard_and_summary(spark):
 def test_quarantine_once(spark):
     bad = spark.createDataFrame([("c", "x"), ("c", "y")], "category string, name string")
     assert sinks.quarantine(bad, bad.filter("name = 'x'")).collect()[0]["name"] == "y"
+
+
+def test_log_streams_in_spans(spark):
+    from lawmill.operators import health
+
+    lines = spark.createDataFrame([("a", 5, "x"), ("a", 1, "w"), ("a", 12, "y"), ("b\n", 1, "z")], "label string, ns long, line string")
+    whole = health.log_streams(lines, ["label"], "ns", "line").collect()
+    assert len(whole) == 1 and [v["line"] for v in json.loads(whole[0]["values"])] == ["w", "x", "y"]
+    parts = health.log_streams(lines, ["label"], "ns", "line", span_ns=10).orderBy("span").collect()
+    assert [(r["span"], r["n_values"]) for r in parts] == [(0, 2), (1, 1)]
