@@ -52,7 +52,7 @@ class TokenHashes(dict):
     """Token to 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
         return value

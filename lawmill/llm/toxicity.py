@@ -31,8 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lawmill.session import materialise
+
 SAMPLE_ROWS = 2500
 LEAST_ROWS = 4
+LEAST_RATIO = 4.0
 GRADES = 4
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
@@ -112,59 +115,80 @@ def _best_cut(scores: np.ndarray, toxic: np.ndarray, clean_weight: float = 10.0)
     return float(ends[first] + ends[last + 1]) / 2
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pd.DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     """doc_id, toxic (and grade), features of the sampled labelled rows; at most ``sample_rows`` of each class."""
-    graded = "grade" in labels.columns
+    graded = ["grade"] if "grade" in labels.columns else []
     kept = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(
-        "doc_id", F.col("toxic").cast("int").alias("toxic"), *(["grade"] if graded else [])
+        F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"), *graded
     )
     parts = [
-        kept.filter(test).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-        for test in ("toxic > 0", "toxic <= 0")
+        kept.filter(F.col("toxic") == side).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows) for side in (0, 1)
     ]
-    picked = F.broadcast(parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "toxic", *(["grade"] if graded else [])))
+    picked = F.broadcast(parts[0].unionByName(parts[1]))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted({f for w in text_words(t) for f in word_features(w)}) for t in texts], dtype=object)
 
-    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).drop("_id")
-    return rows.withColumn("features", features(F.col("text"))).drop("text").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", *graded, features(F.col("text")).alias("features"))
+    columns = [F.first(c).alias(c) for c in ("toxic", *graded)]
+    return rows.groupBy("doc_id").agg(*columns, F.max("features").alias("features"))
+
+
+def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The sampled rows with their telling features and number of features, and the telling features with their counts.
+
+    A feature tells if at least three rows hold it and its share of rows differs between the classes by three standard
+    errors and by a factor. The factor keeps out common words, whose shares differ only because one class has longer texts.
+    """
+    sample = materialise(_sample(docs, labels, sample_rows))
+    n = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
+    if min(n.get(0, 0), n.get(1, 0)) < LEAST_ROWS:
+        return pd.DataFrame(), pd.DataFrame()
+    each = sample.select("doc_id", "toxic", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.sum("toxic").alias("held"), F.sum(1 - F.col("toxic")).alias("held_clean"))
+    share = (F.col("held") + F.col("held_clean")) / (n[0] + n[1])
+    gap = (F.col("held") + 0.5) / (n[1] + 1) - (F.col("held_clean") + 0.5) / (n[0] + 1)
+    error = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-12
+    telling = counts.filter((F.abs(gap) / error >= 3) & (F.col("held") + F.col("held_clean") >= 3)).toPandas().sort_values("feature")
+    ids = docs.sparkSession.createDataFrame(telling[["feature"]]) if len(telling) else each.select("feature").limit(0)
+    held = each.join(F.broadcast(ids), "feature").groupBy("doc_id").agg(F.collect_list("feature").alias("told"))
+    rows = sample.withColumn("n_features", F.size("features")).drop("features").join(held, "doc_id", "left")
+    return rows.toPandas().sort_values("doc_id").reset_index(drop=True), telling.reset_index(drop=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model from documents and their labels (doc_id, toxic 0/1, optionally grade 0, 1, ...)."""
-    rows = _training_rows(docs, labels, sample_rows)
-    toxic = rows["toxic"].to_numpy() > 0
-    if toxic.sum() < LEAST_ROWS or (~toxic).sum() < LEAST_ROWS:
+    rows, telling = _training_rows(docs, labels, sample_rows)
+    if not len(rows):
         return Model()
-    sizes = rows["features"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(rows)), sizes)
-    ids, column = np.unique(np.concatenate([np.asarray(x, np.int64) for x in rows["features"]]), return_inverse=True)
-    held = [np.bincount(column[toxic[row] == side], minlength=len(ids)) for side in (False, True)]
-    rate = [(h + 0.5) / (n + 1) for h, n in zip(held, ((~toxic).sum(), toxic.sum()))]
-    total = (held[0] + held[1]) / len(rows)
-    spread = np.sqrt(total * (1 - total) * (1 / toxic.sum() + 1 / (~toxic).sum())) + 1e-12
-    telling = (np.abs(rate[1] - rate[0]) / spread >= 3) & (held[0] + held[1] >= 3)
-    markers = telling & (rate[1] >= 10 * rate[0])
+    toxic = rows["toxic"].to_numpy() > 0
+    told = [[] if x is None else x for x in rows["told"]]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in told])
+    ids = telling["feature"].to_numpy(np.int64)
+    column = np.searchsorted(ids, np.array([f for x in told for f in x], np.int64))
+    rate = [(telling[name].to_numpy(float) + 0.5) / (n + 1) for name, n in (("held_clean", (~toxic).sum()), ("held", toxic.sum()))]
+    markers = rate[1] >= 10 * rate[0]
     if "grade" in rows:
         grade = rows["grade"].fillna(0).to_numpy(np.int64)
     else:
-        density = np.bincount(row, markers[column], len(rows)) / np.maximum(sizes, 1)
+        density = np.bincount(row, markers[column], len(rows)) / np.maximum(rows["n_features"].to_numpy(), 1)
         edges = np.quantile(density[toxic], [1 / 3, 2 / 3])
         grade = np.where(toxic, 1 + (density > edges[0]) + (density > edges[1]), 0)
     # dense grades: a level that no row has can't place its threshold
-    levels = np.unique(grade)
-    kept = telling[column]
-    chosen = np.flatnonzero(telling)
-    weights, cuts = fit_ordinal(row[kept], np.searchsorted(chosen, column[kept]), len(chosen), np.searchsorted(levels, grade))
+    levels, grade = np.unique(grade, return_inverse=True)
+    if len(levels) < 2:
+        return Model()
+    weights, cuts = fit_ordinal(row, column, len(ids), grade)
     # the thresholds keep their distances; the lowest moves to where the classes part best
-    cuts = cuts + _best_cut(np.bincount(row[kept], weights[np.searchsorted(chosen, column[kept])], len(rows)), grade > 0) - cuts[0]
-    return Model({int(ids[c]): float(w) for c, w in zip(chosen, weights) if w}, [float(c) for c in cuts])
+    cuts = cuts + _best_cut(np.bincount(row, weights[column], len(rows)), grade > 0) - cuts[0]
+    return Model({int(f): float(w) for f, w in zip(ids, weights) if w}, [float(c) for c in cuts])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus ``toxicity``: struct of severity, grade (most likely), toxic_probability = P(grade > 0)."""
+    """``docs`` plus ``toxicity``: struct of severity, grade (most likely), toxic_probability = P(grade > 0).
+
+    A column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SCORE)
@@ -173,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         class Known(dict):
             def __missing__(self, word: str) -> float:
-                if len(self) > 500_000:
+                if len(self) > 200_000:
                     self.clear()
                 value = self[word] = sum(weights.get(f, 0.0) for f in word_features(word))
                 return value
