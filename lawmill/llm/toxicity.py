@@ -150,7 +150,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tupl
     share = (F.col("held") + F.col("held_clean")) / (n[0] + n[1])
     gap = (F.col("held") + 0.5) / (n[1] + 1) - (F.col("held_clean") + 0.5) / (n[0] + 1)
     error = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-12
-    telling = counts.filter((F.abs(gap) / error >= 3) & (F.col("held") + F.col("held_clean") >= 3)).toPandas().sort_values("feature")
+    ratio = ((F.col("held") + 0.5) / (n[1] + 1)) / ((F.col("held_clean") + 0.5) / (n[0] + 1))
+    marked = (F.abs(gap) / error >= 3) & (F.greatest(ratio, 1 / ratio) >= LEAST_RATIO)
+    telling = counts.filter(marked & (F.col("held") + F.col("held_clean") >= 3)).toPandas().sort_values("feature")
     ids = docs.sparkSession.createDataFrame(telling[["feature"]]) if len(telling) else each.select("feature").limit(0)
     held = each.join(F.broadcast(ids), "feature").groupBy("doc_id").agg(F.collect_list("feature").alias("told"))
     rows = sample.withColumn("n_features", F.size("features")).drop("features").join(held, "doc_id", "left")
