@@ -133,7 +133,10 @@ def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect all fingerprints within the budget of each other, from distinct ``fp``."""
-    keyed = distinct.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
+    # fingerprints are few bytes but each becomes 64 keys, so they are spread by the keys' size, not their own;
+    # by a hash of their own, as Spark would take a second exchange by the same column out
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    keyed = spread.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links, "a long, b long").distinct()
 
 
