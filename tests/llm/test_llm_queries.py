@@ -152,11 +152,11 @@ def test_benchmark_blocks_agree(spark, sf_dir):
 
 
 def test_op1_held_out(spark):
-    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     model = toxicity.fit(docs, labels.filter("doc_id % 3 > 0"))
     scored = toxicity.score(docs.join(labels.filter("doc_id % 3 = 0"), "doc_id"), model).select("toxic", "toxicity.*").toPandas()
     right = (scored.toxic_probability >= 0.5) == (scored.toxic > 0)
-    assert right.mean() > 0.9 and (scored.severity[scored.toxic > 0].mean() > scored.severity[scored.toxic == 0].mean() + 1)
+    assert right.mean() > 0.97 and (scored.severity[scored.toxic > 0].mean() > scored.severity[scored.toxic == 0].mean() + 1)
     assert model.thresholds == sorted(model.thresholds)
 
 
