@@ -2,7 +2,7 @@
 
 1 toxicity: documents whose probability of a grade above 0 is one half or more go.
 2 line_dedup: lines that five or more documents share go, except in the largest doc_id.
-3 simhash: one document of each near-duplicate group stays, the smallest doc_id.
+3 simhash: one document of each group of near copies (5-word Jaccard of 0.8 or more) stays, the smallest doc_id.
 4 decontamination: documents that overlap a benchmark item go.
 5 sentencepiece: the texts that are left become ids; the ids decode to the text.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import decontam, linededup, simhash, spm, toxicity
+from lawmill.llm import decontam, linededup, nearcopies, simhash, spm, toxicity
 from lawmill.llm.rows import pack, unpack
 from lawmill.session import checkpoint_dir
 from lawmill.sources.tables import table
@@ -31,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_of_each(docs)
+    return simhash.keep_one_of_each(docs, nearcopies.near_copy_groups)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ doc_id (null where nothing else is in it); repeated rows stay; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,12 +153,12 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group.
+def keep_one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame] = near_duplicate_groups) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, of which ``groups_of`` names the kind.
 
     A doc_id stands for one document: its repeated rows stay or go together. Rows without a doc_id stay.
     """
-    groups = near_duplicate_groups(docs.filter(F.col("doc_id").isNotNull()))
+    groups = groups_of(docs.filter(F.col("doc_id").isNotNull()))
     losers = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(losers, "doc_id", "left_anti")
     return kept.select(*docs.columns)

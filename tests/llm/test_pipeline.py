@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -38,3 +40,27 @@ def test_odd_rows_pass_through(spark, odd_docs, sf_dir):
         assert out.columns == docs.columns, name
         assert out.filter("doc_id = 4").count() == 1
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_near_copies_from_four_fifths_on_go(spark, sf_dir):
+    """Against all pairs: copies with changed words, from a similarity near 1 to far below 0.8, and a chain."""
+    rng = random.Random(6)
+    texts, words = [], [f"w{i}" for i in range(5000)]
+    for number in range(60):
+        text = [rng.choice(words) for _ in range(rng.choice([30, 90, 300]))]
+        texts.append(text)
+        for _ in range(40 if number == 0 else number % 4):
+            text = list(text if number % 2 else texts[-1])
+            for at in rng.sample(range(len(text)), max(1, len(text) // rng.choice([30, 50, 100]))):
+                text[at] = rng.choice(words)
+            texts.append(text)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, sf_dir).collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r} and len(kept) < len(texts) - 40
