@@ -5,9 +5,11 @@ import shutil
 import subprocess
 import sys
 
-import __spark_entry__ as entry
+import pytest
 from helpers import ROOT
 
+import __spark_entry__ as entry
+
 
 def test_entry_runs(spark):
     assert entry.entry(spark).limit(5).count() == 5
@@ -17,11 +19,16 @@ def test_sql_only_for_known_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_works_without_llm(tmp_path):
+@pytest.mark.parametrize("pipeline_stays", [True, False])
+def test_works_without_llm(tmp_path, pipeline_stays):
+    """The tree without the two llm folders, with and without the pipeline module, answers and runs a query."""
+    left_out = lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__") or (n == "corpus_pipeline.py" and not pipeline_stays)]
     copy = tmp_path / "repo"
-    shutil.copytree(os.path.join(ROOT, "lawmill"), copy / "lawmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), copy)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'dedup_best' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q); e.oracle_sql()"
+    shutil.copytree(ROOT, copy, ignore=left_out)
+    code = (
+        "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); assert set(s) <= set(q) and 'dedup_best' in q and 'pipeline' not in q;"
+        "assert not any(n.startswith('op') and n[2].isdigit() for n in q)"
+    )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
