@@ -1,24 +1,38 @@
-"""Groups of near copies: documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles.
+"""SimHash near-dedup at a similarity: groups of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more.
 
 Words are those of ``simhash``; a text of fewer words is one shingle, a text without words has none. Equal
-shingle sets are folded into one node first, named by its smallest doc_id. 180 MinHash values in 30 bands of six
-find the candidates: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8^6)^30 = 0.0001.
-Every link is then checked exactly on the shingle sets, as joins.
+shingle sets are folded into one node first, named by its smallest doc_id.
 
-A bucket of a band is never paired in full while it is large. In each turn one member of it, another each turn,
-is compared with the members of other components, and a bucket within one component is done. Once the pairs that
-are left across components are few (or after ``TURNS`` turns), all of them are compared, so that what is found
-equals what all pairs of all buckets would give.
+Two sets of similarity 0.8 differ in about 15 of 100 SimHash bits, too many for a 64-bit fingerprint to tell from
+chance. So the fingerprint here is wide: a ring of 129 segments of 20 bits, the signs of 2,580 random projections of
+the set (each shingle adds +1 or -1 to one of 4,096 places; random signs and Hadamard transforms mix the places).
 
-Defined results: null text is empty; null doc_id rows are in no group; an empty table gives an empty table.
+Candidates, by pigeonring: a chain starts at a segment that two fingerprints share and goes on for six segments; the
+differences of its first 2, 3, ... 7 segments must stay within the proportional budget of 4 a segment. A pair of
+similarity 0.8 fails to share all 129 segments with a probability of (1 - 0.848^20)^129 = 0.008, one of 0.85 with 0.0002.
+Candidates then go through the full Hamming check (a fifth of all bits) and an exact check of the shingle sets.
+
+The rows of one segment value give a spanning forest by a walk, not pairs, so a dense group of n nodes yields n - 1
+links there. Links are checked nearest first: in each turn every component so far has its nearest open link checked,
+links within a component drop out, and what is left after ``TURNS`` turns is checked as a whole.
+
+Defined results: null text is empty; texts without words are one group; null doc_id rows are in no group; repeated
+rows and ties are equal sets; very long texts count whole; an empty table gives an empty table; only ``doc_id`` and
+``text`` are read, so other columns may have any names.
+
+Scale: the shuffled rows are 129 of 28 bytes for each distinct shingle set. The rows that share a segment by chance
+grow with the square of the corpus, divided by 2 to the power of the bits of a segment: 20 bits suit some ten
+million distinct texts; beyond, take longer segments and more of them (1.18 times as many for each further bit).
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +42,18 @@ from lawmill.llm.components import connected_components
 from lawmill.session import materialise
 
 WORDS = 5
-BANDS, ROWS = 30, 6
-#: Turns of one comparison per member, and the pairs per member up to which all are compared.
-TURNS, PAIRS = 12, 8
-MARKS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SIMILAR = (4, 5)  # four fifths
+SEGMENTS, BITS, CHAIN = 129, 20, 6  # CHAIN segments are compared after the shared one
+BUDGET = 4  # differing bits a segment, a fifth
+PLACES = 4096
+TURNS = 3
+SALTS = 32
+MARKS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("ring", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("ring", T.ArrayType(T.LongType()))])
 _random = np.random.default_rng(5)
-XORS, FACTORS = (_random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
-FACTORS |= np.uint64(1)
+SIGNS = _random.choice((-1.0, 1.0), (2, PLACES))
+ORDER = _random.permutation(PLACES)[: SEGMENTS * BITS]
+MASK = np.int64((1 << BITS) - 1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -47,74 +66,171 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """One key per band; none for an empty set."""
-    if not len(found):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 512):
-        np.minimum(least, ((found[at : at + 512] ^ XORS) * FACTORS).min(axis=1), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), number) for number, band in enumerate(bands)], np.uint64).view(np.int64)
+def _hadamard(size: int) -> np.ndarray:
+    matrix = np.ones((1, 1))
+    while len(matrix) < size:
+        matrix = np.block([[matrix, matrix], [matrix, -matrix]])
+    return matrix
+
+
+def rings(sets: list[np.ndarray]) -> np.ndarray:
+    """One row per set: the ring's segments, three in each 64-bit word. Sums stay whole numbers, so signs are exact."""
+    side = _hadamard(64)
+    mixed = np.stack([np.bincount((s & np.uint64(PLACES - 1)).astype(np.int64), 1.0 - 2.0 * (s >> np.uint64(63)), PLACES) for s in sets])
+    for signs in SIGNS:
+        mixed = (side @ (mixed * signs).reshape(-1, 64, 64) @ side).reshape(-1, PLACES)
+    bits = (mixed[:, ORDER] > 0).reshape(len(sets), SEGMENTS // 3, 3 * BITS)
+    return bits @ (np.int64(1) << np.arange(3 * BITS, dtype=np.int64))
 
 
 @F.pandas_udf(MARKS)
 def marks(texts: pd.Series) -> pd.DataFrame:
+    digests, found = [], []
+    for at in range(0, len(texts), 64):
+        sets = [shingles(t) for t in texts[at : at + 64]]
+        digests += [hashlib.md5(s.tobytes()).digest() for s in sets]
+        found += list(rings(sets))
+    return pd.DataFrame({"digest": pd.Series(digests, dtype=object), "ring": pd.Series(found, dtype=object)})
+
+
+@F.pandas_udf(SETS)
+def shingle_sets(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"digest": [hashlib.md5(s.tobytes()).digest() for s in sets], "keys": [band_keys(s) for s in sets]})
+    found = [ring for at in range(0, len(sets), 64) for ring in rings(sets[at : at + 64])]
+    return pd.DataFrame({"shingles": pd.Series([s.view(np.int64) for s in sets], dtype=object), "ring": pd.Series(found, dtype=object)})
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, near, far): each segment of a ring, with the six segments that follow in two words."""
+    for batch in batches:
+        for at in range(0, len(batch), 200):
+            part = batch.slice(at, 200)
+            words = part.column("ring").flatten().to_numpy().reshape(len(part), -1)
+            segments = np.stack([words & MASK, words >> BITS & MASK, words >> 2 * BITS & MASK], axis=2).reshape(len(part), SEGMENTS)
+            ahead = [np.roll(segments, -k, axis=1) for k in range(1, CHAIN + 1)]
+            near, far = (sum(ahead[i + k] << (BITS * k) for k in range(3)) for i in (0, 3))
+            key = segments | np.arange(SEGMENTS, dtype=np.int64) << BITS
+            node = np.repeat(part.column("node").to_numpy(), SEGMENTS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.ravel().astype(np.int32)), *(pa.array(x.ravel()) for x in (node, near, far))], ["key", "node", "near", "far"]
+            )
+
+
+def _chain(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the chains of (near, far) rows keep every prefix within its budget, and all their differing bits."""
+    total, ok = np.zeros(np.broadcast(a[..., 0], b[..., 0]).shape, np.int64), True
+    for word in (0, 1):
+        differ = a[..., word] ^ b[..., word]
+        for k in range(3):
+            total = total + np.bitwise_count(differ >> BITS * k & MASK)
+            ok = ok & (total <= BUDGET * (3 * word + k + 2))
+    return ok, total
+
+
+def _walk(node: np.ndarray, chain: np.ndarray) -> list[tuple[int, int, int]]:
+    """(a, b, differing bits) of a spanning forest of the rows of one key."""
+    links, rest = [], np.arange(len(node))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            here = queue.pop(0)
+            ok, total = _chain(chain[rest], chain[here])
+            links += [(int(node[here]), int(node[x]), int(d)) for x, d in zip(rest[ok], total[ok])]
+            queue.extend(rest[ok])
+            rest = rest[~ok]
+    return links
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def shingle_sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of all keys; rows come sorted by key and node, so a key may reach over several batches."""
+
+    def links_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, node, near, far = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("key", "node", "near", "far"))
+        chain = np.stack([near, far], axis=1)
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        size = np.diff(edge)
+        # keys of few rows are walked only if some pair is close
+        wanted = size > 8
+        for step in range(1, 8):
+            first = np.flatnonzero(key[step:] == key[:-step])
+            close = first[_chain(chain[first], chain[first + step])[0]]
+            wanted[np.searchsorted(edge, close, "right") - 1] = True
+        links = [x for at, n in zip(edge[:-1][wanted], size[wanted]) for x in _walk(node[at : at + n], chain[at : at + n])]
+        a, b, d = np.array(links, np.int64).reshape(-1, 3).T
+        a, b, d = a[a != b], b[a != b], d[a != b]  # a doc_id may stand for two texts
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "d"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last == 0 and held and held[-1].column("key")[0].as_py() == key[0]:
+            held.append(batch)  # one key goes on
+            continue
+        yield links_of([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield links_of(held)
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """(a, b, d) from (node, ring): links between close fingerprints and their differing bits on the best chain."""
+    # a ring is a few hundred bytes but becomes 129 rows, so rings are spread by the rows' size, not their own
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node"))
+    keyed = spread.select("node", "ring").mapInArrow(_keyed, "key int, node long, near long, far long")
+    sorted_rows = keyed.repartition("key").sortWithinPartitions("key", "node")
+    return sorted_rows.mapInArrow(_bucket_links, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
-    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")) for n in ("a", "b"))
+    """The pairs (a, b) within the Hamming budget whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    # a is the hub of a dense group; its set goes out once per salt, so that no task has all of its pairs
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    left, right = (sets.select(F.col("node").alias(n), F.col("ring").alias(f"ring_{n}"), F.col("shingles").alias(f"set_{n}")) for n in ("a", "b"))
+    hubs = salted.select("a", "salt").distinct().join(left, "a")
+    differ = F.aggregate(F.zip_with("ring_a", "ring_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    near = salted.join(hubs, ["a", "salt"]).join(right, "b").filter(differ <= BUDGET * SEGMENTS)
     both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.filter(9 * both >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
+    low, high = SIMILAR
+    return near.filter((low + high) * both >= low * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def node_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): checked links that connect what all similar pairs within a bucket of (key, node) connect."""
-    links = members.sparkSession.createDataFrame([], "a long, b long")
-    total = members.count()
+def checked_links(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): similar pairs among ``links`` that connect what all similar pairs among them connect."""
+    done, rest = None, links
     for turn in range(TURNS + 1):
-        roots = connected_components(links) if turn else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        still = materialise(rooted.join(open_keys.select("key"), "key", "left_semi"))
-        sizes = still.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-        squares = sizes.agg((F.sum("n").cast("double") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-        left = squares.agg(F.sum("pairs")).first()[0]
-        if not left:
-            return links
-        last = left <= 2 * PAIRS * total or turn == TURNS
-        if last:
-            other = still.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+        if turn:
+            roots = connected_components(done)
+            for end in ("a", "b"):
+                root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+                rest = rest.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
         else:
-            one = still.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("one"))
-            other = one.select("key", F.col("one.node").alias("other"), F.col("one.root").alias("other_root"))
-        pairs = still.join(other, "key").filter(F.col("root") != F.col("other_root"))
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        links = materialise(links.unionByName(similar(pairs, sets)))
-        if last:
-            return links
-    return links
+            rest = rest.withColumn("root_a", F.col("a")).withColumn("root_b", F.col("b"))
+        rest = materialise(rest.filter("root_a <> root_b"))
+        if rest.isEmpty():
+            break
+        picked = rest
+        if turn < TURNS:
+            best = F.min(F.struct("d", "a", "b")).alias("best")
+            nearest = [rest.groupBy(F.col(f"root_{end}").alias("root")).agg(best) for end in ("a", "b")]
+            picked = nearest[0].unionByName(nearest[1]).groupBy("root").agg(F.min("best").alias("best")).select("best.a", "best.b").distinct()
+            picked = materialise(picked)
+        found = similar(picked, sets)
+        done = materialise(found if done is None else done.unionByName(found))
+        rest = rest.join(picked, ["a", "b"], "left_anti").select("a", "b", "d")
+    return links.select("a", "b").limit(0) if done is None else done
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs`` with a doc_id."""
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     marked = materialise(texts.select("doc_id", marks("text").alias("m")).select("doc_id", "m.*"))
-    classes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
-    keyed = classes.select(F.explode("keys").alias("key"), "node").distinct()
-    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = materialise(keyed.join(many, "key", "left_semi"))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), shingle_sets("text").alias("shingles"))
-    roots = connected_components(node_links(members, materialise(sets)))
+    classes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("ring").alias("ring")))
+    links = materialise(candidate_links(classes.select("node", "ring")))
+    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+    sets = texts.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), shingle_sets("text").alias("s"))
+    roots = connected_components(checked_links(links, materialise(sets.select("node", "s.*"))))
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, "digest").select("doc_id", "component_id")

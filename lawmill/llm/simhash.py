@@ -15,7 +15,8 @@ of n fingerprints yields n - 1 links that connect just what all of its pairs wou
 folded into one row first. Components are then joins and aggregations.
 
 Defined results: null text is empty text; null doc_id rows get a fingerprint and their component's smallest
-doc_id (null where nothing else is in it); repeated rows stay; an empty table gives an empty table.
+doc_id (null where nothing else is in it); repeated rows and ties stay; very long texts count whole; an empty table
+gives an empty table; only ``doc_id`` and ``text`` are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -88,14 +89,16 @@ def _chain_ok(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _forest(members: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the bucket's graph, in which fingerprints within the budget are linked."""
+def _forest(members: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the bucket's graph, in which fingerprints are linked that keep the chain from
+    ``start`` and the Hamming budget. A link that keeps another chain only is found in that chain's bucket."""
     links, rest = [], members
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
-            near = np.bitwise_count(rest ^ queue[-1]) <= BUDGET
             here = queue.pop()
+            differ = rest ^ here
+            near = _chain_ok(differ, np.full(len(rest), start)) & (np.bitwise_count(differ) <= BUDGET)
             if near.any():
                 links += [(int(here), int(x)) for x in rest[near]]
                 queue.extend(rest[near])
@@ -105,30 +108,33 @@ def _forest(members: np.ndarray) -> list[tuple[int, int]]:
 
 def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of all buckets; rows come sorted by key, so a bucket may reach over several batches."""
-    key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
 
-    def links_of(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+    def links_of(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        key = np.concatenate([p["key"].to_numpy(np.int64) for p in parts])
+        fp = np.concatenate([p["fp"].to_numpy(np.int64) for p in parts]).view(np.uint64)
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         size = np.diff(edge)
         two = edge[:-1][size == 2]
         a, b, start = fp[two], fp[two + 1], key[two] >> 30
         ok = _chain_ok(a ^ b, start)
         ok[ok] = np.bitwise_count(a[ok] ^ b[ok]) <= BUDGET
-        more = [x for at, n in zip(edge[:-1][size > 2], size[size > 2]) for x in _forest(fp[at : at + n])]
+        more = [x for at, n in zip(edge[:-1][size > 2], size[size > 2]) for x in _forest(fp[at : at + n], int(key[at]) >> 30)]
         more_a, more_b = (np.array([x[k] for x in more], np.uint64) for k in (0, 1))
         return pd.DataFrame({"a": np.r_[a[ok], more_a].view(np.int64), "b": np.r_[b[ok], more_b].view(np.int64)}).drop_duplicates()
 
+    held: list[pd.DataFrame] = []  # rows of one key
     for batch in batches:
-        key = np.r_[key, batch["key"].to_numpy(np.int64)]
-        fp = np.r_[fp, batch["fp"].to_numpy(np.int64).view(np.uint64)]
-        if not len(key):
+        if not len(batch):
             continue
-        last = np.searchsorted(key, key[-1])
-        if last:
-            yield links_of(key[:last], fp[:last])
-            key, fp = key[last:], fp[last:]
-    if len(key):
-        yield links_of(key, fp)
+        key = batch["key"].to_numpy(np.int64)
+        last = int(np.searchsorted(key, key[-1]))
+        if last == 0 and held and held[-1]["key"].iloc[0] == key[0]:
+            held.append(batch)  # the bucket goes on
+            continue
+        yield links_of([*held, batch.iloc[:last]])
+        held = [batch.iloc[last:]]
+    if held:
+        yield links_of(held)
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -143,14 +149,18 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     marked = materialise(docs.select("doc_id", fingerprints("text").alias("fp")))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(classes.select("fp")))
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a class of equal fingerprints is named by its smallest doc_id, so that a component's smallest name is its id;
+    # a class without any doc_id sorts behind all others
+    least = F.min("doc_id")
+    name = F.struct(least.isNull().alias("unnamed"), F.coalesce(least, "fp").alias("id")).alias("name")
+    classes = materialise(marked.groupBy("fp").agg(name))
+    links = fingerprint_links(classes.select("fp"))
+    for end in ("a", "b"):
+        links = links.join(classes.select(F.col("fp").alias(end), F.col("name").alias(f"name_{end}")), end)
+    roots = connected_components(links.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
+    named = classes.join(roots, classes["name"] == roots["node"], "left").select("fp", F.coalesce("root", "name").alias("root"))
+    component = F.when(~F.col("root.unnamed"), F.col("root.id"))
+    return marked.join(named, "fp").select("doc_id", "fp", component.alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame] = near_duplicate_groups) -> DataFrame:
