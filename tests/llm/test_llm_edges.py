@@ -85,7 +85,9 @@ def test_decontamination(spark, odd_docs, no_docs):
     out = decontam.find_contamination(docs, benchmark)
     assert sorted(out.columns) == sorted(docs.columns)
     hits = {r["doc_id"]: [tuple(c) for c in r["contamination"]] for r in out.collect() if r["contamination"]}
-    assert hits == {77: [(1, 1, 20, 20), (4, 21, 4, 4), (1, 1, 20, 20)]}
+    assert hits == {77: [(1, 1, 20, 20), (1, 1, 20, 20), (4, 21, 4, 4)]}  # by item_id; a repeated item is reported each time
+    tiny = spark.createDataFrame([(9, "few"), (8, "plain words"), (7, "  ")], "item_id long, text string")
+    assert decontam.find_contamination(docs, tiny).filter(F.size("contamination") > 0).count() == 0  # too short to tell
     assert decontam.find_contamination(no_docs, benchmark).count() == 0
     assert decontam.find_contamination(odd_docs, benchmark.limit(0)).filter(F.size("contamination") > 0).count() == 0
 

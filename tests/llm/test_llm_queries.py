@@ -128,20 +128,59 @@ def test_op2_against_exact_search(spark, sf_dir):
     assert whole and whole <= got
 
 
-def test_seeds_bear_substitutions():
-    rng = random.Random(2)
-    words = [f"w{i}" for i in range(3000)]
-    items = [[rng.choice(words) for _ in range(40)] for _ in range(50)]
-    block = decontam.Block(list(range(50)), [" ".join(i) for i in items])
-    known = decontam.TokenHashes()
-    found = 0
-    for number, item in enumerate(items):
-        copy = [rng.choice(words) if k % 8 == 3 else w for k, w in enumerate(item)]
-        text = " ".join([rng.choice(words) for _ in range(200)] + copy + [rng.choice(words) for _ in range(200)])
-        found += number in {h[0] for h in block.overlaps(decontam.token_hashes(text, known))}
-    assert found == 50
-    clean = " ".join(rng.choice(words) for _ in range(20000))
-    assert not block.overlaps(decontam.token_hashes(clean, known))
+def brute_overlap(doc, item):
+    """Whether any alignment is equal in four fifths of the item or has 13 equal tokens in its best stretch (+1 and -4 a token)."""
+    for shift in range(1 - len(item), len(doc)):
+        gain = matched = total = 0
+        best = (0, 0)
+        for k in range(max(0, -shift), min(len(item), len(doc) - shift)):
+            same = doc[shift + k] == item[k]
+            gain, matched, total = (gain + 1, matched + 1, total + 1) if same else (gain - 4, matched, total)
+            if gain <= 0:
+                gain = matched = 0
+            elif gain > best[0]:
+                best = (gain, matched)
+        if best[1] >= 13 or 5 * total >= 4 * len(item):
+            return True
+    return False
+
+
+def test_overlaps_against_brute_force(spark):
+    """Two-sided: copies of items of 4 to 60 tokens with up to two fifths of their tokens replaced, whole and cut."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    items = {n: [rng.choice(words) for _ in range(n)] for n in range(4, 61)}
+    docs = {}
+    for n, item in items.items():
+        for k in range(0, 2 * n // 5 + 1, max(1, n // 12)):
+            copy = list(item)
+            for at in rng.sample(range(n), k):
+                copy[at] = "other"
+            if k % 3 == 2:
+                copy = copy[n // 3 :]
+            docs[len(docs)] = [rng.choice(words) for _ in range(rng.randint(0, 30))] + copy + [rng.choice(words) for _ in range(rng.randint(0, 30))]
+    want = {(d, i) for d, doc in docs.items() for i, item in items.items() if brute_overlap(doc, item)}
+    found = decontam.find_contamination(
+        spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string"),
+    )
+    got = {(r["doc_id"], c["item_id"]) for r in found.collect() for c in r["contamination"]}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 150
+    assert {(d, i) for d, i in want if i < decontam.SHORT} <= got
+
+
+def test_recall_by_length():
+    """Random substitution of a fifth of an item: at least 0.95 share a seed, all of the short ones."""
+    rng = np.random.default_rng(2)
+    for n in (*range(4, 30), 40, 60):
+        item = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        wanted = [decontam.seeds(item, mask, number) for number, mask in decontam.masks_of(n)]
+        found, turns = 0, 400
+        for _ in range(turns):
+            copy = item.copy()
+            copy[rng.choice(n, n // 5, replace=False)] = rng.integers(0, 1 << 62, n // 5)
+            found += any((decontam.seeds(copy, mask, number) == w).any() for (number, mask), w in zip(decontam.masks_of(n), wanted))
+        assert found == turns if n < decontam.SHORT else found >= 0.95 * turns, (n, found)
 
 
 def test_benchmark_blocks_agree(spark, sf_dir):
