@@ -1,10 +1,17 @@
 """TIFF media columns: 8-bit grey pages, read and written in batches.
 
 Reading walks the image directories and decodes strips or tiles stored plain, with PackBits, LZW or deflate, and
-undoes horizontal prediction; one row per page comes out. Writing lays bytes out as pages of 64 samples a row.
+undoes horizontal prediction; one row per page comes out. Writing lays bytes out as pages of 64 samples a row, in the
+layout that a column names (``LAYOUTS``); by default the checksum of a text picks one, whatever the text's size, so
+that equal texts give equal files and a corpus uses every codec.
 
-Defined results: null bytes have no pages; bytes that aren't a TIFF, or that break off, give no pages and an
-error string; further columns pass through; nothing is shuffled.
+Defined results: null bytes have no pages, null text is empty text (one page of 64 zeros); bytes that aren't a TIFF, that
+break off, that ask for more samples than their codec can hold or for a page of 2 GB or more (which no Spark value holds)
+give no pages and an error string; repeated rows are read each; very long texts give more pages; an empty table gives
+no rows; further columns pass through, those named like a page field are replaced; nothing is shuffled.
+
+Scale: rows are independent. A worker holds one Arrow batch's files and pages; what a file may expand to is checked
+against its size first, and decoding stops at the size that the directory states.
 """
 
 from __future__ import annotations
@@ -22,6 +29,9 @@ PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946  # the format
 WIDTH = 64
 PAGE_ROWS = 4096
 TILE = 64
+LIMIT = 1 << 31
+#: No codec here makes more than this many samples of one stored byte (LZW: 4,096 of 12 bits; deflate: 1,032; PackBits: 64).
+MOST_EXPANSION = 2_800
 PAGES = T.StructType(
     [
         T.StructField(
@@ -72,9 +82,10 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, size: int) -> bytes:
+    """At least ``size`` bytes, or all there are."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < size:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -89,66 +100,63 @@ def unpack_bits(data: bytes) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """TIFF's LZW: high bit first, 9 to 12 bits, the width growing one code early."""
-    value, filled, out = 0, 0, bytearray()
-    table: dict[bytes, int] = {}
-    width = 9
-
-    def put(code: int) -> None:
-        nonlocal value, filled
+    value, filled, out, width = 256, 9, bytearray(), 9
+    table: dict[int, int] = {}  # (code of a string << 8 | byte) to the code of the longer string
+    following, code = 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        longer = code << 8 | byte
+        known = table.get(longer)
+        if known is not None:
+            code = known
+            continue
         value, filled = value << width | code, filled + width
         while filled >= 8:
             filled -= 8
             out.append(value >> filled & 255)
         value &= (1 << filled) - 1
-
-    put(256)
-    table, following, prefix = {bytes([i]): i for i in range(256)}, 258, b""
-    for byte in data:
-        longer = prefix + bytes([byte])
-        if longer in table:
-            prefix = longer
-            continue
-        put(table[prefix])
         table[longer] = following
         following += 1
-        prefix = bytes([byte])
+        code = byte
         if following >= 4094:
-            put(256)
-            table, following, width = {bytes([i]): i for i in range(256)}, 258, 9
+            value, filled = value << width | 256, filled + width
+            table, following, width = {}, 258, 9
         elif following > (1 << width) - 1:
             width += 1
-    if prefix:
-        put(table[prefix])
-        following += 1
-        if following > (1 << width) - 1 and width < 12:
+    if code >= 0:
+        value, filled = value << width | code, filled + width
+        if following + 1 > (1 << width) - 1 and width < 12:
             width += 1
-    put(257)
-    if filled:
-        out.append(value << (8 - filled) & 255)
-    return bytes(out)
+    value, filled = value << width | 257, filled + width
+    pad = -filled % 8
+    return bytes(out) + (value << pad).to_bytes((filled + pad) // 8, "big")
 
 
-def lzw_decode(data: bytes) -> bytes:
-    table: list[bytes] = []
-    width, value, filled, before, out = 9, 0, 0, b"", []
+def lzw_decode(data: bytes, size: int) -> bytes:
+    """At least ``size`` bytes, or all there are."""
+    clear = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, value, filled, before, out, held = clear[:], 9, 0, 0, b"", [], 0
     for byte in data:
         value, filled = (value << 8 | byte) & 0xFFFFFF, filled + 8
         if filled < width:
             continue
         filled -= width
         code = value >> filled & ((1 << width) - 1)
-        if code == 257:
+        if code == 257 or held >= size:
             break
         if code == 256:
-            table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            table, width, before = clear[:], 9, b""
             continue
-        if not before:
-            before = table[code]
-        else:
-            entry = table[code] if code < len(table) else before + before[:1]
+        if code > len(table) or (code == len(table) and not before):
+            raise ValueError("LZW code out of range")
+        entry = table[code] if code < len(table) else before + before[:1]
+        if before:
             table.append(before + entry[:1])
-            before = entry
-        out.append(before)
+        before = entry
+        out.append(entry)
+        held += len(entry)
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
     return b"".join(out)
@@ -162,13 +170,14 @@ def _compress(data: bytes, compression: int) -> bytes:
     return zlib.compress(data, 1) if compression in (DEFLATE, OLD_DEFLATE) else data
 
 
-def _expand(data: bytes, compression: int) -> bytes:
+def _expand(data: bytes, compression: int, size: int) -> bytes:
+    """``size`` bytes of a strip or tile, or fewer if it breaks off."""
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if compression == PLAIN:
         return data
     raise ValueError(f"compression {compression} is not supported")
@@ -229,8 +238,11 @@ def read_tiff(data: bytes) -> list[dict]:
             if code is None:
                 continue
             place = at + 10 + 12 * k
-            if n * struct.calcsize(code) > 4:
+            size = n * struct.calcsize(code)
+            if size > 4:
                 (place,) = struct.unpack_from(order + "I", data, place)
+            if place + size > len(data):
+                raise ValueError("a directory's values lie outside the file")
             tags[tag] = struct.unpack_from(f"{order}{n}{code}", data, place)
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
         pages.append(_page(data, tags, len(pages)))
@@ -245,16 +257,22 @@ def _page(data: bytes, tags: dict[int, tuple], number: int) -> dict:
         raise ValueError("only 8-bit interleaved samples are supported")
     if tiled:
         across, down = one(322, width), one(323, height)
-        spots = [(y, x) for y in range(0, height, down) for x in range(0, width, across)]
         places, sizes = tags[324], tags[325]
     else:
         across, down = width, min(one(278, height), height) or 1
-        spots = [(y, 0) for y in range(0, height, down)]
         places, sizes = tags[273], tags[279]
+    bound = min(LIMIT - 1, MOST_EXPANSION * len(data))
+    if min(width, height, samples, across, down) < 1 or max(width * height, across * down) * samples > bound:
+        raise ValueError(f"{width} x {height} x {samples} samples in {len(data)} bytes")
+    if tiled:
+        spots = [(y, x) for y in range(0, height, down) for x in range(0, width, across)]
+    else:
+        spots = [(y, 0) for y in range(0, height, down)]
     page = np.zeros((height, width, samples), np.uint8)
     for (y, x), place, size in zip(spots, places, sizes, strict=True):
         rows = down if tiled else min(down, height - y)
-        part = np.frombuffer(_expand(data[place : place + size], compression), np.uint8, rows * across * samples)
+        wanted = rows * across * samples
+        part = np.frombuffer(_expand(data[place : place + size], compression, wanted), np.uint8, wanted)
         part = part.reshape(rows, across, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=np.uint8)
@@ -273,25 +291,38 @@ def payload_of(text: str | None) -> bytes:
     return data + b"\0" * (max(1, -(-len(data) // WIDTH)) * WIDTH - len(data))
 
 
-def store_text(text: str | None) -> bytes:
-    """A text as a TIFF. The payload's size picks the layout, so that equal texts give equal files: LZW up to 256
-    bytes, PackBits up to 2048, deflated strips with prediction up to 16 KiB, deflated tiles beyond."""
-    payload = payload_of(text)
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    pages = [rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)]
-    if len(payload) <= 256:
-        return write_tiff(pages, LZW)
-    if len(payload) <= 2048:
-        return write_tiff(pages, PACKBITS)
-    if len(payload) <= 1 << 14:
-        return write_tiff(pages, DEFLATE, predictor=2)
-    return write_tiff(pages, DEFLATE, tile=TILE)
+#: Layouts of stored texts by number: options of ``write_tiff``.
+LAYOUTS = (
+    {"compression": LZW},
+    {"compression": PACKBITS},
+    {"compression": DEFLATE, "predictor": 2},
+    {"compression": DEFLATE, "predictor": 2, "tile": TILE},
+)
+
+
+def store_text(text: str | None, layout: int) -> bytes:
+    """A text as a TIFF of the numbered layout."""
+    rows = np.frombuffer(payload_of(text), np.uint8).reshape(-1, WIDTH)
+    return write_tiff([rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)], **LAYOUTS[layout])
+
+
+def layout_of(text: Column) -> Column:
+    """The layout that a text's checksum picks."""
+    return F.pmod(F.crc32(F.coalesce(text, F.lit(""))), F.lit(len(LAYOUTS))).cast("int")
 
 
 @F.pandas_udf(T.BinaryType())
-def text_to_tiff(texts: pd.Series) -> pd.Series:
+def _text_to_tiff(texts: pd.Series, layouts: pd.Series) -> pd.Series:
+    return pd.Series([store_text(t, n) for t, n in zip(texts, layouts)], dtype=object)
+
+
+# the same text always gives the same file; marked so that Spark writes a file once and hands that one on
+_text_to_tiff = _text_to_tiff.asNondeterministic()
+
+
+def text_to_tiff(text: Column, layout: Column | None = None) -> Column:
     """A TIFF per text; null text is empty text."""
-    return pd.Series([store_text(t) for t in texts], dtype=object)
+    return _text_to_tiff(text, layout_of(text) if layout is None else layout)
 
 
 @F.pandas_udf(PAGES)
@@ -303,7 +334,7 @@ def tiff_pages(files: pd.Series) -> pd.DataFrame:
         if data is not None:
             try:
                 found = read_tiff(data)
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as why:
+            except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as why:
                 error = f"{type(why).__name__}: {why}"
         pages.append(found)
         errors.append(error)
@@ -322,5 +353,5 @@ def explode_pages(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def joined_pixels(pages: Column) -> Column:
-    """The pixels of all pages in a row."""
-    return F.aggregate(pages, F.lit(b""), lambda acc, p: F.concat(acc, p["pixels"]))
+    """The pixels of all pages in a row. Latin-1 maps each byte to one character and back, so one join does it."""
+    return F.encode(F.array_join(F.transform(pages, lambda p: F.decode(p["pixels"], "ISO-8859-1")), ""), "ISO-8859-1")

@@ -122,8 +122,8 @@ def test_tiff_codecs():
     rng = random.Random(9)
     for size in (0, 1, 127, 128, 129, 4000, 9000):
         for data in (bytes(rng.getrandbits(8) for _ in range(size)), b"a" * size, bytes(rng.choice(b"ab") for _ in range(size))):
-            assert tiff.unpack_bits(tiff.pack_bits(data)) == data
-            assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+            assert tiff.unpack_bits(tiff.pack_bits(data), size) == data
+            assert tiff.lzw_decode(tiff.lzw_encode(data), size) == data
     page = np.arange(70 * 50, dtype=np.uint8).reshape(70, 50)
     for compression in (tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.OLD_DEFLATE, tiff.PACKBITS):
         for predictor in (1, 2):
@@ -132,6 +132,82 @@ def test_tiff_codecs():
                 assert [p["pixels"] for p in pages] == [page.tobytes(), page[:5].tobytes()] and pages[0]["tiled"] == bool(tile)
 
 
+def foreign_tiff(order, width, height, strips, tags=(), samples=1):
+    """A TIFF put together by hand: values of two bytes, the directory last."""
+    import struct
+
+    body, places = b"", []
+    for strip in strips:
+        places.append(8 + len(body))
+        body += strip
+    entries = [(256, width), (257, height), (258, 8), (262, 1), (277, samples), *tags]
+    lists = {273: places, 279: [len(s) for s in strips]} if not any(t == 322 for t, _ in tags) else {324: places, 325: [len(s) for s in strips]}
+    directory = {}
+    for tag, value in entries:
+        directory[tag] = struct.pack(order + "HHI", tag, 3, 1) + struct.pack(order + "HH", value, 0)
+    for tag, values in lists.items():
+        packed = struct.pack(f"{order}{len(values)}H", *values)
+        if len(packed) > 4:
+            place = struct.pack(order + "I", 8 + len(body))
+            body += packed
+        else:
+            place = packed.ljust(4, b"\0")
+        directory[tag] = struct.pack(order + "HHI", tag, 3, len(values)) + place
+    head = {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 8 + len(body))
+    return head + body + struct.pack(order + "H", len(directory)) + b"".join(directory[t] for t in sorted(directory)) + b"\0\0\0\0"
+
+
+def test_foreign_tiffs():
+    """Files not made by the own writer: big-endian, the LZW and PackBits codes of the format's own description, RGB, tiles."""
+    import zlib
+
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    lzw = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    rgb = bytes(range(24))
+    predicted = bytes([10, 20, 30, 1, 1, 1, 1, 1, 1, 1, 1, 1])
+    for order in "<>":
+        one = lambda *a, **k: tiff.read_tiff(foreign_tiff(order, *a, **k))[0]["pixels"]  # noqa: B023, E731
+        assert one(9, 1, [lzw], [(259, 5)]) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+        assert one(24, 1, [packed], [(259, 32773)]) == plain
+        assert one(4, 2, [rgb[:12], rgb[12:]], [(278, 1)], samples=3) == rgb
+        assert one(4, 1, [zlib.compress(predicted)], [(259, 8), (317, 2)], samples=3) == bytes([10, 20, 30, 11, 21, 31, 12, 22, 32, 13, 23, 33])
+        tiles = [bytes([n]) * 256 for n in range(4)]
+        page = one(20, 17, tiles, [(322, 16), (323, 16)])
+        assert page[:20] == bytes([0] * 16 + [1] * 4) and page[16 * 20 :] == bytes([2] * 16 + [3] * 4)
+
+
+def test_bad_tiffs_give_errors(spark):
+    import struct
+    import zlib
+
+    huge = foreign_tiff("<", 65535, 65535, [b"x" * 20], [(259, 8)])
+    bomb = foreign_tiff("<", 8, 8, [zlib.compress(bytes(50_000_000))[:60_000]], [(259, 8)])
+    wide = bytearray(foreign_tiff("<", 4, 4, [bytes(16)]))
+    at = wide.index(struct.pack("<HHI", 279, 3, 1))
+    wide[at : at + 8] = struct.pack("<HHI", 279, 4, 0xFFFFFFFF)
+    loop = bytearray(foreign_tiff("<", 4, 4, [bytes(16)]))
+    loop[-4:] = loop[4:8]
+    files = [huge, bomb, bytes(wide), bytes(loop), b"", b"II", b"MM\0*" + b"\xff" * 40, foreign_tiff(">", 4, 4, [b"\xff" * 9], [(259, 5)]), foreign_tiff(">", 4, 4, [bytes(9)])]
+    rows = spark.createDataFrame([(n, bytearray(f)) for n, f in enumerate(files)], "n int, media binary")
+    got = {r["n"]: r for r in tiff.explode_pages(rows).collect()}
+    assert got[1]["pixels"] == bytes(64) and got[1]["error"] is None and got[3]["pixels"] == bytes(16)
+    assert all(got[n]["error"] and got[n]["page"] is None for n in (0, 2, 4, 5, 6, 7, 8))
+
+
+def test_page_rows(spark):
+    """One row per page of a text of three pages, in each layout."""
+    text = "".join(chr(97 + k % 26) for k in range(64 * 4096 * 2 + 70))
+    docs = spark.createDataFrame([(n, text) for n in range(len(tiff.LAYOUTS))], "layout int, text string")
+    rows = tiff.explode_pages(docs.select("layout", tiff.text_to_tiff(F.col("text"), F.col("layout")).alias("media"))).orderBy("layout", "page").collect()
+    assert [(r["layout"], r["page"], r["height"]) for r in rows] == [(n, p, h) for n in range(4) for p, h in enumerate((4096, 4096, 2))]
+    assert {r["compression"] for r in rows} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} and [r["tiled"] for r in rows] == [False] * 9 + [True] * 3
+    for n in range(4):
+        assert b"".join(r["pixels"] for r in rows if r["layout"] == n) == tiff.payload_of(text)
+
+
 def test_tiff_rows(spark, odd_docs, no_docs):
     media = odd_docs.withColumn("media", tiff.text_to_tiff(F.col("text")))
     bad = odd_docs.limit(1).withColumn("doc_id", F.lit(79).cast("long")).withColumn("media", F.lit(b"II*\0").cast("binary"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from helpers import same_rows
 
-from lawmill.llm import decontam, queries, simhash, spm, toxicity, urlrules
+from lawmill.llm import decontam, queries, simhash, spm, tiff, toxicity, urlrules
 from lawmill.sources.tables import table
 
 
@@ -94,6 +94,18 @@ def test_op9_reads_back_the_payload(spark, sf_dir):
         row = got[doc["doc_id"]]
         assert (row["n_bytes"], row["payload_bytes"]) == (len(raw), len(payload))
         assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest() and row["tail_crc32"] == zlib.crc32(payload[-64:])
+        stored = tiff.store_text(doc["text"], zlib.crc32(raw) % len(tiff.LAYOUTS))
+        assert (row["media_bytes"], row["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        feature = dict(x.split("=") for x in row["feature"].split(";"))
+        samples = np.frombuffer(payload, np.uint8).astype(float)
+        assert int(feature["rows"]) * 64 == len(payload) and int(feature["pages"]) == -(-len(payload) // (64 * 4096))
+        assert abs(float(feature["mean"].replace(",", "")) - samples.mean()) < 1e-5 and abs(float(feature["deviation"]) - samples.std()) < 1e-5
+
+
+def test_op9_writes_each_file_once(spark, sf_dir):
+    """The bytes that are hashed are the bytes that are read: one call of the writer in the plan."""
+    plan = queries.op9_tiff(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("_text_to_tiff(") for line in plan.splitlines() if "ArrowEvalPython" in line) == 1
 
 
 def test_op8_equals_the_library(spark, sf_dir):
