@@ -1,101 +1,189 @@
 """Licence scan by sentence rules.
 
-Known licence sentences have identifiers. A text is cut into sentences, each is normalised (lower case, runs
-of anything but letters and digits become one blank) and looked up; the identifiers, in text order, are then
-matched against ordered rules. A rule names a sequence of identifiers that must follow each other with no other
-*known* sentence between them; rules are tried in order and each known sentence serves one rule only.
-
-Defined results: null text is empty; no known sentence gives an empty list and the verdict ``none``; repeated
-rows are scanned each. Every row is judged in place: nothing is shuffled, so neither copies nor a hot licence
-line gather anywhere. The tables below are constants of the code, so their size is bounded.
+A text is cut into sentences (at blank lines, and after . ! ? ; : before white space; a wrapped line goes on), each is
+normalised (lower case, runs of anything but letters and digits, such as comment marks, become one blank) and mapped to the
+identifiers of the known licence sentences that it holds, on word boundaries, in order. The identifiers of a text are then
+matched against ordered rules. A rule names a sequence of identifiers that must follow each other with no other *known*
+sentence between them; rules are tried in order and each known sentence serves one rule only. "All rights reserved"
+right before a licence's first sentence belongs to that licence.
+
+Defined results: null or empty text, and one without a known sentence, gives an empty list and the verdict ``none``;
+very long texts are scanned whole; of equal rules in one text the first place counts; repeated rows are scanned each; an
+empty table gives an empty table; the four result columns are replaced where they exist, others may have any names. Every
+row is judged in place: nothing is shuffled, so neither copies nor a hot licence line gather anywhere. The tables below
+are constants of the code, so their size is bounded.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences in normal form and their identifiers. Fixed values.
+#: Known licence sentences, or the part that does not vary, in normal form and their identifiers. Fixed values.
 SENTENCES = {
-    "licensed under the apache license version 2 0": "apache-2.0-notice",
-    "you may not use this file except in compliance with the license": "apache-2.0-comply",
-    "you may obtain a copy of the license at": "apache-2.0-copy",
-    "released under the mit license": "mit-notice",
-    "licensed under the mit license": "mit-notice",
+    "under the apache license version 2 0": "apache-2.0-notice",
+    "apache license version 2 0 january 2004": "apache-2.0-title",
+    "not use this file except in compliance with the license": "apache-2.0-comply",
+    "you may obtain a copy of the license at": "license-copy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "apache-2.0-as-is",
+    "see the license for the specific language governing permissions and limitations under the license": "apache-2.0-see",
+    "under the mit license": "mit-notice",
+    "mit license copyright": "mit-title",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-keep",
     "the software is provided as is without warranty of any kind": "as-is",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-name",
-    "this work is licensed under the gnu general public license version 3": "gpl-3.0-notice",
-    "this work is licensed under the gnu general public license version 2": "gpl-2.0-notice",
-    "this program is free software you can redistribute it and or modify it": "gpl-free",
+    "redistributions of source code must retain the above copyright notice": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice": "bsd-binary",
+    "nor the names of its contributors may be used to endorse or promote products": "bsd-name",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "this software is provided by the copyright holders and contributors as is": "bsd-as-is",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted": "isc-grant",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose": "zlib-grant",
+    "the origin of this software must not be misrepresented": "zlib-origin",
+    "gnu general public license version 3": "gpl-3.0-notice",
+    "gnu general public license version 2": "gpl-2.0-notice",
+    "gnu lesser general public license version 3": "lgpl-3.0-notice",
+    "gnu lesser general public license version 2 1": "lgpl-2.1-notice",
+    "gnu affero general public license version 3": "agpl-3.0-notice",
+    "under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "under the terms of the gnu affero general public license as published by the free software foundation": "agpl-terms",
+    "either version 2 of the license": "version-2",
+    "either version 2 1 of the license": "version-2.1",
+    "either version 3 of the license": "version-3",
+    "this program is free software you can redistribute it and or modify it": "gnu-free",
+    "this library is free software you can redistribute it and or modify it": "gnu-free",
+    "distributed in the hope that it will be useful but without any warranty": "gnu-hope",
+    "this source code form is subject to the terms of the mozilla public license": "mpl-2.0-notice",
+    "mozilla public license version 2 0": "mpl-2.0-title",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl-copy",
+    "eclipse public license 2 0": "epl-2.0-notice",
+    "eclipse public license version 2 0": "epl-2.0-notice",
+    "boost software license version 1 0": "bsl-1.0-notice",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0-notice",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4.0-notice",
     "licensed under cc by 4 0": "cc-by-4.0-notice",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0-notice",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0-notice",
-    "this work is dedicated to the public domain": "cc0-notice",
+    "creative commons attribution 4 0 international": "cc-by-4.0-notice",
+    "creative commons attribution sharealike 4 0 international": "cc-by-sa-4.0-notice",
+    "creative commons attribution share alike 4 0 international": "cc-by-sa-4.0-notice",
+    "creative commons attribution noncommercial 4 0 international": "cc-by-nc-4.0-notice",
+    "creative commons attribution noncommercial sharealike 4 0 international": "cc-by-nc-sa-4.0-notice",
+    "cc0 1 0 universal": "cc0-notice",
+    "dedicated to the public domain": "cc0-notice",
     "all rights reserved": "all-rights",
 }
 #: Ordered rules: name, sequence of identifiers, class. Fixed values; earlier rules win.
 RULES = (
-    ("Apache-2.0", ("apache-2.0-notice", "apache-2.0-comply", "apache-2.0-copy"), "permissive"),
+    ("Apache-2.0", ("apache-2.0-notice", "apache-2.0-comply", "license-copy", "apache-2.0-as-is", "apache-2.0-see"), "permissive"),
+    ("Apache-2.0", ("apache-2.0-notice", "apache-2.0-comply", "license-copy"), "permissive"),
     ("Apache-2.0", ("apache-2.0-notice",), "permissive"),
+    ("Apache-2.0", ("apache-2.0-title",), "permissive"),
+    ("Apache-2.0", ("apache-2.0-comply", "license-copy"), "permissive"),
+    ("MIT", ("mit-title", "mit-grant", "mit-keep", "as-is"), "permissive"),
     ("MIT", ("mit-grant", "mit-keep", "as-is"), "permissive"),
     ("MIT", ("mit-grant",), "permissive"),
     ("MIT", ("mit-notice",), "permissive"),
+    ("MIT", ("mit-title",), "permissive"),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-name", "bsd-as-is"), "permissive"),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-as-is"), "permissive"),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"), "permissive"),
     ("BSD-3-Clause", ("bsd-grant", "bsd-name"), "permissive"),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"), "permissive"),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), "permissive"),
     ("BSD-2-Clause", ("bsd-grant",), "permissive"),
-    ("GPL-3.0", ("gpl-free", "gpl-3.0-notice"), "copyleft"),
+    ("ISC", ("isc-grant",), "permissive"),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin"), "permissive"),
+    ("AGPL-3.0", ("gnu-free", "agpl-terms", "version-3"), "copyleft"),
+    ("AGPL-3.0", ("agpl-terms", "version-3"), "copyleft"),
+    ("AGPL-3.0", ("agpl-3.0-notice",), "copyleft"),
+    ("LGPL-3.0", ("gnu-free", "lgpl-terms", "version-3"), "copyleft"),
+    ("LGPL-3.0", ("lgpl-3.0-notice",), "copyleft"),
+    ("LGPL-2.1", ("gnu-free", "lgpl-terms", "version-2.1"), "copyleft"),
+    ("LGPL-2.1", ("lgpl-2.1-notice",), "copyleft"),
+    ("GPL-3.0", ("gnu-free", "gpl-terms", "version-3"), "copyleft"),
+    ("GPL-3.0", ("gpl-terms", "version-3"), "copyleft"),
+    ("GPL-3.0", ("gnu-free", "gpl-3.0-notice"), "copyleft"),
     ("GPL-3.0", ("gpl-3.0-notice",), "copyleft"),
+    ("GPL-2.0", ("gnu-free", "gpl-terms", "version-2"), "copyleft"),
+    ("GPL-2.0", ("gpl-terms", "version-2"), "copyleft"),
     ("GPL-2.0", ("gpl-2.0-notice",), "copyleft"),
+    ("MPL-2.0", ("mpl-2.0-notice", "mpl-copy"), "copyleft"),
+    ("MPL-2.0", ("mpl-2.0-notice",), "copyleft"),
+    ("MPL-2.0", ("mpl-2.0-title",), "copyleft"),
+    ("EPL-2.0", ("epl-2.0-notice",), "copyleft"),
+    ("BSL-1.0", ("bsl-1.0-notice",), "permissive"),
+    ("Unlicense", ("unlicense-grant",), "permissive"),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4.0-notice",), "restricted"),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",), "restricted"),
     ("CC-BY-SA-4.0", ("cc-by-sa-4.0-notice",), "copyleft"),
     ("CC-BY-4.0", ("cc-by-4.0-notice",), "permissive"),
     ("CC0-1.0", ("cc0-notice",), "permissive"),
-    ("Proprietary", ("all-rights",), "restricted"),
 )
+ALL_RIGHTS = "all-rights"
+#: The rules as they are tried: each first with "all rights reserved" before it, that sentence alone last.
+ORDERED = (*(r for name, ids, kind in RULES for r in ((name, (ALL_RIGHTS, *ids), kind), (name, ids, kind))), ("Proprietary", (ALL_RIGHTS,), "restricted"))
 #: Every known sentence holds one of these words, so a sentence without any needs no look-up.
-ANCHORS = ("licen", "reserved", "permission", "warranty", "redistribut", "copyright", "public domain")
-#: Sentences end at a line break, or after . ! ? ; : and before white space. A full stop inside "2.0" ends none.
-BREAK = r"\n|(?<=[.!?;:])[ \t\r\f\x0B]+"
+ANCHORS = ("licen", "reserved", "permission", "warranty", "redistribut", "copyright", "public domain", "provided", "universal", "creative commons", "misrepresented", "mpl", "advertising", "endorse")
+#: A stop and the white space behind it end a sentence, and so does a line without a letter or digit.
+STOP, PART = r"([.!?;:])[ \t\r\n\f\x0B]+", r"\n[^\p{L}\p{N}\n]*\n"
+MATCHES = "array<struct<at:int,rule:int,name:string,kind:string>>"
+NOT_WORD = r"[^\p{L}\p{N}]+"
 
 assert all(any(a in s for a in ANCHORS) for s in SENTENCES)
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def anchor_pattern() -> str:
+    return "(?i)" + "|".join(a.replace(" ", r"[^\p{L}\p{N}]+") for a in ANCHORS)
+
+
+def sentences(text: Column) -> Column:
+    """Array of the sentences of a text."""
+    return F.split(F.regexp_replace(text, STOP, "$1\n\n"), PART, -1)
 
 
 def known_sentences(text: Column) -> Column:
     """Array of identifiers of the known sentences of a text, in order."""
-    anchor = "(?i)" + "|".join(re.escape(a).replace(r"\ ", r"\W+") for a in ANCHORS)
-    known = F.array(*(F.lit(s) for s in SENTENCES))
-    ids = F.array(*(F.lit(i) for i in SENTENCES.values()))
-    candidates = F.filter(F.split(text, BREAK, -1), lambda s: s.rlike(anchor))
-    hits = F.transform(candidates, lambda s: F.array_position(known, _normal(s)).cast("int"))
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(anchor), F.transform(F.filter(hits, lambda at: at > 0), lambda at: F.get(ids, at - 1))).otherwise(none)
+    anchor = anchor_pattern()
+    known = F.array(*(F.struct(F.lit(f" {s} ").alias("sentence"), F.lit(i).alias("id")) for s, i in SENTENCES.items()))
+
+    def held(sentence: Column) -> Column:
+        plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " ")), F.lit(" "))
+        places = F.transform(known, lambda k: F.struct(F.instr(plain, k["sentence"]).alias("at"), k["id"].alias("id")))
+        return F.transform(F.array_sort(F.filter(places, lambda p: p["at"] > 0)), lambda p: p["id"])
+
+    found = F.flatten(F.transform(F.filter(sentences(text), lambda s: s.rlike(anchor)), held))
+    return F.when(text.rlike(anchor), found).otherwise(F.array().cast("array<string>"))
+
+
+def rule_pattern(sequence: tuple[str, ...]) -> str:
+    return " " + "  ".join(sequence) + " "
 
 
 def match_rules(ids: Column) -> Column:
-    """Array of (rule, name, class) in text order of where each rule first matches."""
-    text = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
-    found, rest = [], text
-    for number, (name, sequence, kind) in enumerate(RULES):
-        pattern = " " + "  ".join(sequence) + " "
-        at = F.instr(text, pattern)
-        used = F.instr(rest, pattern)
-        found.append(
-            F.when(
-                used > 0,
-                F.struct(at.alias("at"), F.lit(number).alias("rule"), F.lit(name).alias("name"), F.lit(kind).alias("kind")),
-            )
+    """Array of (at, rule, name, kind) in text order of where each rule first matches."""
+    rules = F.array(
+        *(
+            F.struct(F.lit(rule_pattern(ids)).alias("pattern"), F.lit(n).alias("rule"), F.lit(name).alias("name"), F.lit(kind).alias("kind"))
+            for n, (name, ids, kind) in enumerate(ORDERED)
         )
-        rest = F.replace(rest, F.lit(pattern), F.lit(" # "))
-    return F.array_sort(F.array_compact(F.array(*found)))
+    )
+    text = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
+    none = F.from_json(F.lit("[]"), MATCHES)
+
+    def step(acc: Column, rule: Column) -> Column:
+        at = F.instr(acc["rest"], rule["pattern"])
+        one = F.struct(at.alias("at"), rule["rule"].alias("rule"), rule["name"].alias("name"), rule["kind"].alias("kind"))
+        rest = F.replace(acc["rest"], rule["pattern"], F.repeat(F.lit("#"), F.length(rule["pattern"])))  # as long, so that places stay
+        found = F.when(at > 0, F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
+        return F.struct(rest.alias("rest"), found.alias("found")).cast(f"struct<rest:string,found:{MATCHES}>")
+
+    first = F.struct(text.alias("rest"), none.alias("found")).cast(f"struct<rest:string,found:{MATCHES}>")
+    return F.array_sort(F.aggregate(rules, first, step, lambda acc: acc["found"]))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -104,7 +192,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     match no rule; none without any known sentence)."""
     plain = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("license_sentences", known_sentences(plain))
-    none = F.from_json(F.lit("[]"), "array<struct<at:int,rule:int,name:string,kind:string>>")
+    none = F.from_json(F.lit("[]"), MATCHES)
     out = out.withColumn(
         "license_matches", F.when(F.size("license_sentences") > 0, match_rules(F.col("license_sentences"))).otherwise(none)
     )

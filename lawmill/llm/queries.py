@@ -206,6 +206,41 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op10_sql() -> str:
+    known = ", ".join(f"(' {sentence} ', '{name}')" for sentence, name in licenses.SENTENCES.items())
+    patterns = [licenses.rule_pattern(ids) for _, ids, _ in licenses.ORDERED]
+    rests = ", ".join(f"replace(r{n}, '{p}', repeat('#', {len(p)})) AS r{n + 1}" for n, p in enumerate(patterns))
+    found = ", ".join(
+        f"{{'at': instr(r{n}, '{p}'), 'rule': {n}, 'name': '{name}', 'kind': '{kind}'}}"
+        for n, (p, (name, _, kind)) in enumerate(zip(patterns, licenses.ORDERED))
+    )
+    kinds = " ".join(f"WHEN list_contains(list_transform(found, lambda m: m.kind), '{k}') THEN '{k}'" for k in ("restricted", "copyleft", "permissive"))
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents), cut AS (
+  SELECT rn, unnest(ss) AS s, unnest(range(len(ss))) AS pos
+  FROM (SELECT rn, regexp_split_to_array(regexp_replace(text, '{licenses.STOP}', '' || chr(10) || chr(10), 'g'), '{licenses.PART}') AS ss FROM docs)
+), plain AS (
+  SELECT rn, pos, ' ' || trim(regexp_replace(lower(s), '{licenses.NOT_WORD}', ' ', 'g')) || ' ' AS s FROM cut
+), ids AS (
+  SELECT rn, list(id ORDER BY pos, instr(s, sentence), id) AS ids
+  FROM plain JOIN (VALUES {known}) AS known(sentence, id) ON instr(s, sentence) > 0 GROUP BY rn
+), steps AS (
+  SELECT rn, ids, ' ' || array_to_string(ids, '  ') || ' ' AS r0, {rests} FROM ids
+), matches AS (
+  SELECT rn, ids, list_sort(list_filter([{found}], lambda m: m.at > 0)) AS found FROM steps
+), named AS (
+  SELECT rn, ids, found, list_filter(list_transform(found, lambda m, i: CASE WHEN list_position(list_transform(found, lambda x: x.name), m.name) = i THEN m.name END), lambda n: n IS NOT NULL) AS names
+  FROM matches
+)
+SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licenses,
+       CASE WHEN ids IS NULL THEN 'none' {kinds} ELSE 'unknown' END AS verdict
+FROM docs LEFT JOIN named USING (rn)
+"""
+
+
+OP10_SQL = _op10_sql()
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -222,4 +257,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op6_secret_scan": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op5_chat": OP5_SQL, "op6_secret_scan": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_licenses": OP10_SQL}

@@ -227,13 +227,92 @@ def test_licenses(spark, odd_docs, no_docs):
         (6, "Licensed under the Apache License, Version 2.0.\nreleased under the MIT license\nYou may not use this file except in compliance with the License."),
     ]
     out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[1]["licenses"] == ["Apache-2.0"] and len(out[1]["license_sentences"]) == 2
+    assert out[1]["licenses"] == ["Apache-2.0"] and len(out[1]["license_sentences"]) == 3
     assert (out[2]["licenses"], out[2]["license_verdict"]) == (["Proprietary"], "restricted")
-    assert out[3]["license_verdict"] == "none" and out[5]["license_verdict"] == "none"
+    assert out[3]["license_verdict"] == "none" and out[5]["licenses"] == ["MIT"]  # known sentences count inside longer ones
     assert (out[4]["licenses"], out[4]["license_verdict"]) == (["MIT", "CC-BY-NC-4.0"], "restricted")
     assert out[6]["licenses"] == ["Apache-2.0", "MIT"]
     assert licenses.scan_licenses(odd_docs).filter("license_verdict <> 'none'").count() == 0
     assert licenses.scan_licenses(no_docs).count() == 0
+    odd = licenses.scan_licenses(odd_docs)
+    assert len(odd.columns) == len(set(odd.columns)) and odd.count() == odd_docs.count()
+    long = spark.createDataFrame([(1, "word " * 300_000 + "\n\nReleased under the MIT License.\n" + "word\n\n" * 50_000)], "doc_id long, text string")
+    assert licenses.scan_licenses(long).first()["licenses"] == ["MIT"]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 X
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+BSD_2 = """Copyright (c) 2020, X. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions.
+"""
+AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS WARRANTIES ARE DISCLAIMED."""
+NAME = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from this software.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_standard_license_texts(spark):
+    """Texts as they stand in source files: wrapped, behind comment marks, one after the other."""
+    texts = {
+        "MIT": MIT, "BSD-2-Clause": BSD_2 + AS_IS, "BSD-3-Clause": BSD_2 + NAME + AS_IS, "Apache-2.0": APACHE,
+        "GPL-3.0": GPL.format(":", ", either version 3 of the License,"[:1], 3), "GPL-2.0": GPL.format(";", ";", 2), "MPL-2.0": MPL,
+    }
+    rows = []
+    for name, text in texts.items():
+        rows += [(name, text)] + [(name, "\n".join(mark + line for line in text.split("\n"))) for mark in ("# ", " * ", "// ")]
+    rows.append(("BSD-3-Clause,MIT,BSD-2-Clause", "\n\n".join([BSD_2 + NAME + AS_IS, MIT, BSD_2 + AS_IS])))
+    rows += [("MIT", "This project is licensed under the MIT License."), ("Proprietary", "Copyright 2020 X, all rights reserved."), ("", "We like licenses and copyright.")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert [(r["want"], ",".join(r["licenses"])) for r in got] == [(r["want"], r["want"]) for r in got]
+
+
+def test_license_files_of_the_system(spark):
+    import os
+
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    folder = "/usr/share/common-licenses"
+    rows = [(name, open(f"{folder}/{file}").read()) for file, name in want.items() if os.path.exists(f"{folder}/{file}")]
+    if rows:
+        got = licenses.scan_licenses(spark.createDataFrame(rows, "want string, text string")).collect()
+        assert [(r["want"], r["want"] in r["licenses"]) for r in got] == [(r["want"], True) for r in got]
 
 
 def test_urls(spark):
