@@ -12,10 +12,12 @@ block; the blocks are concatenated:
 The loss mask is a list of (start, length) in UTF-8 bytes of the formatted string, one for each assistant text.
 
 Defined results: null text and null role are empty strings; a null conv_id is one conversation; turns sort by
-turn (nulls first), then role, then text, and repeated rows are repeated turns; an empty table gives no rows.
+turn (nulls first), then role, then text, and repeated rows are repeated turns; very long texts and conversations count
+whole; an empty table gives no rows; only the four columns are read, so others may have any names.
 
-Scale: one shuffle by conversation of the three columns used. A conversation is one string of the output, so
-it is gathered by nature and Spark's limit of 2 GB for a value bounds it; all array steps are linear.
+Scale: one shuffle by conversation of the columns used. A conversation is one string of the output, so it is
+gathered by nature and Spark's limit of 2 GB for a value bounds it. Array steps are linear in the turns but for the
+running sums, which copy ``BLOCK`` values for each turn and one for each block before a block.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 ASSISTANT = "assistant"
+BLOCK = 256
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -91,17 +94,39 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             ),
         )
     )
-    kind = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
-    none = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:bigint,length:bigint>>").alias("spans")).cast(kind)
+    done = parts.withColumn("formatted", formatted).withColumn("runs", runs)
+    ends = running_sums(F.transform("runs", lambda r: (r["skip"] + r["take"] + r["after"]).cast("bigint")))
+    spans = F.zip_with(
+        "runs", ends, lambda r, end: F.struct((end - r["after"] - r["take"]).alias("start"), r["take"].cast("bigint").alias("length"), r["loss"].alias("loss"))
+    )
+    kept = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["length"]))
+    return done.select("conv_id", "formatted", kept.alias("loss"))
 
-    def add(acc: Column, run: Column) -> Column:
-        start = acc["at"] + run["skip"]
-        span = F.struct(start.alias("start"), run["take"].cast("bigint").alias("length"))
-        spans = F.when(run["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start + run["take"] + run["after"]).alias("at"), spans.alias("spans")).cast(kind)
 
-    done = parts.withColumn("formatted", formatted).withColumn("runs", runs)
-    return done.select("conv_id", "formatted", F.aggregate("runs", none, add, lambda acc: acc["spans"]).alias("loss"))
+def _sums(values: Column, first: Column) -> Column:
+    """Running sums of a short array, from ``first`` on; each step copies what is there."""
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), first) + x)))
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array of bigint, block by block: first each block's total, then inside the blocks."""
+    zero = F.lit(0).cast("bigint")
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x))
+        return F.flatten(F.zip_with(blocks, _sums(totals, zero), lambda b, end: _sums(b, end - F.aggregate(b, zero, lambda acc, x: acc + x))))
+
+    def cut(all_values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_values), F.lit(1)), F.lit(BLOCK))
+        return F.transform(starts, lambda at: F.slice(all_values, at, F.lit(BLOCK)))
+
+    return _once(_once(values, cut), of_blocks)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -123,8 +148,10 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss: Column) -> Column:
     """The texts under the loss mask, joined."""
-    raw = formatted.cast("binary")
-    cut = F.transform(
-        loss, lambda s: unescape(F.decode(F.substr(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))
-    )
-    return F.array_join(cut, "")
+
+    def under(raw: Column) -> Column:
+        return F.transform(
+            loss, lambda s: unescape(F.decode(F.substr(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))
+        )
+
+    return F.array_join(_once(formatted.cast("binary"), under), "")
