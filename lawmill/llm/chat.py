@@ -17,7 +17,7 @@ whole; an empty table gives no rows; only the four columns are read, so others m
 
 Scale: one shuffle by conversation of the columns used. A conversation is one string of the output, so it is
 gathered by nature and Spark's limit of 2 GB for a value bounds it. Array steps are linear in the turns but for the
-running sums, which copy ``BLOCK`` values for each turn and one for each block before a block.
+running sums, which copy ``arrays.BLOCK`` values for each turn and one for each block before a block.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawmill.llm.arrays import once, running_sums
+
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 ASSISTANT = "assistant"
-BLOCK = 256
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -103,32 +104,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return done.select("conv_id", "formatted", kept.alias("loss"))
 
 
-def _sums(values: Column, first: Column) -> Column:
-    """Running sums of a short array, from ``first`` on; each step copies what is there."""
-    none = F.array().cast("array<bigint>")
-    return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), first) + x)))
-
-
-def running_sums(values: Column) -> Column:
-    """Running sums of an array of bigint, block by block: first each block's total, then inside the blocks."""
-    zero = F.lit(0).cast("bigint")
-
-    def of_blocks(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x))
-        return F.flatten(F.zip_with(blocks, _sums(totals, zero), lambda b, end: _sums(b, end - F.aggregate(b, zero, lambda acc, x: acc + x))))
-
-    def cut(all_values: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(all_values), F.lit(1)), F.lit(BLOCK))
-        return F.transform(starts, lambda at: F.slice(all_values, at, F.lit(BLOCK)))
-
-    return _once(_once(values, cut), of_blocks)
-
-
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used inside."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def read_turns(formatted: Column) -> Column:
     """Array of (role, text) of each turn, from the formatted string alone."""
     blocks = F.filter(F.split(formatted, r"<\|im_end\|>\n", -1), lambda b: b != "")
@@ -154,4 +129,4 @@ def read_loss(formatted: Column, loss: Column) -> Column:
             loss, lambda s: unescape(F.decode(F.substr(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))
         )
 
-    return F.array_join(_once(formatted.cast("binary"), under), "")
+    return F.array_join(once(formatted.cast("binary"), under), "")

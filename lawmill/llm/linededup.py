@@ -6,10 +6,11 @@ except those in the largest ``doc_id`` that holds it.
 
 Defined results: a null or empty text is one empty line; a null ``doc_id`` counts as one document and is
 never the largest; repeated rows with one ``doc_id`` are one document when counted and each keep their own
-row; an empty table gives an empty table; further columns pass through, whatever their names.
+row; ties can't be, as the largest doc_id is one; very long texts are taken whole, in time in proportion to their
+lines; an empty table gives an empty table; further columns pass through ``dedup_lines``, whatever their names.
 
 Scale: documents that hold one hot line meet in a count, which each map task folds first; only keys over the
-threshold are joined back, and Spark splits a hot key there because the other side has one row per key. The
+threshold are joined back, with the places of their lines, and Spark splits a hot key there because the other side has one row per key. The
 texts are shuffled once, by document.
 """
 
@@ -20,6 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawmill.llm.arrays import once
 from lawmill.llm.rows import pack, unpack
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -52,29 +54,34 @@ def _key_hash(min_chars: int):
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` (doc_id, text and columns of other names) with ``_lines`` (array before dropping) and ``_kept`` (array of the lines that stay)."""
     key = _key_hash(min_chars)
-    found = docs.select(
-        F.col("doc_id").alias("_doc"),
-        F.explode(F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), key), lambda h: h.isNotNull()))).alias("_h"),
-    ).select("_doc", "_h.a", "_h.b")
-    pairs = found.groupBy("a", "b", "_doc").agg(F.lit(1).alias("_one")).select("a", "b", "_doc")
+    hashes = F.transform(lines_of(F.col("text")), lambda line, at: F.struct(key(line).alias("h"), at.alias("at")))
+    found = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.filter(hashes, lambda x: x["h"].isNotNull())).alias("_x")).select(
+        "_doc", "_x.h.a", "_x.h.b", "_x.at"
+    )
+    pairs = found.groupBy("a", "b", "_doc").agg(F.collect_list("at").alias("_at"))
     common = (
         pairs.groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_last"))
         .filter(F.col("_n") >= min_docs)
         .select("a", "b", "_last")
     )
+    each = F.transform("_at", lambda at: F.struct("a", "b", at.alias("at")))
     drops = (
         pairs.join(common, ["a", "b"])
         .filter(~F.col("_doc").eqNullSafe(F.col("_last")))
         .groupBy("_doc")
-        .agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
+        .agg(F.flatten(F.collect_list(each)).alias("_drop"))
     )
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left").drop("_doc")
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(
-        F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("_drop"), key(line)), F.lit(False)))
-    )
-    return joined.withColumn("_lines", lines).withColumn("_kept", kept).drop("_drop")
+
+    def without(all_lines: Column) -> Column:
+        # another row of the same doc_id may have other lines at these places, so the key is looked at again
+        gone = F.filter("_drop", lambda d: F.coalesce(key(F.get(all_lines, d["at"])) == F.struct(d["a"].alias("a"), d["b"].alias("b")), F.lit(False)))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.transform(gone, lambda d: d["at"]))
+        return F.transform(stay, lambda at: F.get(all_lines, at))
+
+    return joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(once(F.col("_lines"), without))).drop("_drop")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -111,6 +111,7 @@ OP6_SQL = (
 ), owners AS (
   SELECT value FROM base JOIN docs USING (rn) GROUP BY value
   HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) <= {secret_scan.MAX_OWNERS}
+     AND count(DISTINCT (doc_id, source)) <= {secret_scan.MAX_DOCUMENTS}
 ), spans AS (
   SELECT rn, rank, kind, start, stop FROM base
   UNION

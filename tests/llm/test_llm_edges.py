@@ -12,6 +12,9 @@ def test_linededup(spark, odd_docs, no_docs):
     assert linededup.dedup_lines(no_docs).count() == 0
     line = "A common line of more than forty characters, for all"
     rows = [(i, f"{i}\n  {line}\t\n{line.lower()}" if i % 2 else line.upper()) for i in range(1, 6)] + [(None, line), (5, line)]
+    twice = spark.createDataFrame([(1, f"{line}\nx\n{line}"), (1, f"x\n{line}\ny"), *((i, line) for i in range(2, 6))], "doc_id long, text string")
+    got = {(r["doc_id"], *r["_kept"]) for r in linededup.drop_repeated_lines(twice).collect()}
+    assert got == {(1, "x"), (1, "x", "y"), (2,), (3,), (4,), (5, line)}  # rows of one doc_id lose their own lines
     got = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     kept = [(r["doc_id"], r["_kept"]) for r in got.collect()]
     assert all(len(k) == (1 if d and d % 2 else 0) for d, k in kept if d != 5)
@@ -44,12 +47,13 @@ def test_components(spark):
 
 def test_secrets(spark, odd_docs, no_docs):
     rows = [
-        (1, "a", "é password = 'abcdef123456789' x", ), (2, "b", 'TOKEN="copied0123456789abcdef01"'), (3, "c", "token: copied0123456789abcdef01"),
+        (1, "a", "é password = 'abcdef123456789' x", ), (2, "b", 'TOKEN="copied0123456789abcdef01"'), (3, "c", "token: copied0123456789abcdef01"), (8, "f", "token: copied0123456789abcdef01"), (9, "g", "secret=copied-once-0123456"), (10, "h", "secret=copied-once-0123456"),
         (4, "d", "secret=token: abcdefgh"), (5, "d", "AKIA" + "Q" * 16 + " AKIA" + "Q" * 15), (6, None, "api_key=ab"), (7, "e", "0123456789abcdef01234567"),
     ]
     got = {r["doc_id"]: r["t"] for r in secret_scan.scan_secrets(spark.createDataFrame([(a, c, b) for a, b, c in rows], "doc_id long, text string, source string")).select("doc_id", secret_scan.span_text(F.col("spans")).alias("t")).collect()}
     assert got[1] == "assign:2:29,owned:14:29"
-    assert got[2] == "assign:0:31" and got[3] == "assign:0:31"
+    assert got[2] == "assign:0:31" and got[3] == "assign:0:31" and got[8] == "assign:0:31"  # three owners
+    assert got[9] == "assign:0:26,owned:7:26" and got[10] == got[9]  # one copy elsewhere
     assert got[4] == "" and got[6] == "" and got[5] == "access:0:20,owned:0:20" and got[7] == "hex:0:24,owned:0:24"
     odd = secret_scan.scan_secrets(odd_docs)
     assert odd.count() == odd_docs.count() and odd.filter(F.size("spans") > 0).count() == 0
@@ -62,6 +66,40 @@ def test_secret_copies_of_one_owner_stay_owned(spark):
     assert {secret_scan.OWNED in r["t"] for r in secret_scan.scan_secrets(df).select(secret_scan.span_text(F.col("spans")).alias("t")).collect()} == {True}
 
 
+def test_secret_copied_widely_inside_one_owner(spark):
+    rows = [(i, "x password=abcdefghijkl y", "hot") for i in range(secret_scan.MAX_DOCUMENTS + 1)] + [(100 + i, "secret=mnopqrstuvwx", "hot") for i in range(secret_scan.MAX_DOCUMENTS)]
+    rows += rows[-1:] * 30  # repeated rows are one document
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["t"] for r in secret_scan.scan_secrets(df).select("doc_id", secret_scan.span_text(F.col("spans")).alias("t")).collect()}
+    assert {secret_scan.OWNED in t for d, t in got.items() if d < 100} == {False} and {secret_scan.OWNED in t for d, t in got.items() if d >= 100} == {True}
+
+
+def seconds(df):
+    import time
+
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_time_grows_with_the_input(spark):
+    """Many turns, matches, or shared lines in one row: eight times as many take less than 24 times as long."""
+    turns = lambda n: spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+
+    def chats(n):
+        done = chat.format_conversations(turns(n))
+        return done.select(F.size(chat.read_turns(F.col("formatted"))), F.length(chat.read_loss(F.col("formatted"), F.col("loss"))))
+
+    secrets = lambda n: secret_scan.base_matches(spark.sql(f"SELECT 1L AS doc_id, 's' AS source, repeat('token=abcdefgh ', {n}) AS text"))
+    text = "array_join(transform(sequence(1, {n}), x -> concat('a line that many documents share, number ', x)), '\n')"
+    lines = lambda n: linededup.drop_repeated_lines(spark.range(6).selectExpr("id AS doc_id", text.format(n=n) + " AS text"))
+    for make, small in ((chats, 5000), (secrets, 5000), (lines, 2500)):
+        seconds(make(10))
+        assert seconds(make(8 * small)) < 24 * max(0.4, seconds(make(small))), make
+    kept = {r["doc_id"]: len(r["_kept"]) for r in lines(300).collect()}
+    assert kept == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 300}
+
+
 def test_chat(spark):
     rows = [
         (1, 2, "user", "b"), (1, 1, "user", "a<|im_sep|>\\2 \\0 <|"), (1, 3, "assistant", None), (1, 4, "assistant", "é\n<|im_end|>\n"), (1, 4, "assistant", "é\n<|im_end|>\n"),
