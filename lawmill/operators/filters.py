@@ -44,10 +44,11 @@ def newer_than(df: DataFrame, cursors: DataFrame, category: str, ts: str, observ
     return out.filter(fresh).drop("_cursor")
 
 
-def changed_by_count(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], actions: str = "actions") -> DataFrame:
-    """New bills and bills whose number of actions differs from the stored one."""
-    old = stored.select(*keys, F.size(actions).alias("_had"))
-    return incoming.join(old, list(keys), "left").filter(F.col("_had").isNull() | (F.size(actions) != F.col("_had"))).drop("_had")
+def changed_by_count(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], n_actions: Column | None = None) -> DataFrame:
+    """New bills and bills whose number of actions differs from the stored one; both sides hold the list ``actions`` or ``n_actions``."""
+    n = F.size("actions") if n_actions is None else n_actions
+    now, old = incoming.withColumn("_has", n), stored.select(*keys, n.alias("_had"))
+    return now.join(old, list(keys), "left").filter(F.col("_had").isNull() | (F.col("_has") != F.col("_had"))).drop("_has", "_had")
 
 
 def changed_by_hash(incoming: DataFrame, ledger: DataFrame, keys: Sequence[str], content_hash: str = "content_hash") -> DataFrame:

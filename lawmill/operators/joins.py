@@ -139,12 +139,19 @@ def in_session(rows: DataFrame, sessions: DataFrame, state: str, day: str) -> Da
     return rows.join(sessions, state).filter((F.col("start_date") <= F.col(day)) & (F.col("end_date").isNull() | (F.col(day) <= F.col("end_date"))))
 
 
-def overlapping(marks: DataFrame, chars: DataFrame, keys: Sequence[str], slack: float = 2.0) -> DataFrame:
+def overlapping(marks: DataFrame, chars: DataFrame, keys: Sequence[str], slack: float = 2.0, band: float = 50.0) -> DataFrame:
     """Marks with ``hit``: whether some character of the same page overlaps it sideways and stands within ``slack`` of it.
 
-    Equi join on the page; thin marks (narrower than 3, or than three times their height) never hit.
+    Equi join on the page and on bands of ``band`` units that both reach into, so that a full page isn't paired with
+    itself; thin marks (narrower than 3, or than three times their height) never hit.
     """
     flat = (F.col("x1") - F.col("x0") >= 3) & (F.col("x1") - F.col("x0") >= 3 * (F.col("bottom") - F.col("top")))
     near = (F.col("c_x0") < F.col("x1")) & (F.col("c_x1") > F.col("x0")) & (F.col("c_top") - slack <= F.col("bottom")) & (F.col("c_bottom") + slack >= F.col("top"))
-    hits = marks.filter(flat).join(chars, list(keys)).filter(near).select("mark_id").distinct().withColumn("_hit", F.lit(True))
+
+    def bands(top: Column, bottom: Column) -> Column:
+        return F.explode(F.sequence(F.floor(top / band), F.floor(F.greatest(top, bottom) / band)))
+
+    banded = marks.filter(flat).withColumn("_band", bands(F.col("top") - slack, F.col("bottom") + slack))
+    placed = chars.withColumn("_band", bands(F.col("c_top"), F.col("c_bottom")))
+    hits = banded.join(placed, [*keys, "_band"]).filter(near).select("mark_id").distinct().withColumn("_hit", F.lit(True))
     return marks.join(hits, "mark_id", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -21,11 +21,18 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
 
 
+def latest_row_asof(df: DataFrame, keys: Sequence[str], day: str, position: str, today: Column) -> DataFrame:
+    """The latest row of each key not after today; of equal days the one of the smallest position."""
+    rest = [c for c in df.columns if c not in keys]
+    past = df.filter(F.col(day) <= today)
+    return past.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(day, -F.col(position))).alias("_row")).select(*keys, "_row.*")
+
+
 def latest_past_action(actions: Column, today: Column) -> Column:
     """The latest action not after today; of equal dates the first in the list."""
-    past = F.filter(F.transform(actions, lambda a, i: F.struct(a["date"].alias("day"), (-i).alias("back"), a.alias("action"))), lambda x: F.substring(x["day"], 1, 10) <= today)
-    ordered = F.array_sort(past, lambda x, y: F.when(x["day"] > y["day"], -1).when(x["day"] < y["day"], 1).when(x["back"] > y["back"], -1).when(x["back"] < y["back"], 1).otherwise(0))
-    return F.get(ordered, 0)["action"]
+    dated = F.transform(actions, lambda a, i: F.struct(a["date"].alias("day"), (-i).alias("back")))
+    best = F.array_max(F.filter(dated, lambda x: F.substring(x["day"], 1, 10) <= today))
+    return F.get(actions, -best["back"])
 
 
 def limit_per_key(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:

@@ -113,8 +113,7 @@ def top_sponsors(spark, sf):
 
 @query("action_counts", """SELECT l_orderkey, count(*) AS n_actions, count(DISTINCT l_suppkey) AS n_sponsors FROM lineitem GROUP BY 1""")
 def action_counts(spark, sf):
-    nested = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("actions"), F.collect_set("l_suppkey").alias("sponsors"))
-    return nested.select("l_orderkey", F.size("actions").cast("long").alias("n_actions"), F.size("sponsors").cast("long").alias("n_sponsors"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_actions"), F.count_distinct("l_suppkey").alias("n_sponsors"))
 
 
 @query("passed_actions", """SELECT conv_id, turn, sentence FROM (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS sentence FROM conversations) WHERE sentence ILIKE '%the on%'""")
@@ -193,10 +192,21 @@ def backlog_cube(spark, sf):
 )
 def latest_action_asof(spark, sf):
     """The latest action not after a day; of equal dates the first in the list."""
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("date"))
-    bills = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "date"))).alias("actions"))
-    done = bills.withColumn("a", latest.latest_past_action(F.col("actions"), F.lit("1998-12-31"))).filter("a IS NOT NULL")
-    return done.select("l_orderkey", F.col("a.date").alias("latest_action"), F.col("a.l_linenumber").alias("line"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    out = latest.latest_row_asof(rows, ["l_orderkey"], "l_shipdate", "l_linenumber", F.lit("1998-12-31").cast("timestamp_ntz"))
+    return out.select("l_orderkey", _stamp(F.col("l_shipdate")).alias("latest_action"), F.col("l_linenumber").alias("line"))
+
+
+@query("latest_nested_action", """SELECT doc_id, n_actions::BIGINT AS n_actions, day, place::BIGINT AS place FROM (
+         SELECT doc_id, len(w) AS n_actions, list_max(list_filter(list_transform(w, lambda x: substr(x, 1, 3)), lambda x: x <= 'sss')) AS day,
+                list_position(list_transform(w, lambda x: substr(x, 1, 3)), list_max(list_filter(list_transform(w, lambda x: substr(x, 1, 3)), lambda x: x <= 'sss'))) - 1 AS place
+         FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) WHERE day IS NOT NULL""")
+def latest_nested_action(spark, sf):
+    """The same over a nested list: words play the actions, their first letters the dates."""
+    actions = F.transform(F.split("text", " ", -1), lambda w, i: F.struct(F.substring(w, 1, 3).alias("date"), i.alias("place")))
+    rows = table(spark, sf, "documents").select("doc_id", actions.alias("actions"))
+    done = rows.select("doc_id", F.size("actions").cast("long").alias("n_actions"), latest.latest_past_action(F.col("actions"), F.lit("sss")).alias("a"))
+    return done.filter("a IS NOT NULL").select("doc_id", "n_actions", F.col("a.date").alias("day"), F.col("a.place").cast("long").alias("place"))
 
 
 @query(
@@ -281,8 +291,8 @@ def orphans(spark, sf):
 
 @query(
     "orphan_state_merge",
-    """WITH now AS (SELECT o_custkey AS key, max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) = 1 AS orphan FROM orders WHERE o_custkey % 3 > 0 GROUP BY 1),
-            before AS (SELECT c_custkey AS key, c_custkey % 5 + 1 AS occurrences FROM customer WHERE c_custkey % 2 = 0)
+    """WITH now AS (SELECT o_custkey AS key, max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) = 1 AS orphan FROM orders GROUP BY 1),
+            before AS (SELECT c_custkey AS key, c_custkey % 5 + 1 AS occurrences FROM customer WHERE c_acctbal > 3000)
        SELECT key, CASE WHEN coalesce(orphan, false) AND occurrences IS NULL THEN 'new' WHEN coalesce(orphan, false) THEN 'continuing'
                         WHEN occurrences IS NOT NULL AND orphan IS NOT NULL THEN 'resolved' WHEN occurrences IS NOT NULL THEN 'untouched' ELSE 'fine' END AS status,
               (coalesce(occurrences, 0) + CASE WHEN coalesce(orphan, false) THEN 1 ELSE 0 END)::BIGINT AS occurrences
@@ -290,10 +300,10 @@ def orphans(spark, sf):
 )
 def orphan_state_merge(spark, sf):
     now = (
-        table(spark, sf, "orders").filter("o_custkey % 3 > 0").groupBy(F.col("o_custkey").alias("key"))
+        table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key"))
         .agg(F.bool_or(F.col("o_orderstatus") == "O").alias("orphan"), F.lit("now").alias("seen"))
     )
-    before = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(
+    before = table(spark, sf, "customer").filter("c_acctbal > 3000").select(
         F.col("c_custkey").alias("key"), F.lit("then").alias("first_seen"), F.lit("then").alias("last_seen"), (F.col("c_custkey") % 5 + 1).alias("occurrences")
     )
     return joins.merge_state(now, before, "key", "seen").select("key", "status", "occurrences")
@@ -375,24 +385,25 @@ def overlap_exists(spark, sf):
 
 @query(
     "reconcile_sources",
-    """WITH a AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size % 3 <> 0), b AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size % 5 <> 0),
+    """WITH a AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size <= 40), b AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_retailprice > 950),
             j AS (SELECT coalesce(a.p_brand, b.p_brand) AS brand, a.p_name AS an, b.p_name AS bn FROM a FULL JOIN b ON a.p_brand = b.p_brand AND a.p_name = b.p_name),
             c AS (SELECT brand, count(*) FILTER (WHERE an IS NOT NULL AND bn IS NOT NULL) AS "both", count(*) FILTER (WHERE bn IS NULL) AS only_a, count(*) FILTER (WHERE an IS NULL) AS only_b FROM j GROUP BY 1)
        SELECT *, CASE WHEN only_a = 0 AND only_b = 0 THEN 'agree' WHEN only_a = 0 OR only_b = 0 THEN 'subset' ELSE 'split' END AS verdict FROM c""",
 )
 def reconcile_sources(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), "p_name", "p_size")
-    return quality.reconcile(part.filter("p_size % 3 <> 0"), part.filter("p_size % 5 <> 0"), ["brand"], "p_name")
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), "p_name", "p_size", "p_retailprice")
+    return quality.reconcile(part.filter("p_size <= 40"), part.filter("p_retailprice > 950"), ["brand"], "p_name")
 
 
 @query(
     "union_backfill",
     """SELECT p_name, p_size, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey DESC) AS rn
-       FROM (SELECT p_name, p_size, p_partkey FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_name, p_size + 1, p_partkey FROM part WHERE p_partkey % 2 = 1)) WHERE rn = 1""",
+       FROM (SELECT p_name, p_size, p_partkey FROM part WHERE p_brand <= 'Brand#2' UNION ALL SELECT p_name, p_size + 1, p_partkey FROM part WHERE p_brand > 'Brand#2')) WHERE rn = 1""",
 )
 def union_backfill(spark, sf):
-    part = table(spark, sf, "part").select("p_name", "p_size", "p_partkey")
-    sources = [part.filter("p_partkey % 2 = 0"), part.filter("p_partkey % 2 = 1").withColumn("p_size", F.col("p_size") + 1)]
+    part = table(spark, sf, "part")
+    of = lambda condition: part.filter(condition).select("p_name", "p_size", "p_partkey")
+    sources = [of("p_brand <= 'Brand#2'"), of("p_brand > 'Brand#2'").withColumn("p_size", F.col("p_size") + 1)]
     return quality.union_backfill(sources, ["p_name"], F.struct("p_size", "p_partkey"))
 
 
@@ -431,23 +442,23 @@ def content_change(spark, sf):
 @query(
     "ledger_changes",
     """WITH now AS (SELECT doc_id, sha256(text) AS content_hash FROM documents),
-            before AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 > 0)
+            before AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE lang <> 'de')
        SELECT n.doc_id, content_hash FROM now n LEFT JOIN before b ON n.doc_id = b.doc_id WHERE b.doc_id IS NULL OR content_hash IS DISTINCT FROM h""",
 )
 def ledger_changes(spark, sf):
-    now = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    before = now.filter("doc_id % 7 > 0").withColumn("content_hash", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("content_hash")))
+    now = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), "lang")
+    before = now.filter("lang <> 'de'").withColumn("content_hash", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("content_hash")))
     return filters.changed_by_hash(now, before, ["doc_id"]).select("doc_id", "content_hash")
 
 
 @query("changed_by_count", """SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) <> count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2001-01-01') OR count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2001-01-01') = 0""")
 def changed_by_count(spark, sf):
     def bills(rows):
-        return rows.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("actions"))
+        return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
     orders = table(spark, sf, "orders")
     old = bills(orders.filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")))
-    return filters.changed_by_count(bills(orders), old, ["o_custkey"]).select("o_custkey", F.size("actions").cast("long").alias("n"))
+    return filters.changed_by_count(bills(orders), old, ["o_custkey"], F.col("n")).select("o_custkey", "n")
 
 
 @query("newer_than_cursor", """SELECT event_type, count(*) AS n FROM events e JOIN (SELECT event_type AS t, avg(epoch_us(ts))::BIGINT AS c FROM events WHERE event_type <> 'view' GROUP BY 1) ON event_type = t WHERE epoch_us(ts) // 86400000000 > c // 86400000000 GROUP BY 1

@@ -37,8 +37,9 @@ def vote_log_rows(votes: DataFrame) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("state", "session_id")) -> None:
-    """Replace the partitions that the rows touch, one shuffle by partition so that each gets few files."""
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Replace the partitions that the rows touch, one shuffle by partition so that each gets few files. Spark cuts the
+    shuffle's large partitions, so a state of many rows is written by several tasks."""
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def upsert_bills(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("state", "session_id", "bill_id")) -> DataFrame:

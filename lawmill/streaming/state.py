@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 from collections.abc import Callable, Iterator
 
@@ -19,9 +20,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State that outgrows memory lives in RocksDB; stateful processors need it."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State that outgrows memory lives in RocksDB, which stateful processors need; the session's own setting comes back after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 class LedgerProcessor(StatefulProcessor):
@@ -69,7 +79,8 @@ class OrphanProcessor(StatefulProcessor):
             arrived = arrived or bool((pdf["kind"] == "bill").any())
             count += int((pdf["kind"] != "bill").sum())
         self.state.update((arrived, count))
-        status = "fine" if arrived and (before or not had) else "resolved" if arrived else "new" if not had else "continuing"
+        # a bill that comes with or after references to it resolves them; one without any, or that was there before, is fine
+        status = "fine" if before or arrived and not count else "resolved" if arrived else "new" if not had else "continuing"
         yield pd.DataFrame({"key": [key[0]], "status": [status], "occurrences": [count]})
 
     def close(self) -> None:
@@ -117,24 +128,26 @@ def stream_dead_man(beats: DataFrame, hours: float = 6) -> DataFrame:
 
 def stream_tags(texts: DataFrame, defs: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("doc_id",)) -> None:
     """Score a stream of texts and keep the results under ``path``: one folder per batch, replaced if the batch is
-    run again, so that each text and tag is there once. Texts scored in an earlier batch are left out."""
-    spark = texts.sparkSession
+    run again, so that each text and tag is there once. The keys met before are the stream's state, so texts scored
+    in an earlier batch are left out without reading what was written."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        done = current_results(spark, path, before=number)
-        fresh = batch if done is None else tagging.not_yet_tagged(batch, done, keys)
-        tagging.tag_by_keywords(fresh, defs).select(*keys, "tag", "keywords", "score").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        tagging.tag_by_keywords(batch, defs).select(*keys, "tag", "keywords", "score").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available(texts.dropDuplicates(list(keys)), upsert, checkpoint)
+
 
-    run_available(texts, upsert, checkpoint)
+def tag_schema(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> str:
+    """DDL of the results of ``stream_tags``."""
+    return ", ".join([f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys] + ["tag string, keywords array<string>, score double"])
 
 
-def current_results(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """All results under ``path``, or those of batches before a number; None without any."""
+def current_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All results under ``path``; no rows where no batch has run."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    rows = spark.read.parquet(path)
-    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def recent(rows: DataFrame, ts: str = "created_at", hours: int = 24) -> DataFrame:

@@ -37,7 +37,7 @@ def test_small_hints_only_what_it_counted(spark):
 
 def test_stream_ledger_twice(spark, tmp_path):
     """A second batch emits only new and changed keys, as the batch ledger does."""
-    streams.use_rocksdb(spark)
+    spark.conf.set(streams.PROVIDER, streams.ROCKS)
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     for rows in ([(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")]):
         spark.createDataFrame(rows, "key long, content_hash string").coalesce(1).write.mode("append").parquet(source)
