@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ENTITIES = "array<struct<entity_type:string,entity_id:string,name:string,note:string>>"
 VOLATILE = ("_id", "scraped_at", "_processing", "timestamp", "sources")
 
 
@@ -26,6 +28,7 @@ def reshape_action(action: Column, session: Column, sources: Column) -> Column:
         session.alias("session_id"),
         F.lit("bill").alias("entity_type"),
         F.coalesce(canonical_classes(action), F.array().cast("array<string>")).alias("classifications"),
+        F.coalesce(action["related_entities"], F.array().cast(ENTITIES)).alias("related_entities"),
         sources.alias("sources"),
     )
 
@@ -93,9 +96,27 @@ def json_path(value: Column, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(value), f"${steps}", "string")
 
 
-def content_hash(*columns: Column | str) -> Column:
-    """SHA-256 of the JSON of some columns in the order given; volatile fields are left out by the caller."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+def sorted_fields(column: Column, kind: T.DataType, drop: Sequence[str] = ()) -> Column:
+    """A typed value with the fields of its structs in the order of their names at every depth, without the dropped ones at the top."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: sorted_fields(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(column))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], sorted_fields(e["value"], kind.valueType))))
+    if isinstance(kind, T.StructType):
+        fields = sorted((f for f in kind.fields if f.name not in drop), key=lambda f: f.name)
+        if not fields:
+            return column
+        return F.when(column.isNotNull(), F.struct(*(sorted_fields(column[f.name], f.dataType).alias(f.name) for f in fields)))
+    return column
+
+
+def content_hash(*columns: str, schema: T.StructType | None = None) -> Column:
+    """SHA-256 of the JSON of some columns, keys sorted by name at the top, and at every depth where their schema is given;
+    null parts are written as null. Volatile fields (``VOLATILE``) of the named columns are left out."""
+    names = sorted(columns)
+    values = [F.col(n) if schema is None else sorted_fields(F.col(n), schema[n].dataType, VOLATILE) for n in names]
+    return F.sha2(F.to_json(F.struct(*(v.alias(n) for v, n in zip(values, names))), {"ignoreNullFields": "false"}), 256)
 
 
 def text_hash(text: Column) -> Column:
@@ -124,13 +145,50 @@ def feed_title(tags: Column, repo: Column, title: Column, identifier: Column) ->
     return F.concat_ws(" - ", names, F.coalesce(repo, F.lit("unknown")), name)
 
 
-def feed_description(pairs: list[tuple[str, Column]]) -> Column:
-    """Labelled lines of the parts that are present."""
-    return F.concat_ws("\n", *(F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value)) for label, value in pairs))
+def _line(label: str, value: Column) -> Column:
+    """``label: value``, null without a value."""
+    return F.concat(F.lit(f"{label}: "), value)
+
+
+def _items(label: str, values: Column, indent: int) -> Column:
+    """A label and its values, one a line behind a dash; null without a value."""
+    dash = "\n" + " " * indent + "- "
+    present = F.array_compact(values)
+    return F.when(F.size(present) > 0, F.concat(F.lit(f"{label}:{dash}"), F.array_join(present, dash)))
+
+
+def _block(head: str, lines: list[Column], indent: int) -> Column:
+    """A head and the lines that are present, indented; null without a line."""
+    gap = "\n" + " " * indent
+    present = F.array_compact(F.array(*lines))
+    return F.when(F.size(present) > 0, F.concat(F.lit(head + gap), F.array_join(present, gap)))
+
+
+def feed_description(row_id: Column, action: Column, bill_id: Column, bill: Column, classes: Column | None = None) -> Column:
+    """The labelled text block of a feed item: id, the log with its action, the bill; a word where all is missing.
+
+    ``action`` has description, date, classification and organization_id; ``bill`` has identifier, title,
+    legislative_session, subject and abstracts (abstract, note)."""
+    acted = [
+        _line("description", action["description"]), _line("date", action["date"]),
+        _items("classification", action["classification"] if classes is None else classes, 6), _line("organization_id", action["organization_id"]),
+    ]
+    log = _block("log:", [F.when(F.lit(True), _block("  action:", acted, 4)), _line("  bill_id", bill_id)], 0)
+    abstracts = F.transform(
+        F.filter(bill["abstracts"], lambda a: a["abstract"].isNotNull()),
+        lambda a: F.concat(F.lit("abstract"), F.when(F.coalesce(a["note"], F.lit("")) != "", F.concat(F.lit(" ("), a["note"], F.lit(")"))).otherwise(""), F.lit(": "), a["abstract"]),
+    )
+    known = [
+        _line("identifier", bill["identifier"]), _line("title", bill["title"]), _line("legislative_session", bill["legislative_session"]),
+        _items("subject", bill["subject"], 4), F.when(F.size(abstracts) > 0, F.array_join(abstracts, "\n  ")),
+    ]
+    parts = F.array_compact(F.array(_line("id", row_id), log, _block("bill:", known, 2)))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise("Legislative update")
 
 
-def feed_link(base: Column, bill_path: Column, first_url: Column) -> Column:
-    return F.coalesce(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), bill_path), first_url)
+def feed_link(base: Column, bill_source: Column, first_url: Column) -> Column:
+    """The base and the bill's path where both are known, else the bill's first source."""
+    return F.coalesce(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), bill_source), first_url)
 
 
 def guid(log_path: Column, timestamp: Column, row_id: Column) -> Column:

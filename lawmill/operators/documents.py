@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,15 +73,29 @@ def parse_html(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"title": titles, "text": texts})
 
 
-def xml_parts(xml: Column) -> Column:
-    """Title, official title, section headings and text of a bill in XML; malformed input gives nulls."""
-    sound = F.when(xml.rlike(r"(?s)^\s*<.*>\s*$"), xml)
-    return F.struct(
-        F.xpath_string(sound, F.lit("//title")).alias("title"),
-        F.xpath_string(sound, F.lit("//official-title")).alias("official_title"),
-        F.xpath(sound, F.lit("//section/header/text()")).alias("sections"),
-        F.trim(F.regexp_replace(F.regexp_replace(sound, r"<[^>]*>", " "), r"\s+", " ")).alias("text"),
-    )
+XML_PARTS = T.StructType(
+    [T.StructField("title", T.StringType()), T.StructField("official_title", T.StringType()), T.StructField("sections", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())]
+)
+
+
+@F.pandas_udf(XML_PARTS)
+def xml_parts(documents: pd.Series) -> pd.DataFrame:
+    """Title, official title, the sections' texts and the whole text of a bill in XML; nulls for input that isn't well-formed.
+
+    The platform's own XPath functions end the job at the first such input and at any DOCTYPE, so a parser reads each
+    document by itself; it fetches no external definition, and an entity that only such a one names counts as malformed."""
+    rows = []
+    for document in documents:
+        try:
+            root = ElementTree.fromstring(document)
+        except (ElementTree.ParseError, TypeError, ValueError):
+            rows.append((None, None, None, None))
+            continue
+        own = lambda tag: (root.findtext(f".//{tag}") or "").strip()  # noqa: B023, E731
+        whole = lambda element: "".join(element.itertext()).strip()
+        sections = [text for section in root.iterfind(".//section") if (text := whole(section))]
+        rows.append((own("title"), own("official-title"), sections, whole(root)))
+    return pd.DataFrame(rows, columns=XML_PARTS.names)
 
 
 def outcome(content: Column, media_type: Column) -> Column:

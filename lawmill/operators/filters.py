@@ -25,11 +25,17 @@ def require(df: DataFrame, fields: Sequence[str], category: str) -> tuple[DataFr
     return df.filter(ok), df.filter(~ok).withColumn("category", F.lit(category)).withColumn("missing", missing)
 
 
-def session_gate(df: DataFrame, sessions: DataFrame, keys: Sequence[str] = ("state", "session_id"), broadcast_rows: int = 100_000) -> DataFrame:
-    """``df`` with ``gate``: ok, missing_session, unknown_session. Sessions are a dimension; the hint is given under a counted size."""
+def session_gate(
+    df: DataFrame, sessions: DataFrame, keys: Sequence[str] = ("state", "session_id"), expected: Column | None = None, broadcast_rows: int = 100_000
+) -> DataFrame:
+    """``df`` with ``gate``: ok, missing_session, unknown_session, and wrong_session for a known one other than the
+    ``expected`` (where that isn't null). Sessions are a dimension; the hint is given under a counted size."""
     known = small(sessions.select(*keys).distinct().withColumn("_known", F.lit(True)), broadcast_rows)
     gated = df.join(known, list(keys), "left")
-    gate = F.when(F.coalesce(F.col(keys[-1]).cast("string"), F.lit("")) == "", "missing_session").when(F.col("_known").isNull(), "unknown_session").otherwise("ok")
+    gate = F.when(F.coalesce(F.col(keys[-1]).cast("string"), F.lit("")) == "", "missing_session").when(F.col("_known").isNull(), "unknown_session")
+    if expected is not None:
+        gate = gate.when(F.col(keys[-1]) != expected, "wrong_session")
+    gate = gate.otherwise("ok")
     return gated.withColumn("gate", gate).drop("_known")
 
 
@@ -44,6 +50,19 @@ def newer_than(df: DataFrame, cursors: DataFrame, category: str, ts: str, observ
     return out.filter(fresh).drop("_cursor")
 
 
+#: Quarantine category of a row without a date, by what it is. Fixed values.
+UNDATED = {"events": "from_is_newer_than_latest_missing_event_date", "vote_events": "from_is_newer_than_latest_missing_vote_date"}
+UNDATED_OTHER = "from_is_newer_than_latest_unknown_category"
+
+
+def undated(df: DataFrame, kind: str, ts: str) -> DataFrame:
+    """Rows that ``newer_than`` can't compare: those without a time, or of a kind that has none, with their quarantine ``category``."""
+    category = F.lit(UNDATED_OTHER)
+    for name, value in UNDATED.items():
+        category = F.when(F.col(kind) == name, value).otherwise(category)
+    return df.filter(F.col(ts).isNull() | ~F.coalesce(F.col(kind).isin(*UNDATED), F.lit(False))).withColumn("category", category)
+
+
 def changed_by_count(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], n_actions: Column | None = None) -> DataFrame:
     """New bills and bills whose number of actions differs from the stored one; both sides hold the list ``actions`` or ``n_actions``."""
     n = F.size("actions") if n_actions is None else n_actions

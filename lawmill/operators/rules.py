@@ -1,15 +1,17 @@
 """Locale noise filters: rule sets written as text, compiled to one expression.
 
-A rule set is a parameter. Its text uses the notation of the blueprint's rule table: ``="x"`` equals, ``^"x"``
+Rule sets are a parameter; the package brings those of all locales as a data file (``default_rule_sets``). Their text uses the notation of the blueprint's rule table: ``="x"`` equals, ``^"x"``
 starts with, ``~"x"`` contains, ``bytes < n`` compares the UTF-8 length; AND binds tighter than OR; rules are
 parted by `` ; ``. Any hit, or any listed class, removes the log. A locale without a set keeps everything.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +113,26 @@ def parse_rule_table(lines) -> dict[str, RuleSet]:
     return found
 
 
+def read_rule_sets(text: str) -> dict[str, RuleSet]:
+    """Rule sets from text: ``[locale]`` lines, each followed by its ``class x`` and ``rule y`` lines; ``#`` starts a remark."""
+    found: dict[str, tuple[list[str], list[str]]] = {}
+    classes, tests = [], []
+    for line in text.splitlines():
+        if line.startswith("["):
+            classes, tests = found.setdefault(line.strip("[]"), ([], []))
+        elif line.startswith("class "):
+            classes.append(line[6:])
+        elif line.startswith("rule "):
+            tests.append(line[5:])
+    return {locale: RuleSet(tuple(c), tuple(t)) for locale, (c, t) in found.items()}
+
+
+@functools.cache
+def default_rule_sets() -> Mapping[str, RuleSet]:
+    """The rule sets that come with the package."""
+    return read_rule_sets(resources.files("lawmill.data").joinpath("noise_rules.txt").read_text(encoding="utf-8"))
+
+
 def filter_noise(
     logs: DataFrame,
     rule_sets: Mapping[str, RuleSet | Callable[[Column, Column], Column]],

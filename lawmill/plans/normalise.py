@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawmill.functions.keys import bill_id
@@ -13,18 +13,20 @@ from lawmill.functions.records import content_hash
 KEYS = ("state", "session_id", "bill_id")
 
 
-def normalise_bills(raw: DataFrame, sessions: DataFrame, stored: DataFrame | None = None, mode: str = "count") -> tuple[DataFrame, DataFrame]:
+def normalise_bills(
+    raw: DataFrame, sessions: DataFrame, stored: DataFrame | None = None, mode: str = "count", expected_session: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) bills; with stored bills only new and changed ones, by action count or by content."""
     good, missing = require(raw, ["identifier", "title", "session_id"], "bill_missing_fields")
-    gated = session_gate(good.withColumn("bill_id", bill_id(F.col("identifier"))), sessions)
+    gated = session_gate(good.withColumn("bill_id", bill_id(F.col("identifier"))), sessions, expected=expected_session)
     bad = gated.filter(F.col("gate") != "ok").withColumn("category", F.col("gate")).drop("gate")
     kept = gated.filter(F.col("gate") == "ok").drop("gate")
     if stored is not None:
         if mode == "count":
             kept = changed_by_count(kept, stored, KEYS)
         else:
-            hashed = content_hash("title", "actions")
-            kept = changed_by_hash(kept.withColumn("content_hash", hashed), stored.withColumn("content_hash", hashed), KEYS).drop("content_hash")
+            now, before = (df.withColumn("content_hash", content_hash("title", "actions", schema=df.schema)) for df in (kept, stored))
+            kept = changed_by_hash(now, before, KEYS).drop("content_hash")
     return kept, missing.unionByName(bad, allowMissingColumns=True)
 
 

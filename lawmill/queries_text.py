@@ -189,17 +189,20 @@ def pruned_json(spark, sf):
 @query(
     "feed_items",
     """SELECT event_id, event_type || ' - ' || 'usr' || user_id || ' - ' || 'Event ' || event_id AS title,
-              'Bill: ' || event_id || chr(10) || 'Type: ' || event_type AS description, 'https://x.example/' || event_id AS link,
+              'id: ' || event_id || chr(10) || chr(10) || 'log:' || chr(10) || '  action:' || chr(10) || '    description: ' || event_type || chr(10) || '  bill_id: B' || user_id AS description, 'https://x.example/' || event_id AS link,
               strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') AS pub_date, 'g' || event_id AS guid
        FROM events ORDER BY ts DESC, event_id LIMIT 100""",
 )
 def feed_items(spark, sf):
     rows = latest.top(table(spark, sf, "events"), 100, F.desc("ts"), F.asc("event_id"))
     number = F.col("event_id").cast("string")
+    none = F.lit(None).cast("string")
+    action = F.struct(F.col("event_type").alias("description"), none.alias("date"), F.array().cast("array<string>").alias("classification"), none.alias("organization_id"))
+    bill = F.lit(None).cast("struct<identifier:string,title:string,legislative_session:string,subject:array<string>,abstracts:array<struct<abstract:string,note:string>>>")
     return rows.select(
         "event_id",
         records.feed_title(F.array("event_type"), F.concat(F.lit("usr"), "user_id"), F.concat(F.lit("Event "), number), number).alias("title"),
-        records.feed_description([("Bill", number), ("Type", F.col("event_type")), ("Note", F.lit(""))]).alias("description"),
+        records.feed_description(number, action, F.concat(F.lit("B"), "user_id"), bill).alias("description"),
         records.feed_link(F.lit("https://x.example/"), number, F.lit("")).alias("link"),
         times.rfc2822(F.col("ts")).alias("pub_date"),
         records.guid(F.concat(F.lit("g"), number), F.lit(""), number).alias("guid"),
@@ -228,13 +231,19 @@ def html_placeholder(spark, sf):
     return table(spark, sf, "pages").select("page_id", holder.cast("int").alias("placeholder"))
 
 
-@query("xml_sections", """SELECT p_partkey, p_name AS title, p_brand AS official_title, p_type || ',' || 'Sec ' || p_size AS sections FROM part""")
+@query("xml_sections", """SELECT p_partkey, CASE WHEN p_size > 45 THEN NULL ELSE p_name END AS title, CASE WHEN p_size > 45 THEN NULL ELSE p_brand END AS official_title,
+         CASE WHEN p_size > 45 THEN NULL ELSE p_type || 'a,' || 'Sec ' || p_size END AS sections FROM part""")
 def xml_sections(spark, sf):
-    """Bills in XML made from the part table."""
-    xml = F.concat(
+    """Bills in XML made from the part table: some with a DOCTYPE, some broken off, of two roots or with crossed tags."""
+    body = F.concat(
         F.lit("<bill><title>"), "p_name", F.lit("</title><official-title>"), "p_brand", F.lit("</official-title><section><header>"), "p_type",
         F.lit("</header><text>a</text></section><section><header>Sec "), "p_size", F.lit("</header></section></bill>"),
     )
+    xml = (
+        F.when(F.col("p_size") > 49, F.concat(body, body)).when(F.col("p_size") > 48, F.concat(F.lit("<a><b></a>"), body)).when(F.col("p_size") > 47, F.substring(body, 1, 60))
+        .when(F.col("p_size") > 46, F.lit("no xml")).when(F.col("p_size") > 45, F.lit(None).cast("string"))
+        .when(F.col("p_size") > 20, F.concat(F.lit('<?xml version="1.0"?><!DOCTYPE bill PUBLIC "-//US Congress//DTDs/bill.dtd//EN" "bill.dtd">'), body)).otherwise(body)
+    )
     parts = table(spark, sf, "part").select("p_partkey", docs_ops.xml_parts(xml).alias("x"))
     return parts.select("p_partkey", "x.title", "x.official_title", F.array_join("x.sections", ",").alias("sections"))
 

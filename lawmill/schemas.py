@@ -9,6 +9,7 @@ SOURCE = "array<struct<url:string,note:string>>"
 ACTION = (
     "struct<description:string,date:string,occurred_at:string,organization_id:string,jurisdiction_id:string,session_id:string,"
     "entity_type:string,classification:array<string>,classifications:array<string>,"
+    "related_entities:array<struct<entity_type:string,entity_id:string,name:string,note:string>>,"
     "_processing:struct<log_file_created:string>>"
 )
 BILL = (

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lawmill.functions.keys import action_log_key, bill_key, vote_log_key
+from lawmill.functions.keys import action_log_key, bill_key, jurisdiction_name, vote_log_key
 from lawmill.functions.records import canonical_classes, merge_processing, prune_rows, reshape_action
 from lawmill.functions.text import xml_escape
 
@@ -53,6 +57,23 @@ def upsert_bills(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = (
     return both.select(*keys, F.coalesce("_new", "_old").alias("_row"), processing.alias("processing")).select(*keys, "_row.*", "processing")
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write files: one per row of (path under the root, body as bytes), by the tasks that hold them; a file there is replaced."""
+    where = re.sub("^file:/*", "file:///", root)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, base = (fs.LocalFileSystem(), where) if where.startswith("/") else fs.FileSystem.from_uri(where)
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["body"]):
+                whole = f"{base.rstrip('/')}/{path}"
+                target.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                with target.open_output_stream(whole) as out:
+                    out.write(body)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.select("path", "body").mapInPandas(put, "n long").agg({"n": "sum"}).collect()
+
+
 def quarantine(bad: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Rows to append: those whose name the quarantine doesn't hold."""
     return bad if stored is None else bad.join(stored.select("category", "name").distinct(), ["category", "name"], "left_anti")
@@ -77,13 +98,26 @@ def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
     {"csv": writer.option("header", True).csv, "json": writer.json, "parquet": writer.parquet}[kind](path)
 
 
-def dashboard(bills: DataFrame, tag_defs: DataFrame, generated_at: Column, source: str, jurisdictions: DataFrame) -> DataFrame:
-    """One row of facets as JSON: states, jurisdictions without bills, tags with descriptions. The bills stay a table."""
-    states = bills.agg(F.array_sort(F.collect_set("state")).alias("states"), F.count(F.lit(1)).alias("n_bills"))
+def dashboard_order(bills: DataFrame) -> DataFrame:
+    """Bills in the dashboard's order: state (none first), session, identifier."""
+    return bills.orderBy(F.coalesce("state", F.lit("")), "session", "id")
+
+
+def dashboard(bills: DataFrame, tag_defs: DataFrame, generated_at: Column, source: str, jurisdictions: DataFrame, with_bills: bool = False) -> DataFrame:
+    """One row, the document as JSON: states by name, jurisdictions without bills, tags with descriptions, and with
+    ``with_bills`` the bills in order, which is for as many as one file of a static host holds; else they stay a table."""
+    def named(states: DataFrame, to: str) -> DataFrame:
+        one = F.struct(jurisdiction_name(F.lit(None).cast("string"), F.col("state")).alias("name"), F.col("state").alias("code"))
+        return states.agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: F.struct(s["code"].alias("code"), s["name"].alias("name"))).alias(to))
+
+    present = bills.filter(F.coalesce("state", F.lit("")) != "").select("state").distinct()
     used = bills.select(F.explode("tags").alias("name")).distinct().join(tag_defs.select("name", "description"), "name", "left")
     tags = used.agg(F.array_sort(F.collect_list(F.struct("name", F.coalesce("description", F.lit("")).alias("description")))).alias("tags"))
-    empty = jurisdictions.select("state").distinct().join(bills.select("state").distinct(), "state", "left_anti").agg(F.array_sort(F.collect_list("state")).alias("empty_jurisdictions"))
-    one = states.crossJoin(tags).crossJoin(empty)
+    empty = jurisdictions.select("state").distinct().join(present, "state", "left_anti")
+    one = named(present, "states").crossJoin(named(empty, "empty_jurisdictions")).crossJoin(tags)  # one row each
+    if with_bills:
+        row = F.struct(F.coalesce("state", F.lit("")).alias("_s"), F.col("session").alias("_n"), F.col("id").alias("_i"), F.struct(*bills.columns).alias("bill"))
+        one = one.crossJoin(bills.agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["bill"]).alias("bills")))
     return one.select(F.to_json(F.struct(generated_at.alias("generated_at"), F.lit(source).alias("source"), *one.columns)).alias("document"))
 
 
@@ -140,16 +174,32 @@ def with_bill_key(df: DataFrame) -> DataFrame:
     return df.withColumn("bill_key", bill_key(F.col("state"), F.col("session_id"), F.col("identifier")))
 
 
+def _commits(spark, path: str):
+    """File system, folder of commits and the numbers committed so far."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return files, folder, sorted(int(n) for n in found if n.isdigit())
+
+
 def current_version(spark, path: str) -> str | None:
     """Folder of a state table's committed version; null before the first."""
-    pointer = f"{path}/_current"
-    files = spark._jvm.org.apache.hadoop.fs.Path(pointer)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-        return None
-    return f"{path}/{spark.read.text(pointer).first()[0]}"
+    _, folder, numbers = _commits(spark, path)
+    return f"{path}/{spark.read.text(f'{folder}/{numbers[-1]:012d}').first()[0]}" if numbers else None
 
 
 def commit_state(df: DataFrame, path: str, version: str) -> None:
-    """Write a new version of a state table, then point to it; readers see the old one until then."""
+    """Write a new version of a state table, then commit it: a numbered file with its name, written apart and renamed
+    into place, which is one step. Readers take the highest number, so they see the old version until then and never none."""
+    spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}/{version}")
-    df.sparkSession.range(1).select(F.lit(version)).coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+    files, folder, numbers = _commits(spark, path)
+    files.mkdirs(folder)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    apart = Path(f"{folder}/.{uuid.uuid4().hex}")
+    out = files.create(apart)
+    out.write(bytearray(version.encode()))
+    out.close()
+    number = numbers[-1] + 1 if numbers else 0
+    if not files.rename(apart, Path(f"{folder}/{number:012d}")):
+        raise RuntimeError(f"another writer committed version {number} of {path}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +16,10 @@ from lawmill import schemas
 from lawmill.functions.keys import path_info, session_of
 from lawmill.functions.times import log_timestamp
 
+#: What a broken, cut off, encrypted or oddly packed archive raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError, KeyError)
+
+
 def _json(spark: SparkSession, root: str, schema: str, pattern: str) -> DataFrame:
     """Whole files read with an explicit schema, plus ``path``; files that aren't JSON are left out."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
@@ -72,6 +78,11 @@ def read_raw_objects(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     return typed.filter(good), typed.filter(~good).withColumn("category", F.lit("from_scraper_invalid_json"))
 
 
+def event_archive(objects: DataFrame) -> DataFrame:
+    """(name, body): the raw events, which are kept as they came besides being processed."""
+    return objects.filter(F.col("kind") == "event").select("name", "body")
+
+
 def typed_objects(objects: DataFrame, kind: str) -> DataFrame:
     """The objects of one kind with their explicit schema."""
     schema = {"bill": schemas.BILL, "vote_event": schemas.VOTE_EVENT, "event": schemas.EVENT, "jurisdiction": schemas.JURISDICTION}[kind]
@@ -129,9 +140,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(run, file, line_no, line) of the top-level text files of zipped run logs; broken archives give one null line."""
+    """(run, file, line_no, line) of the top-level text files of zipped run logs. A file that can't be read (broken,
+    encrypted, of an unknown method) gives one null line, and so does a broken archive; the others go on."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
 
+    def broken(run: str, file: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"run": [run], "file": [file], "line_no": [None], "line": [None]}).astype({"line_no": "Int64"})
+
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in batch.itertuples(index=False):
@@ -139,11 +154,16 @@ def read_run_archives(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                     names = sorted(n for n in archive.namelist() if n.endswith(".txt") and "/" not in n)
-                    for file in names:
+                except UNREADABLE:
+                    yield broken(run, None)
+                    continue
+                for file in names:
+                    try:
                         lines = archive.read(file).decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"run": run, "file": file, "line_no": range(len(lines)), "line": lines})
-                except zipfile.BadZipFile:
-                    yield pd.DataFrame({"run": [run], "file": [None], "line_no": [None], "line": [None]}).astype({"line_no": "Int64"})
+                    except UNREADABLE:
+                        yield broken(run, file)
+                        continue
+                    yield pd.DataFrame({"run": run, "file": file, "line_no": range(len(lines)), "line": lines})
 
     return files.mapInPandas(unzip, "run string, file string, line_no long, line string")
 

@@ -52,7 +52,7 @@ def test_dashboard_and_summary(spark):
     defs = spark.createDataFrame([("a", "about a")], "name string, description string")
     places = spark.createDataFrame([("wy",), ("ca",), ("tx",)], "state string")
     doc = json.loads(sinks.dashboard(bills, defs, F.lit("now"), "src", places).collect()[0]["document"])
-    assert doc["states"] == ["ca", "wy"] and doc["empty_jurisdictions"] == ["tx"]
+    assert doc["states"] == [{"code": "ca", "name": "California"}, {"code": "wy", "name": "Wyoming"}] and doc["empty_jurisdictions"] == [{"code": "tx", "name": "Texas"}]
     assert doc["tags"] == [{"name": "a", "description": "about a"}, {"name": "b", "description": ""}]
     objects = spark.createDataFrame([("bill", "1"), ("bill", "2"), ("event", "3")], "kind string, name string")
     row = sinks.run_summary(objects, objects.filter("kind = 'event'"), "wy").collect()[0]

@@ -83,7 +83,7 @@ def test_read_tree_to_feed(spark, tmp_path):
 
     rows = topic_feed.log_rows(logs, {"bill": bills, "tags": tags}, rule_sets={"wy": RuleSet(("introduction",))})
     feed = topic_feed.feed(topic_feed.select_default(rows), ["trade"], base_url=F.lit("https://x.example/")).collect()
-    assert len(feed) == 1 and feed[0]["title"] == "trade - unknown - A bill" and "Action: Signed" in feed[0]["description"]
+    assert len(feed) == 1 and feed[0]["title"] == "trade - unknown - A bill" and "    description: Signed" in feed[0]["description"] and feed[0]["link"].startswith("https://x.example/file:")
     xml = sinks.feed_xml(topic_feed.feed(topic_feed.select_default(rows)), "T", "L").collect()[0]["rss"]
     assert xml.count("<item>") == 1
 
