@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+    return out.filter(F.col("u") != F.col("v"))
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,7 +41,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     for _ in range(MAX_ROUNDS):
-        after = materialise(_star(_star(edges, large=True), large=False))
+        after = materialise(_star(_star(edges, large=True), large=False).distinct())
         # done when every node hangs on exactly one root that hangs on nothing
         state = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         many = state.filter(F.col("n") > 1).limit(1).count()

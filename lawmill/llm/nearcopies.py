@@ -7,20 +7,20 @@ Two sets of similarity 0.8 differ in about 15 of 100 SimHash bits, too many for
 chance. So the fingerprint here is wide: a ring of 129 segments of 20 bits, the signs of 2,580 random projections of
 the set (each shingle adds +1 or -1 to one of 4,096 places; random signs and Hadamard transforms mix the places).
 
-Candidates, by pigeonring: a chain starts at a segment that two fingerprints share and goes on for six segments; the
-differences of its first 2, 3, ... 7 segments must stay within the proportional budget of 4 a segment. A pair of
+Candidates, by pigeonring: a chain starts at a segment that two fingerprints share and goes on for three segments; the
+differences of its first 2, 3 and 4 segments must stay within the proportional budget of 4 a segment. A pair of
 similarity 0.8 fails to share all 129 segments with a probability of (1 - 0.848^20)^129 = 0.008, one of 0.85 with 0.0002.
 Candidates then go through the full Hamming check (a fifth of all bits) and an exact check of the shingle sets.
 
 The rows of one segment value give a spanning forest by a walk, not pairs, so a dense group of n nodes yields n - 1
-links there. Links are checked nearest first: in each turn every component so far has its nearest open link checked,
-links within a component drop out, and what is left after ``TURNS`` turns is checked as a whole.
+links there. Of the links found, each node's nearest one and the one to its neighbour of most links are checked first;
+links within the components that this gives drop out, all others are checked then.
 
 Defined results: null text is empty; texts without words are one group; null doc_id rows are in no group; repeated
 rows and ties are equal sets; very long texts count whole; an empty table gives an empty table; only ``doc_id`` and
 ``text`` are read, so other columns may have any names.
 
-Scale: the shuffled rows are 129 of 28 bytes for each distinct shingle set. The rows that share a segment by chance
+Scale: the shuffled rows are 129 of 20 bytes for each distinct shingle set. The rows that share a segment by chance
 grow with the square of the corpus, divided by 2 to the power of the bits of a segment: 20 bits suit some ten
 million distinct texts; beyond, take longer segments and more of them (1.18 times as many for each further bit).
 """
@@ -39,14 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawmill.llm.components import connected_components
-from lawmill.session import materialise
+from lawmill.session import materialise, small
 
 WORDS = 5
 SIMILAR = (4, 5)  # four fifths
-SEGMENTS, BITS, CHAIN = 129, 20, 6  # CHAIN segments are compared after the shared one
+SEGMENTS, BITS, CHAIN = 129, 20, 3  # CHAIN segments are compared after the shared one
 BUDGET = 4  # differing bits a segment, a fifth
 PLACES = 4096
-TURNS = 3
 SALTS = 32
 MARKS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("ring", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("ring", T.ArrayType(T.LongType()))])
@@ -101,29 +100,26 @@ def shingle_sets(texts: pd.Series) -> pd.DataFrame:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, near, far): each segment of a ring, with the six segments that follow in two words."""
+    """(key, node, chain): each segment of a ring, with the segments that follow in one word."""
     for batch in batches:
         for at in range(0, len(batch), 200):
             part = batch.slice(at, 200)
             words = part.column("ring").flatten().to_numpy().reshape(len(part), -1)
             segments = np.stack([words & MASK, words >> BITS & MASK, words >> 2 * BITS & MASK], axis=2).reshape(len(part), SEGMENTS)
-            ahead = [np.roll(segments, -k, axis=1) for k in range(1, CHAIN + 1)]
-            near, far = (sum(ahead[i + k] << (BITS * k) for k in range(3)) for i in (0, 3))
+            chain = sum(np.roll(segments, -1 - k, axis=1) << (BITS * k) for k in range(CHAIN))
             key = segments | np.arange(SEGMENTS, dtype=np.int64) << BITS
             node = np.repeat(part.column("node").to_numpy(), SEGMENTS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().astype(np.int32)), *(pa.array(x.ravel()) for x in (node, near, far))], ["key", "node", "near", "far"]
+                [pa.array(key.ravel().astype(np.int32)), pa.array(node), pa.array(chain.ravel())], ["key", "node", "chain"]
             )
 
 
-def _chain(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the chains of (near, far) rows keep every prefix within its budget, and all their differing bits."""
-    total, ok = np.zeros(np.broadcast(a[..., 0], b[..., 0]).shape, np.int64), True
-    for word in (0, 1):
-        differ = a[..., word] ^ b[..., word]
-        for k in range(3):
-            total = total + np.bitwise_count(differ >> BITS * k & MASK)
-            ok = ok & (total <= BUDGET * (3 * word + k + 2))
+def _close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether two chains keep every prefix within its budget, and all their differing bits."""
+    differ, total, ok = a ^ b, 0, True
+    for k in range(CHAIN):
+        total = total + np.bitwise_count(differ >> BITS * k & MASK).astype(np.int64)
+        ok = ok & (total <= BUDGET * (k + 2))
     return ok, total
 
 
@@ -134,7 +130,7 @@ def _walk(node: np.ndarray, chain: np.ndarray) -> list[tuple[int, int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             here = queue.pop(0)
-            ok, total = _chain(chain[rest], chain[here])
+            ok, total = _close(chain[rest], chain[here])
             links += [(int(node[here]), int(node[x]), int(d)) for x, d in zip(rest[ok], total[ok])]
             queue.extend(rest[ok])
             rest = rest[~ok]
@@ -145,15 +141,14 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Links of all keys; rows come sorted by key and node, so a key may reach over several batches."""
 
     def links_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        key, node, near, far = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("key", "node", "near", "far"))
-        chain = np.stack([near, far], axis=1)
+        key, node, chain = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("key", "node", "chain"))
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         size = np.diff(edge)
         # keys of few rows are walked only if some pair is close
         wanted = size > 8
         for step in range(1, 8):
             first = np.flatnonzero(key[step:] == key[:-step])
-            close = first[_chain(chain[first], chain[first + step])[0]]
+            close = first[_close(chain[first], chain[first + step])[0]]
             wanted[np.searchsorted(edge, close, "right") - 1] = True
         links = [x for at, n in zip(edge[:-1][wanted], size[wanted]) for x in _walk(node[at : at + n], chain[at : at + n])]
         a, b, d = np.array(links, np.int64).reshape(-1, 3).T
@@ -179,7 +174,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     """(a, b, d) from (node, ring): links between close fingerprints and their differing bits on the best chain."""
     # a ring is a few hundred bytes but becomes 129 rows, so rings are spread by the rows' size, not their own
     spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node"))
-    keyed = spread.select("node", "ring").mapInArrow(_keyed, "key int, node long, near long, far long")
+    keyed = spread.select("node", "ring").mapInArrow(_keyed, "key int, node long, chain long")
     sorted_rows = keyed.repartition("key").sortWithinPartitions("key", "node")
     return sorted_rows.mapInArrow(_bucket_links, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
 
@@ -197,30 +192,27 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.filter((low + high) * both >= low * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
+def first_links(links: DataFrame) -> DataFrame:
+    """(a, b): of each node the nearest link and the link to the neighbour that has most links."""
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "d").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "d"))
+    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ends.join(degrees.select(F.col("node").alias("other"), "n"), "other")
+    nearest, hub = F.min(F.struct("d", "other")).alias("nearest"), F.max(F.struct("n", -F.col("other"), "other")).alias("hub")
+    chosen = ranked.groupBy("node").agg(nearest, hub).select("node", F.explode(F.array_distinct(F.array("nearest.other", "hub.other"))).alias("other"))
+    return chosen.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def checked_links(links: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): similar pairs among ``links`` that connect what all similar pairs among them connect."""
-    done, rest = None, links
-    for turn in range(TURNS + 1):
-        if turn:
-            roots = connected_components(done)
-            for end in ("a", "b"):
-                root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-                rest = rest.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        else:
-            rest = rest.withColumn("root_a", F.col("a")).withColumn("root_b", F.col("b"))
-        rest = materialise(rest.filter("root_a <> root_b"))
-        if rest.isEmpty():
-            break
-        picked = rest
-        if turn < TURNS:
-            best = F.min(F.struct("d", "a", "b")).alias("best")
-            nearest = [rest.groupBy(F.col(f"root_{end}").alias("root")).agg(best) for end in ("a", "b")]
-            picked = nearest[0].unionByName(nearest[1]).groupBy("root").agg(F.min("best").alias("best")).select("best.a", "best.b").distinct()
-            picked = materialise(picked)
-        found = similar(picked, sets)
-        done = materialise(found if done is None else done.unionByName(found))
-        rest = rest.join(picked, ["a", "b"], "left_anti").select("a", "b", "d")
-    return links.select("a", "b").limit(0) if done is None else done
+    first = materialise(first_links(links))
+    done = materialise(similar(first, sets))
+    rest = links.join(first, ["a", "b"], "left_anti")
+    roots = connected_components(done)
+    for end in ("a", "b"):
+        root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        rest = rest.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    rest = materialise(rest.filter("root_a <> root_b").select("a", "b"))
+    return done if rest.isEmpty() else done.unionByName(similar(rest, sets))
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -229,7 +221,8 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     marked = materialise(texts.select("doc_id", marks("text").alias("m")).select("doc_id", "m.*"))
     classes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("ring").alias("ring")))
     links = materialise(candidate_links(classes.select("node", "ring")))
-    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+    # few documents have a link: their ids go to the texts while they are counted to be few, else both are shuffled
+    ends = small(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), 1_000_000)
     sets = texts.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), shingle_sets("text").alias("s"))
     roots = connected_components(checked_links(links, materialise(sets.select("node", "s.*"))))
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
