@@ -15,7 +15,12 @@ scoring covers every row and whole texts.
 
 Defined results: null or empty text has no features, so its severity is what the thresholds give; without both
 classes among the labelled rows nothing is learned and every severity is 0; rows with null labels or null doc_id
-teach nothing; repeated documents count once in training and are scored each.
+teach nothing; repeated documents count once in training and are scored each; very long texts count whole, each word
+once; of equally likely grades the lowest is named, and of equal hashes the smaller doc_id comes into the sample first; an
+empty table gives no rows; a column named ``toxicity`` is replaced, others may have any names.
+
+Scale: scoring is a column of the scan. What reaches the driver comes from the sample alone: at most ``sample_rows`` rows of
+each class, with the features that tell the classes apart, which three or more of these rows hold.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawmill.session import materialise
+from lawmill.session import materialise, small
 
 SAMPLE_ROWS = 2500
 LEAST_ROWS = 4
@@ -154,7 +159,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tupl
     marked = (F.abs(gap) / error >= 3) & (F.greatest(ratio, 1 / ratio) >= LEAST_RATIO)
     telling = counts.filter(marked & (F.col("held") + F.col("held_clean") >= 3)).toPandas().sort_values("feature")
     ids = docs.sparkSession.createDataFrame(telling[["feature"]]) if len(telling) else each.select("feature").limit(0)
-    held = each.join(F.broadcast(ids), "feature").groupBy("doc_id").agg(F.collect_list("feature").alias("told"))
+    held = each.join(small(ids, 1_000_000), "feature").groupBy("doc_id").agg(F.collect_list("feature").alias("told"))
     rows = sample.withColumn("n_features", F.size("features")).drop("features").join(held, "doc_id", "left")
     return rows.toPandas().sort_values("doc_id").reset_index(drop=True), telling.reset_index(drop=True)
 

@@ -129,6 +129,26 @@ def test_encoder_equals_the_library_on_odd_texts():
     assert [x.tolist() for x in encoder.encode(texts[:50])] == model.encode(texts[:50])  # from what it remembers
 
 
+def test_long_words_equal_the_library_and_take_little_time():
+    """Words without blanks: base64-like, one letter, syllables, characters in no piece; five times as long, less than fifteen times the time."""
+    import time
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=spm.TOKENIZER)
+    encoder = spm.Encoder(spm.load_vocabulary())
+    rng = random.Random(11)
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "a", ["th", "er", "ing", "tion"], "漢字仮名交文", ["é", "x", "漢", "😀", "ab"]):
+        took = []
+        for n in (4_000, 20_000):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            began = time.time()
+            got = encoder.encode([text])[0].tolist()
+            took.append(time.time() - began)
+            assert got == model.encode(text)
+        assert took[1] < 15 * max(took[0], 0.1), (letters, took)
+
+
 def test_op2_against_exact_search(spark, sf_dir):
     word = re.compile(r"\w+")
     items = {r["item_id"]: word.findall(r["text"].lower()) for r in table(spark, sf_dir, "benchmark").collect()}
@@ -211,6 +231,57 @@ def test_op1_held_out(spark):
     assert model.thresholds == sorted(model.thresholds)
 
 
+def plain_score(text, model):
+    """Expected severity, likeliest grade and P(grade > 0) of a text, word by word."""
+    import math
+
+    import xxhash
+
+    total = 0.0
+    for word in set(re.findall(r"\w+", (text or "").lower())):
+        for name in [word] + [word[:n] + "*" for n in (3, 4, 5, 6, 7) if len(word) >= n]:
+            total += model.weights.get(xxhash.xxh3_64_intdigest(name.encode()) - 2**63, 0.0)
+    over = [1 / (1 + math.exp(min(60, max(-60, t - total)))) for t in model.thresholds]
+    each = [a - b for a, b in zip([1.0, *over], [*over, 0.0])]
+    return sum(over), each.index(max(each)), over[0]
+
+
+def test_op1_scores_against_plain_sums(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.weights and len(model.thresholds) == 3
+    got = {r["doc_id"]: r for r in queries.op1_toxicity(spark, sf_dir).collect()}
+    for doc in docs.collect():
+        severity, grade, probability = plain_score(doc["text"], model)
+        row = got[doc["doc_id"]]
+        assert abs(row["severity"] - severity) < 1e-6 and row["grade"] == grade and row["toxic"] == (probability >= 0.5)
+
+
+def test_op1_fit_is_the_likeliest():
+    """No small change of a weight or threshold raises the penalised likelihood of the fitted model."""
+    rng = np.random.default_rng(4)
+    n, features = 400, 12
+    held = rng.random((n, features)) < 0.3
+    true = np.r_[2.0, -2.0, 1.0, np.zeros(features - 3)]
+    grade = (rng.logistic(size=n)[:, None] < (held @ true)[:, None] - np.array([0.5, 1.5, 2.5])).sum(axis=1)
+    row, column = np.nonzero(held)
+    weights, cuts = toxicity.fit_ordinal(row, column, features, grade, l1=0.002, steps=4000)
+
+    def value(w, t):
+        score = held @ w
+        low, high = np.r_[-np.inf, t][grade], np.r_[t, np.inf][grade]
+        inside = 1 / (1 + np.exp(low - score)) - 1 / (1 + np.exp(high - score))
+        return np.log(inside).mean() - 0.002 * np.abs(w).sum()
+
+    best = value(weights, cuts)
+    for k in range(features + 3):
+        for step in (-0.05, 0.05):
+            w, t = weights.copy(), cuts.copy()
+            (w if k < features else t)[k if k < features else k - features] += step
+            assert value(w, t) <= best + 1e-6, k
+    assert weights[0] > 1 > -1 > weights[1]
+
+
 def brute_listed(url):
     if url is None or "://" not in url:
         return "", "", None, None
