@@ -7,6 +7,15 @@
 5 sentencepiece: the texts that are left become ids; the ids decode to the text.
 
 Every stage works on all rows that the one before kept; all but the last keep the columns of ``documents``.
+
+Near copies are those of a similarity of 0.8 or more; the contract of op4_simhash (4-word shingles, 64 bits, at most four
+differing) binds its query alone and finds about half of them.
+
+Defined results, with those of the operators: null and empty texts pass through (texts without words are one group of
+copies), a null text's ids are null; very long texts count whole; rows without a doc_id are never copies of others and
+stay; repeated rows of a doc_id are one document, which stays or goes as a whole; ties go to the smallest doc_id as copies,
+to the largest in line dedup; other columns of any names pass through all stages but the last; an empty table of
+documents, labels or benchmark items gives empty results, or nothing learned or matched.
 """
 
 from __future__ import annotations
