@@ -127,8 +127,48 @@ def stock_sql(spark, sf):
     """Bills as a view, then one of the stock questions in SQL."""
     people = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("state"))
     bills = table(spark, sf, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select("state", (F.col("o_orderkey") % 4).alias("session_id"))
-    stock.register({"bills": bills})
-    return spark.sql(stock.BILLS_BY_SESSION)
+    return stock.ask(spark, stock.BILLS_BY_SESSION, bills=bills)
+
+
+def _part_bills(spark, sf):
+    """Parts as bills: two classes, two sponsors and actions by the words of the name."""
+    sponsor = lambda name, first: F.struct(F.col(name).alias("name"), F.lit(first).alias("primary"))
+    action = F.transform(F.split("p_name", " "), lambda w, i: F.struct(F.concat(F.lit("d"), i).alias("date"), F.concat(F.when(w.contains("red"), "Passed ").otherwise("Read "), w).alias("description")))
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("bill_id"), F.col("p_type").alias("state"), F.col("p_name").alias("title"), F.array("p_type", "p_brand").alias("classification"),
+        F.array(sponsor("p_brand", True), sponsor("p_type", False)).alias("sponsorships"), action.alias("actions"),
+    )
+
+
+@query("stock_by_state", "SELECT p_type AS state, count(*) AS n FROM part GROUP BY 1")
+def stock_by_state(spark, sf):
+    return stock.ask(spark, stock.BILLS_BY_STATE, bills=_part_bills(spark, sf))
+
+
+@query("stock_by_class", "SELECT class, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, unnest([p_type, p_brand]) AS class FROM part) GROUP BY 1")
+def stock_by_class(spark, sf):
+    return stock.ask(spark, stock.DISTINCT_BY_CLASS, bills=_part_bills(spark, sf))
+
+
+@query("stock_top_sponsors", "SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
+def stock_top_sponsors(spark, sf):
+    return stock.ask(spark, stock.TOP_SPONSORS, bills=_part_bills(spark, sf))
+
+
+@query("stock_most_active", "SELECT p_partkey AS bill_id, len(string_split(p_name, ' '))::INT AS n_actions, 2 AS n_sponsors FROM part")
+def stock_most_active(spark, sf):
+    return stock.ask(spark, stock.MOST_ACTIVE, bills=_part_bills(spark, sf))
+
+
+@query("stock_passed", "SELECT bill_id, 'd' || k AS date, 'Passed ' || w AS description FROM (SELECT p_partkey AS bill_id, unnest(string_split(p_name, ' ')) AS w, unnest(range(len(string_split(p_name, ' ')))) AS k FROM part) WHERE contains(w, 'red')")
+def stock_passed(spark, sf):
+    return stock.ask(spark, stock.PASSED_ACTIONS, bills=_part_bills(spark, sf))
+
+
+@query("stock_same_title", "SELECT a.p_name AS title, a.p_type AS state_a, b.p_type AS state_b FROM (SELECT DISTINCT p_name, p_type FROM part) a JOIN (SELECT DISTINCT p_name, p_type FROM part) b ON a.p_name = b.p_name AND a.p_type < b.p_type")
+def stock_same_title(spark, sf):
+    """Over one row per title and state, so that repeated titles of a state aren't paired."""
+    return stock.ask(spark, stock.SAME_TITLE, bills=_part_bills(spark, sf).select("title", "state").distinct())
 
 
 @query("activity_by_month", f"""SELECT strftime(date_trunc('month', o_orderdate), '{STAMP}') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")

@@ -13,7 +13,7 @@ from lawmill import sinks
 from lawmill.functions import keys, records, text, times
 from lawmill.operators import documents as docs_ops
 from lawmill.operators import filters, joins, latest, rules, tagging
-from lawmill.plans import normalise, topic_feed
+from lawmill.plans import normalise, sweep, topic_feed
 from lawmill.plans import sql as stock
 from lawmill.registry import query
 from lawmill.session import checkpoint_dir
@@ -315,6 +315,70 @@ def extract_versions(spark, sf):
     return docs_ops.extract(ranked, plain).select(F.col("bill_id").alias("source"), "media_type", "tried")
 
 
+@query("harvest", """WITH r AS (SELECT 'w' || (user_id % 20) AS workflow, event_id AS id, event_id % 40 <> 0 AS done, value < 100 AS good FROM events WHERE event_id > 100 AND ts >= TIMESTAMP '2024-01-29 12:00:00'),
+         p AS (SELECT *, bool_and(done) OVER (PARTITION BY workflow ORDER BY id ROWS UNBOUNDED PRECEDING) AS ok FROM r), l AS (SELECT workflow, id, unnest([0, 1, 2]) AS line_no, good FROM p WHERE ok)
+       SELECT workflow, id AS run_id, line_no, 999 + row_number() OVER (PARTITION BY workflow ORDER BY id, line_no) AS collected_ns FROM l WHERE NOT good OR line_no >= 1""")
+def harvest(spark, sf):
+    """Runs after the watermark up to the first that isn't done: two last lines of good ones, a bounded end of the others."""
+    rows = table(spark, sf, "events")
+    runs = rows.select(
+        F.lit("o").alias("org"), F.lit("r").alias("repo"), F.concat(F.lit("w"), F.col("user_id") % 20).alias("workflow"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"),
+        F.when(F.col("event_id") % 40 == 0, "queued").otherwise("completed").alias("status"), F.when(F.col("value") < 100, "success").otherwise("failure").alias("conclusion"),
+    )
+    lines = rows.select(F.col("event_id").alias("run_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("line_no"), F.col("event_type").alias("line"))
+    marks = runs.select("org", "repo", "workflow").distinct().withColumn("watermark", F.lit(100).cast("long"))
+    shipped, _ = sweep.harvest(runs, lines, marks, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), F.lit(999 + 1).cast("long"), n_tail=2)
+    return shipped.select("workflow", "run_id", "line_no", "collected_ns")
+
+
+@query("shipped_marks", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN max(event_id) ELSE 7 END AS watermark FROM events GROUP BY 1")
+def shipped_marks(spark, sf):
+    """Watermarks move for the keys whose rows the sink took; the others keep theirs."""
+    marks = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("watermark"))
+    before = marks.select("user_id", F.lit(7).cast("long").alias("watermark"))
+    return sweep.ship(marks, marks, before, ["user_id"], lambda batch: batch.filter("user_id % 2 = 0"))
+
+
+@query("cursors", "SELECT event_type AS category, CASE WHEN event_type = 'view' THEN '2030-01-01' ELSE strftime(max(ts), '%Y-%m-%d') END AS day FROM events GROUP BY 1")
+def cursors(spark, sf):
+    """The larger of each category's cursor and its newest row."""
+    rows = table(spark, sf, "events").select("event_type", "ts")
+    known = rows.filter("event_type = 'view'").groupBy(F.col("event_type").alias("category")).agg(F.lit("2030-01-01 00:00:00").cast("timestamp_ntz").alias("cursor"))
+    return sweep.advance_cursors(known, rows, "event_type", "ts").select("category", F.date_format("cursor", "yyyy-MM-dd").alias("day"))
+
+
+@query("upsert_tags", "SELECT doc_id, lang AS tag, CASE WHEN source IN ('src1', 'src2') THEN 0.9 ELSE 0.5 END AS score FROM documents")
+def upsert_tags(spark, sf):
+    stored = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("tag"), F.lit(0.5).alias("score"))
+    new = table(spark, sf, "documents").filter("source IN ('src1', 'src2')").select("doc_id", F.col("lang").alias("tag"), F.lit(0.9).alias("score"))
+    return sinks.upsert_bill_tags(stored, new, ["doc_id", "tag"])
+
+
+@query("dropped_keys", """SELECT p_partkey, '{"name":"' || p_name || '","parts":[{"size":' || p_size || '}]}' AS value FROM part""")
+def dropped_keys(spark, sf):
+    """Ids and scrape times go at every depth."""
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.struct(F.lit("x").alias("_id"), F.col("p_name").alias("name"), F.array(F.struct(F.col("p_size").alias("size"), F.lit("y").alias("scraped_at"))).alias("parts")).alias("o")
+    )
+    return rows.select("p_partkey", F.to_json(records.drop_keys(F.col("o"), rows.schema["o"].dataType)).alias("value"))
+
+
+@query("html_parsed", """SELECT page_id, CASE WHEN contains(html, '<title>') THEN 1 ELSE 0 END AS titled, CASE WHEN html IS NULL THEN 0 ELSE 1 END AS has_text FROM pages""")
+def html_parsed(spark, sf):
+    """Titles by the parser, where pages have one."""
+    parsed = table(spark, sf, "pages").select("page_id", docs_ops.parse_html("html").alias("p"))
+    return parsed.select("page_id", F.col("p.title").isNotNull().cast("int").alias("titled"), F.col("p.text").isNotNull().cast("int").alias("has_text"))
+
+
+@query("unfiltered_noise", "SELECT conv_id, turn FROM conversations")
+def unfiltered_noise(spark, sf):
+    """The filter called none keeps every log; a tag that is asked for must be defined."""
+    logs = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    defs = tagging.tag_defs(spark, {"trade": {}})
+    tagged = logs.withColumn("tag", F.lit(filters.check_tag(defs, "trade")))
+    return rules.filter_noise(tagged, rules.default_rule_sets(), "role", F.col("text"), F.array("role"), alias="none").filter("tag = 'trade'").select("conv_id", "turn")
+
+
 # --- gates, hashes, orders, scalars
 
 @query("session_gate_expected", """SELECT gate, count(*) AS n FROM (SELECT CASE WHEN p_size > 40 THEN 'missing_session' WHEN p_size <= 10 THEN 'unknown_session' WHEN p_size <> 20 AND p_brand < 'Brand#2' THEN 'wrong_session' ELSE 'ok' END AS gate FROM part) GROUP BY 1""")
