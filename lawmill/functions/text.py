@@ -16,8 +16,9 @@ SCRIPT_PHRASES = (
 
 
 def slugify(text: Column, limit: int = 100) -> Column:
-    """Lower case, word characters only, white space folded to one underscore, none at the ends, cut to ``limit``."""
-    plain = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", "")
+    """Lower case, letters, digits and underscores only (no combining marks), white space folded to one underscore, none at
+    the ends, cut to ``limit``."""
+    plain = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}_\s]", "")
     return F.substring(F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", "_"), "^_+|_+$", ""), 1, limit)
 
 

@@ -123,7 +123,7 @@ def org_class(spark, sf):
     return table(spark, sf, "events").select("event_id", keys.org_classification(raw).alias("chamber"))
 
 
-@query("slug", """SELECT doc_id, substr(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'), '\\s+', '_', 'g'), '_'), 1, 100) AS slug FROM documents""")
+@query("slug", """SELECT doc_id, substr(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', '_', 'g'), '_'), 1, 100) AS slug FROM documents""")
 def slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
