@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lawmill.llm import decontam, linededup, nearcopies, simhash, spm, toxicity
 from lawmill.llm.rows import pack, unpack
 from lawmill.session import checkpoint_dir
-from lawmill.sources.tables import table
+from lawmill.sources.tables import spread, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}"
     count = getattr(run, "count", 0) + 1
     run.count = count
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}-{count}/{number}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)

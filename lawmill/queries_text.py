@@ -10,7 +10,7 @@ from lawmill.operators import documents as docs_ops
 from lawmill.operators import filters, latest, quality, tagging
 from lawmill.registry import query
 from lawmill.session import materialise, small
-from lawmill.sources.tables import table
+from lawmill.sources.tables import spread, table
 
 TAGS = {
     "trade": {"include_keywords": ["the", "of the", "einer"], "exclude_keywords": ["idiot"], "threshold": 0.5},
@@ -37,7 +37,7 @@ def _sql_tags() -> str:
 
 @query("keyword_tags", _sql_tags())
 def keyword_tags(spark, sf):
-    out = tagging.tag_by_keywords(table(spark, sf, "documents").select("doc_id", "text"), tagging.tag_defs(spark, TAGS))
+    out = tagging.tag_by_keywords(spread(table(spark, sf, "documents").select("doc_id", "text")), tagging.tag_defs(spark, TAGS))
     return out.select("doc_id", "tag", F.array_join("keywords", ",").alias("keywords"), "score")
 
 
