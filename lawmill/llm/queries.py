@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawmill.llm import chat, decontam, licenses, linededup, secret_scan, simhash, spm, tiff, toxicity, urlrules
-from lawmill.sources.tables import table
+from lawmill.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "toxicity.severity", "toxicity.grade", (F.col("toxicity.toxic_probability") >= 0.5).alias("toxic"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that overlap."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("contamination").alias("c")).select("doc_id", "c.*")
 
@@ -35,7 +39,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.near_duplicate_groups(_documents(spark, sf_dir, "doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -75,7 +79,7 @@ FROM sized GROUP BY conv_id
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    done = secret_scan.scan_secrets(_documents(spark, sf_dir, "doc_id", "source", "text"))
 
     def of_kind(rank: int):
         return F.size(F.filter("base", lambda m: m["rank"] == rank)).cast("long")
@@ -128,7 +132,7 @@ FROM docs LEFT JOIN spans USING (rn) GROUP BY rn, doc_id
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = linededup.drop_repeated_lines(_documents(spark, sf_dir, "doc_id", "text"))
     return done.select(
         "doc_id",
         F.size("_lines").cast("long").alias("n_lines"),
@@ -160,13 +164,13 @@ FROM marked GROUP BY doc_id, rn
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether they decode to its text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     done = spm.encode_checked(docs, spm.load_vocabulary())
     return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "lossless", "ids")
 
 
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), "text")
     stored = docs.withColumn("media", tiff.text_to_tiff(F.col("text"))).drop("text")
     read = stored.withColumn("read", tiff.tiff_pages(F.col("media")))
     payload = read.withColumn("payload", tiff.joined_pixels(F.col("read.pages")))
@@ -198,7 +202,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = licenses.scan_licenses(_documents(spark, sf_dir, "doc_id", "text"))
     return done.select(
         "doc_id",
         F.array_join("license_sentences", ",").alias("sentence_ids"),
