@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """For the operators in Python; the native ones take the scan as it is."""
     return spread(table(spark, sf_dir, "documents").select(*columns))
 
 
@@ -79,7 +80,7 @@ FROM sized GROUP BY conv_id
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = secret_scan.scan_secrets(_documents(spark, sf_dir, "doc_id", "source", "text"))
+    done = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
     def of_kind(rank: int):
         return F.size(F.filter("base", lambda m: m["rank"] == rank)).cast("long")
@@ -132,7 +133,7 @@ FROM docs LEFT JOIN spans USING (rn) GROUP BY rn, doc_id
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.drop_repeated_lines(_documents(spark, sf_dir, "doc_id", "text"))
+    done = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id",
         F.size("_lines").cast("long").alias("n_lines"),
@@ -202,7 +203,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = licenses.scan_licenses(_documents(spark, sf_dir, "doc_id", "text"))
+    done = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id",
         F.array_join("license_sentences", ",").alias("sentence_ids"),
