@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding of BPE models by suffix-array matching.
 
 A batch's texts are normalised and cut into chunks that no piece can span (a run of blank marks and what follows
-it). The chunks not seen before are concatenated and indexed by a suffix array, deep enough for the longest
+it; long chunks also between two characters that stand side by side in no piece). The chunks not seen before are concatenated and indexed by a suffix array, deep enough for the longest
 piece; every piece is looked up by binary search, which gives its range of occurrences; the resulting edges are
 sorted by position and relaxed from left to right.
 
@@ -13,7 +13,10 @@ merging gives, in one pass over the edges.
 Characters without a piece become byte pieces. Decoding joins pieces and bytes and drops the first blank.
 
 Defined results: null text gives null, empty text no ids; null ids decode to null; ids outside the vocabulary
-fail the task. A text that holds the blank mark itself reads back with a blank there.
+fail the task. A text that holds the blank mark itself reads back with a blank there. Repeated rows are encoded each;
+very long texts are encoded whole, and what is indexed at a time is bounded by ``LEARN_CHARS`` and the longest chunk,
+whose characters take one small step each; an empty table gives no rows; the result columns are replaced where they
+exist, others may have any names.
 
 The model file is read on the driver only; its tables (a few MB, bounded by the vocabulary) are broadcast.
 Nothing is shuffled.
@@ -24,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -35,7 +39,10 @@ from pyspark.sql import types as T
 BLANK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE_BYTES = 1_200_000
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+LEARN_CHARS = 400_000
+LONG = 64
+FEW = 12
 NEVER = np.int64(1) << 60
 
 
@@ -141,8 +148,44 @@ class Encoder:
         # a control character in no piece stands alone, as no merge reaches over it
         alone = "".join(f"\\x{c:02x}" for c in range(32) if chr(c) not in chars)
         self.cut = re.compile(f"{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+" + (f"|[{alone}]" if alone else ""))
+        side = {(a, b) for i in chosen for a, b in zip(v.pieces[i], v.pieces[i][1:])}
+        self.side = np.sort(np.array([int(self.dense[ord(a)]) << 16 | int(self.dense[ord(b)]) for a, b in side], np.int64))
         self.forget()
 
+    def _parts(self, chunk: str) -> list[str]:
+        """A long chunk, cut between characters that are side by side in no piece, so that no merge reaches over."""
+        codes = self.dense[_codes(chunk)].astype(np.int64)
+        both = codes[:-1] << 16 | codes[1:]
+        at = np.minimum(np.searchsorted(self.side, both), len(self.side) - 1)
+        cuts = [0, *(np.flatnonzero(self.side[at] != both) + 1).tolist(), len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _apart_few(self, a: list[int], b: list[int]) -> list[bool]:
+        """``apart`` for a few pairs."""
+        rank, left, right, pairs = self.lists
+        out = []
+        for x, y in zip(a, b):
+            limit, ok = 2 * int(NEVER), True
+            while True:
+                if 2 * pairs.get(x * (self.none + 1) + y, int(NEVER)) < limit:
+                    ok = False
+                    break
+                rx, ry = rank[x], rank[y]
+                if rx < 0 and ry < 0:
+                    break
+                if ry >= rx:
+                    limit, y = 2 * ry + 1, left[y]
+                else:
+                    limit, x = 2 * rx, right[x]
+            out.append(ok)
+        return out
+
+    @cached_property
+    def lists(self):
+        """The tables of ``_apart_few``."""
+        v = self.v
+        return v.rank.tolist(), v.left.tolist(), v.right.tolist(), dict(zip(v.pair_keys.tolist(), v.pair_ranks.tolist()))
+
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.starts, self.seen = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
@@ -211,10 +254,10 @@ class Encoder:
         piece, place = piece[by], place[by]
         steps = np.searchsorted(offset[place], np.arange(int(sizes.max()) + 1))
         last = np.full(n + 1, -1, np.int64)  # the piece that ends just before a place
-        for a, b in zip(steps[:-1], steps[1:]):
+        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
             p, t = place[a:b], piece[a:b]
             if a != 0:
-                good = self.apart(last[p], t)
+                good = np.array(self._apart_few(last[p].tolist(), t.tolist())) if b - a <= FEW else self.apart(last[p], t)
                 p, t = p[good], t[good]
             last[p + self.length[t]] = t
         at, rows = begin + sizes, np.arange(len(chunks))
@@ -263,17 +306,24 @@ class Encoder:
         """Ids of all texts in a row, and where each text's ids end, from a leading 0 on."""
         cut, index = self.cut.findall, self.index
         chunks = [cut((BLANK + t.replace(" ", BLANK)) if t else "") for t in texts]
-        known = len(index)
-        new = list({c: None for row in chunks for c in row if c not in index})
-        if new:
-            self._learn(new)
+        met = set(chain.from_iterable(chunks))
+        if max(map(len, met), default=0) > LONG:
+            chunks = [[p for c in row for p in (self._parts(c) if len(c) > LONG else (c,))] for row in chunks]
+            met = set(chain.from_iterable(chunks))
+        new = list(met - index.keys())
+        sizes = np.cumsum([len(c) for c in new])
+        first = 0
+        while first < len(new):
+            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + LEARN_CHARS, "right")))
+            self._learn(new[first:last])
+            first = last
         counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
         k = np.fromiter(map(index.__getitem__, chain.from_iterable(chunks)), np.int64, int(counts.sum()))
         sizes = self.starts[k + 1] - self.starts[k]
         ends = np.r_[0, np.cumsum(sizes)]
         flat = self.flat[np.repeat(self.starts[k] - ends[:-1], sizes) + np.arange(ends[-1])]
         self.seen += np.bincount(k, minlength=len(self.seen))
-        self._keep(known)
+        self._keep()
         return flat, ends[np.r_[0, np.cumsum(counts)]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -281,13 +331,11 @@ class Encoder:
         flat, ends = self.encode_flat(texts)
         return np.split(flat, ends[1:-1]) if texts else []
 
-    def _keep(self, known: int) -> None:
-        """Keep the chunks known before and the new ones met twice; the more frequent half if that is too many."""
-        chosen = np.r_[np.ones(known, bool), self.seen[known:] > 1]
-        if chosen.sum() > REMEMBERED:
-            chosen &= self.seen > np.median(self.seen[chosen])
-        if chosen.all():
+    def _keep(self) -> None:
+        """Keep the more frequent half of the chunks once there are too many."""
+        if len(self.index) <= REMEMBERED:
             return
+        chosen = self.seen > np.median(self.seen)
         kept, sizes = np.flatnonzero(chosen), np.diff(self.starts)
         self.flat = self.flat[np.repeat(chosen, sizes)]
         self.starts = np.r_[0, np.cumsum(sizes[kept])]
@@ -301,19 +349,20 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _suffix_array(codes: np.ndarray, n: int, depth: int) -> np.ndarray:
-    """Places 0..n-1 in the order of the ``depth`` codes from each on, by prefix doubling."""
-    rank = codes.astype(np.int64)
-    span = 1
-    order = np.argsort(rank) if depth == 1 else rank
-    while span < depth:
-        key = rank * (int(rank.max()) + 1)
-        key[: len(rank) - span] += rank[span:]
+    """Places 0..n-1 in the order of the ``depth`` codes from each on: by four codes at once, then prefix doubling."""
+    wide = np.concatenate([codes, np.zeros(3, codes.dtype)]).astype(np.uint64)
+    key = wide[:-3] << np.uint64(48) | wide[1:-2] << np.uint64(32) | wide[2:-1] << np.uint64(16) | wide[3:]
+    span = 4
+    while True:
         order = np.argsort(key)
+        if span >= depth:
+            return order[order < n]
         ordered = key[order]
-        rank = np.empty_like(rank)
+        rank = np.empty(len(key), np.int64)
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+        key = rank * (int(rank.max()) + 1)
+        key[: len(rank) - span] += rank[span:]
         span *= 2
-    return order[order < n]
 
 
 class Decoder:
