@@ -10,8 +10,8 @@ row; ties can't be, as the largest doc_id is one; very long texts are taken whol
 lines; an empty table gives an empty table; further columns pass through ``dedup_lines``, whatever their names.
 
 Scale: documents that hold one hot line meet in a count, which each map task folds first; only keys over the
-threshold are joined back, with the places of their lines, and Spark splits a hot key there because the other side has one row per key. The
-texts are shuffled once, by document.
+threshold are joined back, with the places of their lines: as a broadcast table while they are counted to be few, else
+in a join of one row per key on that side, so that Spark can split a hot key. The texts are shuffled once, by document.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from lawmill.llm.arrays import once
 from lawmill.llm.rows import pack, unpack
+from lawmill.session import materialise, small
 
+BROADCAST_KEYS = 500_000
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -58,8 +60,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     found = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.filter(hashes, lambda x: x["h"].isNotNull())).alias("_x")).select(
         "_doc", "_x.h.a", "_x.h.b", "_x.at"
     )
-    pairs = found.groupBy("a", "b", "_doc").agg(F.collect_list("at").alias("_at"))
-    common = (
+    pairs = materialise(found.groupBy("a", "b", "_doc").agg(F.collect_list("at").alias("_at")))
+    common = materialise(
         pairs.groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_last"))
         .filter(F.col("_n") >= min_docs)
@@ -67,7 +69,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     )
     each = F.transform("_at", lambda at: F.struct("a", "b", at.alias("at")))
     drops = (
-        pairs.join(common, ["a", "b"])
+        pairs.join(small(common, BROADCAST_KEYS), ["a", "b"])
         .filter(~F.col("_doc").eqNullSafe(F.col("_last")))
         .groupBy("_doc")
         .agg(F.flatten(F.collect_list(each)).alias("_drop"))
