@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import chat, decontam, licenses, linededup, secret_scan, simhash, spm, tiff, toxicity, urlrules
+from lawmill.llm import chat, decontam, licenses, linededup, repair, secret_scan, simhash, spm, tiff, toxicity, urlrules
 from lawmill.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +247,101 @@ FROM docs LEFT JOIN named USING (rn)
 OP10_SQL = _op10_sql()
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.digests(repair.repair(repair.damage(turns)))
+    ids = turns.select("conv_id").distinct()
+    found = ids.join(done, ids["conv_id"].eqNullSafe(done["conv_id"]), "left").drop(done["conv_id"])
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: A row's step back over the costs before it, and the least choice forward, for one state of the recursion.
+def _op13_row(q: int) -> str:
+    """DuckDB: cost of a row's cheapest edit from state ``q``, with the costs behind it in b0 to b3."""
+    to = repair.NEXT[q]
+    keeps = " ".join(f"WHEN '{r}' THEN b{t[q]}" for r, t in repair.MAY_KEEP.items() if q in t)
+    keep = f"CASE r {keeps} ELSE 99999999 END" if keeps else "99999999"
+    return f"least({repair.DELETE} + b{q}, CASE WHEN must THEN 99999999 ELSE extra + least({keep}, {repair.REROLE} + b{to}) END)"
+
+
+def _op13_sql() -> str:
+    i, nxt = repair.INSERT, repair.NEXT
+    # inserts lead 0 and 1 and 3 to 2, and 2 to 3: two steps at most are worth their cost
+    final = ", ".join(f"least(c{q}, {i} + c{nxt[q]}, {2 * i} + c{nxt[nxt[q]]}) AS v{q}" for q in range(4))
+    rows = ", ".join(f"{_op13_row(q)} AS c{q}" for q in range(4))
+
+    def at(q: str, costs: str) -> str:
+        return f"CASE {q} " + " ".join(f"WHEN {k} THEN {costs}{k}" for k in range(4)) + " END"
+
+    step = f"CASE q {' '.join(f'WHEN {k} THEN {nxt[k]}' for k in range(4))} END"
+    keep = "CASE " + " ".join(f"WHEN r = '{r}' AND q = {k} THEN {to}" for r, t in repair.MAY_KEEP.items() for k, to in t.items()) + " END"
+    return rf"""
+WITH RECURSIVE bits AS (
+  SELECT k, list_reduce(list_prepend(k::BIGINT, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) t(k)
+), lookup AS (SELECT list(v ORDER BY k) AS crc FROM bits),
+rows0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+                         lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind
+  FROM conversations, lookup
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM rows0 WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER w AS n, left(role, 1) AS r, lag(left(role, 1)) OVER w AS prev, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)
+), judged AS (
+  SELECT *, CASE WHEN plain = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+                 WHEN right(plain, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM numbered
+), coded AS (
+  SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS must, (fault IS NOT DISTINCT FROM 'truncated')::INT AS extra FROM judged
+), sizes AS (SELECT conv_id, max(n) AS size FROM coded GROUP BY conv_id),
+back AS (
+  SELECT conv_id, size + 1 AS n, 0 AS v0, {2 * i} AS v1, {i} AS v2, 0 AS v3 FROM sizes
+  UNION ALL
+  SELECT conv_id, n, {final} FROM (
+    SELECT conv_id, n, {rows}
+    FROM (SELECT c.conv_id, c.n, c.r, c.must, c.extra, v0 AS b0, v1 AS b1, v2 AS b2, v3 AS b3
+          FROM back b JOIN coded c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.n - 1))
+), steps AS (
+  SELECT c.conv_id, c.n, c.r, c.role, c.text, c.must, c.extra, b.v0, b.v1, b.v2, b.v3, f.v0 AS b0, f.v1 AS b1, f.v2 AS b2, f.v3 AS b3
+  FROM coded c JOIN back b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.n = c.n JOIN back f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.n = c.n + 1
+  UNION ALL SELECT conv_id, n, NULL, NULL, NULL, NULL, NULL, v0, v1, v2, v3, NULL, NULL, NULL, NULL FROM back JOIN sizes USING (conv_id) WHERE n = size + 1
+), walk AS (
+  SELECT conv_id, 0 AS step, 1::BIGINT AS n, 0 AS q, '' AS edit, '' AS line, 0 AS paid FROM sizes
+  UNION ALL
+  SELECT conv_id, step + 1, CASE edit WHEN 'I' THEN n ELSE n + 1 END,
+         CASE edit WHEN 'D' THEN q WHEN 'K' THEN {keep} ELSE {step} END, edit,
+         CASE edit WHEN 'K' THEN role || ':' || text WHEN 'D' THEN NULL ELSE CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE edit WHEN 'R' THEN text ELSE '' END END,
+         CASE edit WHEN 'D' THEN {repair.DELETE} WHEN 'I' THEN {i} WHEN 'R' THEN {repair.REROLE} + extra ELSE extra END
+  FROM (SELECT *, CASE WHEN r IS NULL AND v IN (0) THEN NULL WHEN r IS NOT NULL AND v = {repair.DELETE} + {at('q', 'b')} THEN 'D' WHEN v = {i} + {at(step, 'v')} THEN 'I'
+                       WHEN NOT must AND v = extra + {at(keep, 'b')} THEN 'K' WHEN NOT must AND v = extra + {repair.REROLE} + {at(step, 'b')} THEN 'R' END AS edit
+        FROM (SELECT w.conv_id, w.step, w.n, w.q, s.r, s.role, s.text, s.must, s.extra, {at('q', 's.v')} AS v, s.v0, s.v1, s.v2, s.v3, s.b0, s.b1, s.b2, s.b3
+              FROM walk w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.n))
+  WHERE edit IS NOT NULL
+), repaired AS (
+  SELECT conv_id, string_agg(edit, '' ORDER BY step) AS audit, sum(paid)::BIGINT AS cost, sha256(coalesce(string_agg(line, chr(10) ORDER BY step) FILTER (WHERE step > 0), '')) AS sha
+  FROM walk GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE prev IS NOT NULL AND prev || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -259,8 +354,9 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_tiff": op9_tiff,
         "op10_licenses": op10_licenses,
+        "op13_repair": op13_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op6_secret_scan": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_licenses": OP10_SQL}
+    return {"op5_chat": OP5_SQL, "op6_secret_scan": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_licenses": OP10_SQL, "op13_repair": OP13_SQL}
