@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import chat, decontam, licenses, linededup, repair, secret_scan, simhash, spm, tiff, toxicity, urlrules
+from lawmill.llm import chat, decontam, langid, licenses, linededup, repair, secret_scan, simhash, spm, tiff, toxicity, urlrules
 from lawmill.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +247,15 @@ FROM docs LEFT JOIN named USING (rn)
 OP10_SQL = _op10_sql()
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; documents whose id's checksum leaves 2 of 4 are kept out of the fit."""
+    docs = _documents(spark, sf_dir, "doc_id", "lang", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.filter(~held).select("text", "lang"))
+    done = langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return done.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     done = repair.digests(repair.repair(repair.damage(turns)))
@@ -354,6 +363,7 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_tiff": op9_tiff,
         "op10_licenses": op10_licenses,
+        "op12_language": op12_language,
         "op13_repair": op13_repair,
     }
 
