@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import chat, decontam, langid, licenses, linededup, repair, secret_scan, simhash, spm, tiff, toxicity, urlrules
+from lawmill.llm import align, chat, decontam, langid, licenses, linededup, repair, secret_scan, simhash, spm, tiff, toxicity, urlrules
 from lawmill.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +247,10 @@ FROM docs LEFT JOIN named USING (rn)
 OP10_SQL = _op10_sql()
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; documents whose id's checksum leaves 2 of 4 are kept out of the fit."""
     docs = _documents(spark, sf_dir, "doc_id", "lang", "text")
@@ -363,6 +367,7 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_tiff": op9_tiff,
         "op10_licenses": op10_licenses,
+        "op11_alignment": op11_alignment,
         "op12_language": op12_language,
         "op13_repair": op13_repair,
     }
