@@ -12,9 +12,13 @@ differences of its first 2, 3 and 4 segments must stay within the proportional b
 similarity 0.8 fails to share all 129 segments with a probability of (1 - 0.848^20)^129 = 0.008, one of 0.85 with 0.0002.
 Candidates then go through the full Hamming check (a fifth of all bits) and an exact check of the shingle sets.
 
-The rows of one segment value give a spanning forest by a walk, not pairs, so a dense group of n nodes yields n - 1
-links there. Of the links found, each node's nearest one and the one to its neighbour of most links are checked first;
-links within the components that this gives drop out, all others are checked then.
+The rows of one segment value give a spanning forest of the chain relation by a walk, not pairs, so a dense group of n
+nodes yields n - 1 links there. All forests together have the components of that relation, the families: a similar pair
+that shares a chain is in one family, whatever the walk has linked its ends to. Of a family's links, each node's nearest one
+and the one to its neighbour of most links are checked exactly; that makes most families one group. Families of several
+groups are then searched in full: their nodes are dealt to blocks of bounded size (a group that fills blocks has its own), and
+each pair of blocks that could join two groups is one task, which counts all its shared shingles exactly (a matrix product
+for the frequent ones, lists for the rare) and gives the links of a spanning forest.
 
 Defined results: null text is empty; texts without words are one group; null doc_id rows are in no group; repeated
 rows and ties are equal sets; very long texts count whole; an empty table gives an empty table; only ``doc_id`` and
@@ -22,7 +26,9 @@ rows and ties are equal sets; very long texts count whole; an empty table gives
 
 Scale: the shuffled rows are 129 of 20 bytes for each distinct shingle set. The rows that share a segment by chance
 grow with the square of the corpus, divided by 2 to the power of the bits of a segment: 20 bits suit some ten
-million distinct texts; beyond, take longer segments and more of them (1.18 times as many for each further bit).
+million distinct texts; beyond, take longer segments and more of them (1.18 times as many for each further bit). The
+search of a family of several groups grows with the square of its blocks: texts from one template, alike to 0.7 or so, are
+what it is for. A block pair holds ``BLOCK_SHINGLES`` twice; of n blocks each goes to n tasks.
 """
 
 from __future__ import annotations
@@ -47,6 +53,8 @@ SEGMENTS, BITS, CHAIN = 129, 20, 3  # CHAIN segments are compared after the shar
 BUDGET = 4  # differing bits a segment, a fifth
 PLACES = 4096
 SALTS = 32
+BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 2_500  # of a block of a family
+PAIRS_AT_ONCE = 2_000_000
 MARKS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("ring", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("ring", T.ArrayType(T.LongType()))])
 _random = np.random.default_rng(5)
@@ -202,17 +210,122 @@ def first_links(links: DataFrame) -> DataFrame:
     return chosen.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def checked_links(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): similar pairs among ``links`` that connect what all similar pairs among them connect."""
-    first = materialise(first_links(links))
-    done = materialise(similar(first, sets))
-    rest = links.join(first, ["a", "b"], "left_anti")
-    roots = connected_components(done)
-    for end in ("a", "b"):
-        root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        rest = rest.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    rest = materialise(rest.filter("root_a <> root_b").select("a", "b"))
-    return done if rest.isEmpty() else done.unionByName(similar(rest, sets))
+def _shared(rows: list[np.ndarray], first: int) -> np.ndarray:
+    """How many shingles each of the first ``first`` sets shares with each of the others (with each of the first, if there are no others)."""
+    n = len(rows)
+    others = np.arange(first, n) if n > first else np.arange(n)
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    _, code, holders = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    often = holders >= max(16, n // 16)
+    dense = np.zeros((n, int(often.sum())), np.float32)
+    place = np.cumsum(often) - 1
+    hot = often[code]
+    dense[owner[hot], place[code[hot]]] = 1
+    shared = np.rint(dense[:first] @ dense[others].T).astype(np.int32).ravel()
+    some = ~hot & (holders[code] > 1)
+    code, owner = code[some], owner[some]
+    by = np.lexsort((owner, code))
+    code, owner = code[by], owner[by]
+    left = owner < first
+    right = ~left if n > first else left
+    lefts, rights = (np.searchsorted(code[x], np.arange(len(holders) + 1)) for x in (left, right))
+    per = np.diff(rights)  # of each left row, how many rows on the right have its code
+    mine, own_code = owner[left], code[left]
+    theirs = owner[right] - (first if n > first else 0)
+    ends = np.cumsum(per[own_code])
+    at = 0
+    while at < len(mine):  # a bounded number of pairs at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        times = per[own_code[at:to]]
+        y = theirs[np.repeat(rights[own_code[at:to]] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+        np.add.at(shared, np.repeat(mine[at:to], times) * len(others) + y, 1)
+        at = to
+    return shared.reshape(first, len(others))
+
+
+def _forest(near: np.ndarray, alike: bool) -> list[tuple[int, int]]:
+    """(row, column) of a spanning forest of a matrix of links; ``alike`` if rows and columns are the same nodes."""
+    links, rows = [], np.ones(len(near), bool)
+    columns = rows if alike else np.ones(near.shape[1], bool)
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        if not rows[start]:
+            continue
+        rows[start] = False
+        queue = [(start, True)]
+        while queue:
+            here, is_row = queue.pop()
+            free = columns if is_row else rows
+            hit = np.flatnonzero((near[here] if is_row else near[:, here]) & free)
+            free[hit] = False
+            links += [(here, x) if is_row else (x, here) for x in hit.tolist()]
+            queue += [(x, alike or not is_row) for x in hit.tolist()]
+    return links
+
+
+def block_links(sets: list[np.ndarray], root: np.ndarray, first: int) -> list[tuple[int, int]]:
+    """Places of a spanning forest of the similar pairs between the first ``first`` sets and the others (or among the first, if
+    there are no others), those of one ``root`` left out."""
+    others = np.arange(first, len(sets)) if len(sets) > first else np.arange(first)
+    if not first:
+        return []
+    low, high = SIMILAR
+    size = np.array([len(x) for x in sets])
+    near = (low + high) * _shared(sets, first) >= low * (size[:first, None] + size[others][None, :])
+    near &= root[:first, None] != root[others][None, :]
+    return [(x, int(others[y])) for x, y in _forest(near, len(sets) == first)]
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of all pairs of blocks; rows come sorted by family, pair and side, and are held for one pair at a time."""
+    key, first, nodes, roots, sets = None, 0, [], [], []
+
+    def links() -> pa.RecordBatch:
+        found = np.array(block_links(sets, np.array(roots), first), np.int64).reshape(-1, 2)
+        ends = np.array(nodes, np.int64)[found]
+        return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+
+    for batch in batches:
+        shingles = batch.column("shingles")
+        values, offsets = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        names = ("family", "one", "two", "side", "node", "root")
+        for at, (family, one, two, side, node, root) in enumerate(zip(*(batch.column(n).to_pylist() for n in names))):
+            if (family, one, two) != key:
+                if len(nodes) > 1:
+                    yield links()
+                key, first, nodes, roots, sets = (family, one, two), 0, [], [], []
+            first += side == 0
+            nodes.append(node)
+            roots.append(root)
+            sets.append(values[offsets[at] : offsets[at + 1]].copy())
+    if len(nodes) > 1:
+        yield links()
+
+
+def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect all similar nodes of each family. ``members``: node, family, and root, the group known so far."""
+    weight = F.size("shingles") + F.lit(BLOCK_SHINGLES // BLOCK_ROWS)
+    sized = materialise(members.join(sets.select("node", weight.cast("long").alias("w")), "node"))
+    groups = sized.groupBy("family", "root").agg(F.sum("w").alias("gw")).withColumn("own", F.col("gw") > BLOCK_SHINGLES)
+    small_ones = groups.groupBy("family").agg(F.sum(F.when(~F.col("own"), F.col("gw"))).alias("fw"))
+    # a large group has blocks of its own, the others of a family share blocks
+    parts = F.ceil(F.when(F.col("own"), F.col("gw")).otherwise(F.col("fw")) / BLOCK_SHINGLES)
+    dealt = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("root"))), parts)
+    owner = F.when(F.col("own"), F.col("root"))
+    placed = sized.join(groups, ["family", "root"]).join(small_ones, "family").select(
+        "family", "node", "root", owner.alias("owner"), F.concat_ws(":", owner, dealt).alias("block")
+    )
+    placed = materialise(placed)
+    blocks = placed.select("family", "block", "owner").distinct()
+    one, two = (blocks.select("family", F.col("block").alias(n), F.col("owner").alias(f"owner_{n}")) for n in ("one", "two"))
+    pairs = one.join(two, "family").filter((F.col("one") <= F.col("two")) & ~F.coalesce(F.col("owner_one") == F.col("owner_two"), F.lit(False)))
+    pairs = pairs.select("family", "one", "two")
+    sides = pairs.select("family", "one", "two", F.col("one").alias("block"), F.lit(0).alias("side")).unionByName(
+        pairs.filter("one < two").select("family", "one", "two", F.col("two").alias("block"), F.lit(1).alias("side"))
+    )
+    rows = placed.join(sides, ["family", "block"]).join(sets.select("node", "shingles"), "node")
+    rows = rows.select("family", "one", "two", "side", "node", "root", "shingles")
+    whole = rows.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "side")
+    return whole.mapInArrow(_searched, "a long, b long")
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -224,6 +337,14 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     # few documents have a link: their ids go to the texts while they are counted to be few, else both are shuffled
     ends = small(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), 1_000_000)
     sets = texts.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), shingle_sets("text").alias("s"))
-    roots = connected_components(checked_links(links, materialise(sets.select("node", "s.*"))))
+    sets = materialise(sets.select("node", "s.*"))
+    done = materialise(similar(materialise(first_links(links)), sets))
+    roots, families = connected_components(done), connected_components(links)
+    known = families.select("node", F.col("root").alias("family")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialise(known)
+    split = known.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("family")
+    members = known.join(split, "family", "left_semi")
+    if not members.isEmpty():
+        roots = connected_components(done.unionByName(family_links(members, sets)))
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, "digest").select("doc_id", "component_id")
