@@ -57,13 +57,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     """``docs`` (doc_id, text and columns of other names) with ``_lines`` (array before dropping) and ``_kept`` (array of the lines that stay)."""
     key = _key_hash(min_chars)
     hashes = F.transform(lines_of(F.col("text")), lambda line, at: F.struct(key(line).alias("h"), at.alias("at")))
-    found = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.filter(hashes, lambda x: x["h"].isNotNull())).alias("_x")).select(
-        "_doc", "_x.h.a", "_x.h.b", "_x.at"
+    # rows without a doc_id are one document when counted, but their lines are kept apart by their texts
+    bare = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    found = docs.select(F.col("doc_id").alias("_doc"), bare.alias("_bare"), F.explode(F.filter(hashes, lambda x: x["h"].isNotNull())).alias("_x")).select(
+        "_doc", "_bare", "_x.h.a", "_x.h.b", "_x.at"
     )
-    pairs = materialise(found.groupBy("a", "b", "_doc").agg(F.collect_list("at").alias("_at")))
+    pairs = materialise(found.groupBy("a", "b", "_doc", "_bare").agg(F.collect_set("at").alias("_at")))
     common = materialise(
         pairs.groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_last"))
+        .agg((F.count("_doc") + F.max(F.col("_doc").isNull().cast("int"))).alias("_n"), F.max("_doc").alias("_last"))
         .filter(F.col("_n") >= min_docs)
         .select("a", "b", "_last")
     )
@@ -71,10 +73,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     drops = (
         pairs.join(small(common, BROADCAST_KEYS), ["a", "b"])
         .filter(~F.col("_doc").eqNullSafe(F.col("_last")))
-        .groupBy("_doc")
+        .groupBy("_doc", "_bare")
         .agg(F.flatten(F.collect_list(each)).alias("_drop"))
     )
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left").drop("_doc")
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]) & bare.eqNullSafe(drops["_bare"]), "left").drop("_doc", "_bare")
     lines = lines_of(F.col("text"))
 
     def without(all_lines: Column) -> Column:

@@ -12,10 +12,10 @@ merging gives, in one pass over the edges.
 
 Characters without a piece become byte pieces. Decoding joins pieces and bytes and drops the first blank.
 
-Defined results: null text gives null, empty text no ids; null ids decode to null; ids outside the vocabulary
-fail the task. A text that holds the blank mark itself reads back with a blank there. Repeated rows are encoded each;
+Defined results: null text gives null, empty text no ids; null ids, and ids of which one is
+outside the vocabulary, decode to null. A text that holds the blank mark itself reads back with a blank there. Repeated rows are encoded each;
 very long texts are encoded whole, and what is indexed at a time is bounded by ``LEARN_CHARS`` and the longest chunk,
-whose characters take one small step each; an empty table gives no rows; the result columns are replaced where they
+whose places take one small step each; an empty table gives no rows; the result columns are replaced where they
 exist, others may have any names.
 
 The model file is read on the driver only; its tables (a few MB, bounded by the vocabulary) are broadcast.
@@ -42,6 +42,7 @@ SLICE_BYTES = 1_200_000
 REMEMBERED = 150_000
 LEARN_CHARS = 400_000
 LONG = 64
+VERY_LONG = 2_000
 FEW = 12
 NEVER = np.int64(1) << 60
 
@@ -249,11 +250,15 @@ class Encoder:
         alone[place[self.length[piece] == 1]] = False
         lone = np.flatnonzero(alone)
         piece, place = np.r_[piece, np.full(len(lone), self.none)], np.r_[place, lone]
+        last = np.full(n + 1, -1, np.int64)  # the piece that ends just before a place
+        long = sizes[chunk_of[place]] > VERY_LONG
+        if long.any():
+            self._relax_in_turn(place[long], piece[long], begin, last)
+            place, piece = place[~long], piece[~long]
         key = offset[place]
-        by = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
+        by = np.argsort(key.astype(np.uint16) if key.max(initial=0) < 1 << 16 else key, kind="stable")
         piece, place = piece[by], place[by]
-        steps = np.searchsorted(offset[place], np.arange(int(sizes.max()) + 1))
-        last = np.full(n + 1, -1, np.int64)  # the piece that ends just before a place
+        steps = np.searchsorted(offset[place], np.arange(int(offset[place].max(initial=-1)) + 2))
         for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
             p, t = place[a:b], piece[a:b]
             if a != 0:
@@ -282,6 +287,23 @@ class Encoder:
         first = len(self.index)
         self.index.update((c, first + k) for k, c in enumerate(chunks))
 
+    def _relax_in_turn(self, place: np.ndarray, piece: np.ndarray, begin: np.ndarray, last: np.ndarray) -> None:
+        """The same for very long chunks, edge by edge: few of their places are at the same distance from a chunk's start, and few
+        pairs of pieces meet, so what is known of a pair is looked up."""
+        by = np.argsort(place, kind="stable")
+        starts, length, known = set(begin.tolist()), self.length.tolist(), {}
+        ends: dict[int, int] = {}
+        for p, t in zip(place[by].tolist(), piece[by].tolist()):
+            if p not in starts:
+                before = (ends[p], t)
+                ok = known.get(before)
+                if ok is None:
+                    ok = known[before] = self._apart_few([ends[p]], [t])[0]
+                if not ok:
+                    continue
+            ends[p + length[t]] = t
+        last[np.fromiter(ends.keys(), np.int64, len(ends))] = np.fromiter(ends.values(), np.int64, len(ends))
+
     def _with_bytes(self, tokens, owners, chunks, begin, codes):
         """Byte pieces in place of characters without a piece."""
         ends = np.cumsum(self.length[tokens])
@@ -374,7 +396,9 @@ class Decoder:
             if i != vocabulary.unknown:
                 self.table[i] = bytes([byte])
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray) -> str | None:
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.table):
+            return None
         text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 

@@ -6,12 +6,12 @@ layout that a column names (``LAYOUTS``); by default the checksum of a text pick
 that equal texts give equal files and a corpus uses every codec.
 
 Defined results: null bytes have no pages, null text is empty text (one page of 64 zeros); bytes that aren't a TIFF, that
-break off, that ask for more samples than their codec can hold or for a page of 2 GB or more (which no Spark value holds)
-give no pages and an error string; repeated rows are read each; very long texts give more pages; an empty table gives
+break off, that ask on all pages together for more samples than their codec can hold or for 2 GB or more (which no Spark
+value holds), or whose directories overlap give no pages and an error string; repeated rows are read each; very long texts give more pages; an empty table gives
 no rows; further columns pass through, those named like a page field are replaced; nothing is shuffled.
 
-Scale: rows are independent. A worker holds one Arrow batch's files and pages; what a file may expand to is checked
-against its size first, and decoding stops at the size that the directory states.
+Scale: rows are independent. A worker holds one Arrow batch's files and pages; what a file's pages may expand to in
+sum, and how many there may be, is checked against its size first, and decoding stops at the size that the directory states.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ TILE = 64
 LIMIT = 1 << 31
 #: No codec here makes more than this many samples of one stored byte (LZW: 4,096 of 12 bits; deflate: 1,032; PackBits: 64).
 MOST_EXPANSION = 2_800
+#: A directory takes as many bytes at least; a file's directories may state its bytes as values so many times in all.
+LEAST_DIRECTORY, MOST_VALUES = 18, 16
 PAGES = T.StructType(
     [
         T.StructField(
@@ -228,8 +230,12 @@ def read_tiff(data: bytes) -> list[dict]:
     if magic != 42:
         raise ValueError("not a TIFF")
     pages, walked = [], set()
+    # what all pages and all values may come to is bounded by the file's size
+    samples_left, values_left = min(LIMIT - 1, MOST_EXPANSION * len(data)), MOST_VALUES * len(data)
     while at and at not in walked:
         walked.add(at)
+        if len(walked) * LEAST_DIRECTORY > len(data):
+            raise ValueError("directories overlap")
         (count,) = struct.unpack_from(order + "H", data, at)
         tags = {}
         for k in range(count):
@@ -243,13 +249,17 @@ def read_tiff(data: bytes) -> list[dict]:
                 (place,) = struct.unpack_from(order + "I", data, place)
             if place + size > len(data):
                 raise ValueError("a directory's values lie outside the file")
+            values_left -= size
+            if values_left < 0:
+                raise ValueError("directories share their values too often")
             tags[tag] = struct.unpack_from(f"{order}{n}{code}", data, place)
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
-        pages.append(_page(data, tags, len(pages)))
+        pages.append(_page(data, tags, len(pages), samples_left))
+        samples_left -= len(pages[-1]["pixels"])
     return pages
 
 
-def _page(data: bytes, tags: dict[int, tuple], number: int) -> dict:
+def _page(data: bytes, tags: dict[int, tuple], number: int, bound: int) -> dict:
     one = lambda tag, usual: tags.get(tag, (usual,))[0]
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
     compression, predictor, tiled = one(259, PLAIN), one(317, 1), 324 in tags
@@ -261,7 +271,6 @@ def _page(data: bytes, tags: dict[int, tuple], number: int) -> dict:
     else:
         across, down = width, min(one(278, height), height) or 1
         places, sizes = tags[273], tags[279]
-    bound = min(LIMIT - 1, MOST_EXPANSION * len(data))
     if min(width, height, samples, across, down) < 1 or max(width * height, across * down) * samples > bound:
         raise ValueError(f"{width} x {height} x {samples} samples in {len(data)} bytes")
     if tiled:

@@ -1,5 +1,6 @@
 """Defined results for nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lawmill.llm import chat, components, decontam, licenses, linededup, secret_scan, simhash, spm, tiff, toxicity, urlrules
@@ -25,6 +26,20 @@ def test_linededup(spark, odd_docs, no_docs):
     assert all(r["_kept"] == r["_lines"] for r in short.collect())
 
 
+def test_many_rows_without_an_id_take_little_time(spark):
+    """Their dropped lines aren't gathered in one row; each loses its own shared lines."""
+    import time
+
+    lines = [f"{k} a line that many rows share, of more than forty characters" for k in range(20)]
+    rows = [(None, "\n".join([f"own {n}", *lines])) for n in range(2000)] + [(k, "\n".join(lines)) for k in range(6)]
+    began = time.time()
+    got = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "_kept").collect()
+    assert sorted(r["_kept"][0] for r in got if r["doc_id"] is None) == sorted(f"own {n}" for n in range(2000))
+    assert all(len(r["_kept"]) == 1 for r in got if r["doc_id"] is None)
+    assert {r["doc_id"]: len(r["_kept"]) for r in got if r["doc_id"] is not None} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 20}
+    assert time.time() - began < 40
+
+
 def test_simhash(spark, odd_docs, no_docs):
     groups = simhash.near_duplicate_groups(odd_docs)
     rows = [tuple(r) for r in groups.collect()]
@@ -152,6 +167,29 @@ def test_sentencepiece(spark, odd_docs, no_docs):
     assert spm.decode(spm.encode(no_docs, vocabulary), vocabulary).count() == 0
 
 
+def test_ids_outside_the_vocabulary_decode_to_null(spark):
+    vocabulary = spm.load_vocabulary()
+    most = len(vocabulary.pieces)
+    rows = [(0, [-1]), (1, [5, most]), (2, [-2, 300]), (3, []), (4, None), (5, [most - 1])]
+    got = {r["n"]: r["decoded"] for r in spm.decode(spark.createDataFrame(rows, "n int, ids array<int>"), vocabulary).collect()}
+    assert [got[k] for k in range(5)] == [None, None, None, "", None] and got[5] is not None
+
+
+def test_equal_letters_take_little_time():
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=spm.TOKENIZER)
+    encoder = spm.Encoder(spm.load_vocabulary())
+    texts = ["a" * 100_000, "ab" * 40_000, "=" * 30_000, "x " + "la" * 3000 + " y", "é" * 5000, "日" * 4000]
+    encoder.encode(["warm up"])
+    began = time.time()
+    got = encoder.encode(texts)
+    assert time.time() - began < 6
+    assert [g.tolist() for g in got] == library.encode(texts)
+
+
 def test_tiff_codecs():
     import random
 
@@ -235,6 +273,39 @@ def test_bad_tiffs_give_errors(spark):
     assert all(got[n]["error"] and got[n]["page"] is None for n in (0, 2, 4, 5, 6, 7, 8))
 
 
+def test_many_directories_are_bounded_by_the_file():
+    """Directories that share one strip, values or each other's bytes may not make more than the file's size allows."""
+    import struct
+    import zlib
+
+    side = 2000
+    packed = zlib.compress(bytes(side * side), 9)
+    head, body = b"II*\0" + struct.pack("<I", 8 + len(packed)), packed
+    entries = ((256, 4, side), (257, 4, side), (258, 3, 8), (259, 3, 8), (273, 4, 8), (278, 4, side), (279, 4, len(packed)))
+
+    def chained(n, extra=b"", more=()):
+        out, all_entries = head + body + extra, sorted((*entries, *more))
+        for k in range(n):
+            size = 6 + 12 * len(all_entries)
+            out += struct.pack("<H", len(all_entries)) + b"".join(struct.pack("<HHII", t, kind, 1, v) if t != 320 else struct.pack("<HHII", *v) for t, kind, v in all_entries)
+            out += struct.pack("<I", len(out) + 4 if k + 1 < n else 0)
+            assert size == 6 + 12 * len(all_entries)
+        return out
+
+    assert len(tiff.read_tiff(chained(2))) == 2
+    for bad in (chained(30), chained(3000)):
+        with pytest.raises(ValueError, match="samples in"):
+            tiff.read_tiff(bad)
+    small = ((256, 4, 1), (257, 4, 1), (259, 3, 1), (273, 4, 8), (278, 4, 1), (279, 4, 1))
+    table = bytes(4000)
+    out = b"II*\0" + struct.pack("<I", 8 + len(table)) + table
+    for _ in range(200):  # each directory states the same table as values
+        rows = [struct.pack("<HHII", t, kind, 1, v) for t, kind, v in small] + [struct.pack("<HHII", 65000, 1, len(table), 8)]
+        out += struct.pack("<H", len(rows)) + b"".join(rows) + struct.pack("<I", len(out) + 6 + 12 * len(rows))
+    with pytest.raises(ValueError, match="values"):
+        tiff.read_tiff(out)
+
+
 def test_page_rows(spark):
     """One row per page of a text of three pages, in each layout."""
     text = "".join(chr(97 + k % 26) for k in range(64 * 4096 * 2 + 70))
