@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lawmill.functions.text import log_noise, routine_line
+from lawmill.functions.text import log_noise
 
 #: Failure codes in the order they are tried, with the pattern that a log must show. Fixed values.
 FAILURES = (
@@ -80,49 +79,6 @@ def islands(lines: DataFrame, keys: Sequence[str], order: str, kind: str) -> Dat
     )
 
 
-def fold_routine(lines: DataFrame, key: str, order: str, line: str = "line", span: int = 300, block: int = 20) -> DataFrame:
-    """``lines`` of each run with ``fold``: the place of the first line of their group, null outside of groups.
-
-    A group holds routine lines and warning blocks that follow each other. A routine line starts a new group if its
-    time of day is before the group's start or ``span`` seconds or more after it. A warning block runs from the
-    warning to the line that is indented by just two blanks, at most ``block`` further lines.
-
-    The span counts from the group's start, which depends on the groups before it, so each run is walked once in
-    order; a run's lines are bounded by the log's own size.
-    """
-    clock = F.substring(line, 1, 2).cast("int") * 3600 + F.substring(line, 4, 2).cast("int") * 60 + F.substring(line, 7, 2).cast("int")
-    kind = routine_line(F.col(line))
-    marked = lines.select(
-        key, order, line, kind.alias("kind"), F.when(kind == "routine", clock).alias("clock"), F.col(line).rlike(r"^  [^ ]").alias("ends")
-    )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        folds: list = []
-        group, start, last, left = None, None, None, 0
-        for place, what, second, ends in zip(pdf[order], pdf["kind"], pdf["clock"], pdf["ends"]):
-            if left:
-                left = 0 if ends else left - 1
-                what = "warning"
-            elif what == "warning":
-                left = block
-            elif what == "routine":
-                last = second
-                if group is None or second < start or second - start >= span:
-                    group, start = place, second
-            else:
-                group = None
-            if what == "warning" and group is None:
-                group, start = place, start if last is None else last
-            if start is None:
-                start = 0
-            folds.append(group)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], line: pdf[line], "fold": pd.array(folds, "Int64")})
-
-    kinds = {f.name: f.dataType.simpleString() for f in marked.schema.fields}
-    return marked.groupBy(key).applyInPandas(walk, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{line}` string, fold long")
-
-
 def failure_class(lines: DataFrame, keys: Sequence[str], line: str = "line", exit_code: str = "exit_code", shrunk: str | None = None) -> DataFrame:
     """The first failure code, in order, that a run's log shows; NONE for exit code 0."""
     flags = [F.bool_or(F.col(line).rlike(pattern)).alias(f"_{code}") for code, pattern in FAILURES]

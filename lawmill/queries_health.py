@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lawmill.operators import filters, health, joins, quality, runlogs, tagging
+from lawmill.operators import filters, folding, health, joins, quality, runlogs, tagging
 from lawmill.queries_text import TAGS, _sql_tags
 from lawmill.registry import query
 from lawmill.session import checkpoint_dir
@@ -86,6 +86,37 @@ def fold_islands(spark, sf):
     return runlogs.islands(table(spark, sf, "events"), ["user_id"], "event_id", "event_type").withColumn("island", F.col("island").cast("long"))
 
 
+@query(
+    "fold_routine",
+    r"""WITH RECURSIVE l AS (SELECT user_id % 4 AS run, event_id, event_id % 211 AS odd, (event_id * 7 + CASE WHEN event_id % 13 = 0 THEN -55 ELSE 0 END + 86400) % 86400 AS clock, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS n FROM events),
+            k AS (SELECT *, CASE WHEN odd = 3 OR odd = 9 THEN 'warning' WHEN odd BETWEEN 10 AND 80 AND event_id % 3 = 0 THEN 'text' WHEN odd = 8 THEN 'end' WHEN odd IN (120, 121, 170) THEN 'other' ELSE 'routine' END AS kind FROM l),
+            w AS (SELECT run, n, NULL::BIGINT AS fold, 0 AS start, NULL::BIGINT AS past, 0 AS left_over, NULL::BIGINT AS event_id FROM (SELECT DISTINCT run, 0::BIGINT AS n FROM k)
+              UNION ALL
+              SELECT run, n, CASE what WHEN 'other' THEN NULL WHEN 'warning' THEN coalesce(fold, place) ELSE CASE WHEN fold IS NULL OR clock < start OR clock - start >= 300 THEN place ELSE fold END END,
+                     CASE WHEN what = 'routine' AND (fold IS NULL OR clock < start OR clock - start >= 300) THEN clock WHEN what = 'warning' AND fold IS NULL THEN coalesce(past, -1) ELSE start END,
+                     CASE WHEN what = 'routine' THEN clock ELSE past END,
+                     CASE WHEN left_over > 0 THEN CASE WHEN kind = 'end' THEN 0 ELSE left_over - 1 END WHEN what = 'warning' THEN 20 ELSE 0 END, place
+              FROM (SELECT w.run, k.n, w.fold, w.start, w.past, w.left_over, k.kind, k.clock, k.event_id AS place,
+                           CASE WHEN left_over > 0 THEN 'warning' WHEN kind IN ('text', 'end') THEN 'other' ELSE kind END AS what
+                    FROM w JOIN k ON k.run = w.run AND k.n = w.n + 1))
+       SELECT run, event_id, fold FROM w WHERE event_id IS NOT NULL""",
+)
+def fold_routine(spark, sf):
+    """Events as lines of four runs: routine lines whose time goes back at times, warnings with long and with broken texts, other lines."""
+    odd, number = F.col("event_id") % 211, F.col("event_id")
+    clock = (number * 7 + F.when(number % 13 == 0, -55).otherwise(0) + 86400) % 86400
+    time = F.format_string("%02d:%02d:%02d", F.floor(clock / 3600), F.floor(clock / 60) % 60, clock % 60)
+    line = (
+        F.when(odd.isin(3, 9), "/lib/x.py:12: DeprecationWarning: old")
+        .when(odd.between(10, 80) & (number % 3 == 0), "    and more of it")
+        .when(odd == 8, "  warnings.warn(old)")
+        .when(odd.isin(120, 121, 170), "ERROR here")
+        .otherwise(F.concat(time, F.lit(" INFO fetched")))
+    )
+    rows = table(spark, sf, "events").select((F.col("user_id") % 4).alias("run"), "event_id", line.alias("line"))
+    return folding.fold_routine(rows, "run", "event_id").select("run", "event_id", "fold")
+
+
 @query(
     "failure_class",
     """SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END) = 0 THEN 'NONE'

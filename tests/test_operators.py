@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawmill.functions import records
-from lawmill.operators import documents, health, joins, latest, quality, runlogs, tagging
+from lawmill.operators import documents, folding, health, joins, latest, quality, runlogs, tagging
 from lawmill.plans import sweep
 
 
@@ -42,7 +42,7 @@ def test_fold_counts_from_the_islands_start(spark):
     at = lambda s: f"10:{s // 60:02d}:{s % 60:02d} INFO x"
     lines = [at(0), at(200), at(300), at(599), "/a/b.py:3: FutureWarning: old", "    more", "  last()", at(600), at(550), "Traceback", at(560), "other"]
     rows = [("r", i, line) for i, line in enumerate(lines)]
-    out = runlogs.fold_routine(spark.createDataFrame(rows, "run string, i int, line string").repartition(3), "run", "i").orderBy("i").collect()
+    out = folding.fold_routine(spark.createDataFrame(rows, "run string, i int, line string").repartition(3), "run", "i").orderBy("i").collect()
     assert [r["fold"] for r in out] == [0, 0, 2, 2, 2, 2, 2, 7, 8, None, 10, None]
 
 
