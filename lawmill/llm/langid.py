@@ -121,11 +121,14 @@ def build(names: list[str], grams: np.ndarray, counts: np.ndarray) -> Model:
 def fit(labelled: DataFrame) -> Model:
     """A model of the rows of ``labelled`` (text, lang) with a lang."""
     rows = labelled.select("lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    hashed = rows.join(F.broadcast(langs), "lang").withColumn("h", F.xxhash64("text"))
-    first = W.partitionBy("lang").orderBy("h")
-    cuts = hashed.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE_ROWS).groupBy("lang").agg(F.max("h").alias("cut"))
-    near = hashed.join(F.broadcast(cuts), "lang").filter(F.col("h") <= F.col("cut"))  # of each text all copies still
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    langs = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # hashes are even, so a share of their range holds twice the rows asked for; only those are ranked
+    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_ROWS) / F.col("texts"))
+    low = hashed.join(F.broadcast(langs), "lang").filter(F.col("h") <= share * 2.0**64 - 2.0**63).select("lang", "h", "text")
+    ranked = low.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    cuts = ranked.filter(F.col("r") <= SAMPLE_ROWS).groupBy("lang").agg(F.max("h").alias("cut"))
+    near = low.join(F.broadcast(cuts), "lang").filter(F.col("h") <= F.col("cut"))  # of each text all copies still
     sample = near.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
     counted = materialise(sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     table = counted.toPandas()
