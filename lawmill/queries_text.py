@@ -41,6 +41,66 @@ def keyword_tags(spark, sf):
     return out.select("doc_id", "tag", F.array_join("keywords", ",").alias("keywords"), "score")
 
 
+WORDS = f"list_distinct(regexp_split_to_array(lower(text), '{EDGE}+'))"
+
+
+@query(
+    "keyword_tags_many",
+    f"""WITH d AS (SELECT conv_id * 100 + turn AS tag, {WORDS} AS w FROM conversations),
+            k AS (SELECT tag, word, length(word) > 12 AS out FROM (SELECT tag, unnest(w) AS word FROM d) WHERE regexp_full_match(word, '[a-z]{{7,}}')),
+            h AS (SELECT doc_id, tag, word, out FROM (SELECT doc_id, unnest({WORDS}) AS word FROM documents) JOIN k USING (word))
+       SELECT doc_id, tag, count(*) AS n, min(word) AS first_word FROM h GROUP BY doc_id, tag HAVING NOT bool_or(out)""",
+)
+def keyword_tags_many(spark, sf):
+    """Every turn of every conversation is a definition: its words of 7 to 12 letters are keywords, longer ones exclude."""
+    words = F.array_distinct(F.split(F.lower("text"), EDGE + "+"))
+    of_size = lambda least, most: F.filter(words, lambda w: w.rlike(f"^[a-z]{{{least},{most}}}$"))
+    defs = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("name"), of_size(7, 12).alias("include_keywords"),
+        of_size(13, 999).alias("exclude_keywords"), F.lit(0.5).alias("threshold"),
+    )
+    out = tagging.tag_by_keywords(spread(table(spark, sf, "documents").select("doc_id", "text")), defs, inline=0)
+    return out.select("doc_id", F.col("tag").cast("long").alias("tag"), F.size("keywords").cast("long").alias("n"), F.array_min("keywords").alias("first_word"))
+
+
+def _sql_cos(a: str, b: str) -> str:
+    return f"list_cosine_similarity({a}, {b})"
+
+
+@query(
+    "scored_tags_many",
+    f"""WITH m AS (SELECT label, part, list(x ORDER BY i) AS v FROM (SELECT label, part, i, avg(e) AS x FROM (
+              SELECT label, vec_id % 6 AS part, unnest(embedding)::DOUBLE AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+            d AS (SELECT a.label, a.part, a.v, e.v AS ex, f.v AS ey, n.v AS neg, 0.1 + a.part / 20.0 AS threshold FROM m a
+                  LEFT JOIN m e ON e.label = a.label AND e.part = (a.part + 1) % 6 LEFT JOIN m f ON f.label = a.label AND f.part = (a.part + 2) % 6 LEFT JOIN m n ON n.label = (a.label + 1) % 10 AND n.part = a.part),
+            p AS (SELECT vec_id, d.label || '-' || part AS tag, threshold, vec_id % 9 = part AS out, label_of = d.label AS kw,
+                    {_sql_cos('embedding::DOUBLE[]', 'v')} AS base, greatest({_sql_cos('embedding::DOUBLE[]', 'ex')}, {_sql_cos('embedding::DOUBLE[]', 'ey')}) AS example, {_sql_cos('embedding::DOUBLE[]', 'neg')} AS negative
+                  FROM (SELECT vec_id, label AS label_of, embedding FROM embeddings), d),
+            w AS (SELECT *, (coalesce(base * 0.35, 0) + coalesce(example * 0.25, 0) + 0.4) / (0.4 + CASE WHEN base IS NULL THEN 0 ELSE 0.35 END + CASE WHEN example IS NULL THEN 0 ELSE 0.25 END) AS with_word,
+                    (coalesce(base * 0.5, 0) + coalesce(example * 0.35, 0)) / (CASE WHEN base IS NULL THEN 0 ELSE 0.5 END + CASE WHEN example IS NULL THEN 0 ELSE 0.35 END) AS without FROM p),
+            s AS (SELECT vec_id, tag, threshold, CASE WHEN out THEN 0 ELSE least(greatest(CASE WHEN kw THEN greatest(with_word, threshold) ELSE without END - 0.25 * greatest(coalesce(negative, 0), 0), 0), 1) END::DOUBLE AS score FROM w)
+       SELECT vec_id, tag, round(score, 4) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, tag) AS place FROM s WHERE score >= threshold""",
+)
+def scored_tags_many(spark, sf):
+    """A definition for each label and sixth of its vectors: mean vectors as description, examples and negative example, the
+    label as keyword, the sixth as excluded one."""
+    rows = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 6).alias("part"), "vec_id", "embedding")
+    each = rows.select("label", "part", F.posexplode("embedding").alias("i", "x")).groupBy("label", "part", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = materialise(each.groupBy("label", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v")))
+    moved = lambda name, label, part: means.select(label.alias("label"), part.alias("part"), F.col("v").alias(name))
+    label, part = F.col("label"), F.col("part")
+    all_of = means.join(moved("ex", label, (part + 5) % 6), ["label", "part"], "left").join(moved("ey", label, (part + 4) % 6), ["label", "part"], "left")
+    all_of = all_of.join(moved("neg", (label + 9) % 10, part), ["label", "part"], "left")
+    defs = all_of.select(
+        F.concat_ws("-", "label", "part").alias("name"), F.array(F.concat(F.lit("Word"), "label")).alias("include_keywords"),
+        F.array(F.concat(F.lit("out"), "part")).alias("exclude_keywords"), (0.1 + F.col("part") / 20).alias("threshold"), F.col("v").alias("base_vector"),
+        F.array_compact(F.array("ex", "ey")).alias("example_vectors"), F.array_compact(F.array("neg")).alias("negative_vectors"),
+    )
+    text = F.format_string("word%d and out%d", "label", F.col("vec_id") % 9)
+    texts = rows.select("vec_id", text.alias("text"), F.col("embedding").alias("vector"))
+    return tagging.score_tags(texts, defs).select("vec_id", "tag", F.round("score", 4).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 @query("dashboard_keyword_tags", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(?:^|{EDGE})of\\s+the(?:$|{EDGE})') OR regexp_matches(lower(text), '(?:^|{EDGE})une(?:$|{EDGE})')")
 def dashboard_keyword_tags(spark, sf):
     return table(spark, sf, "documents").filter(tagging.dashboard_keywords(F.col("text"), ["of the", "une"])).select("doc_id")
