@@ -77,6 +77,36 @@ def held_for(samples: DataFrame, series: Sequence[str], ts: str, condition: Colu
     return out.withColumn("firing", held & covered).drop("_at", "_holds")
 
 
+def on_grid(samples: DataFrame, series: Sequence[str], until: Column, step: int = 300, look_back: int = 6 * 3600, ts: str = "ts", value: str = "value") -> DataFrame:
+    """(series, at, value): the latest sample at each evaluation, every ``step`` seconds of the epoch up to ``until``, as far as it
+    is younger than ``look_back`` seconds; an evaluation without such a sample has no row.
+
+    Of the samples between two evaluations only the last can count, so they are folded first; each that is left holds from its
+    evaluation to the next one's or to the look-back. Samples later than ``until``, without a time or a value don't count;
+    of samples at one second the highest value counts."""
+    second = seconds_of(F.col(ts))
+    end = seconds_of(until)
+    known = samples.filter((second <= end) & F.col(value).isNotNull()).withColumn("_t", second)
+    first = (F.ceil(F.col("_t") / step) * step).cast("long")
+    last = known.groupBy(*series, first.alias("_at")).agg(F.max("_t").alias("_t"), F.max_by(value, F.struct("_t", value)).alias(value))
+    following = F.lead("_at").over(W.partitionBy(*series).orderBy("_at"))
+    stop = F.least(F.coalesce(following, end + 1), F.col("_t") + look_back, end + 1) - 1
+    held = last.withColumn("_end", (F.floor(stop / step) * step).cast("long")).filter("_end >= _at")
+    return held.select(*series, F.explode(F.sequence("_at", "_end", F.lit(step).cast("long"))).alias("at"), value)
+
+
+def alert_states(grid: DataFrame, series: Sequence[str], condition: Column, pending: int = 600, step: int = 300) -> DataFrame:
+    """``grid`` (series, at, ...) with ``state``: ``normal``; ``pending`` from the first evaluation at which the condition holds;
+    ``firing`` once it has held at all of them for ``pending`` seconds. An evaluation without a row, or with a null, ends it."""
+    by = W.partitionBy(*series).orderBy("at")
+    holds = F.coalesce(condition, F.lit(False))
+    marked = grid.withColumn("_holds", holds)
+    goes_on = F.coalesce(F.lag("_holds").over(by) & (F.lag("at").over(by) == F.col("at") - step), F.lit(False))
+    since = F.last(F.when(F.col("_holds") & ~F.col("_on"), F.col("at")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
+    state = F.when(~F.col("_holds"), "normal").when(F.col("at") - since >= pending, "firing").otherwise("pending")
+    return marked.withColumn("_on", goes_on).withColumn("state", state).drop("_holds", "_on")
+
+
 def freshness(samples: DataFrame, key: str, now: Column, ts: str = "ts") -> DataFrame:
     """Age in hours and status of each key, paused last, oldest first."""
     last = samples.groupBy(key).agg(F.max(ts).alias("last_seen"), F.max_by("paused", F.struct(ts, "paused")).alias("paused"))
@@ -136,6 +166,6 @@ def heartbeat(poll: DataFrame) -> DataFrame:
 
 def staleness_vs_calendar(last_commits: DataFrame, calendar: DataFrame, today: Column, days: int = 3) -> DataFrame:
     """States in session whose last data commit is older than some days."""
-    return last_commits.join(calendar, "state").filter(
-        (F.col("start_date") <= today) & (F.col("end_date").isNull() | (today <= F.col("end_date"))) & (F.col("last_data_commit").isNull() | (F.datediff(today, "last_data_commit") > days))
-    )
+    open_now = calendar.filter((F.col("start_date") <= today) & (F.col("end_date").isNull() | (today <= F.col("end_date"))))
+    old = last_commits.filter(F.col("last_data_commit").isNull() | (F.datediff(today, "last_data_commit") > days))
+    return old.join(open_now, "state")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,11 +25,12 @@ def join_tags(logs: DataFrame, tags: DataFrame, keys: Sequence[str] = BILL_KEY,
 
 
 def join_datasets(logs: DataFrame, datasets: dict[str, DataFrame], joins: Sequence[str], keys: Sequence[str] = BILL_KEY) -> DataFrame:
-    """Join specs ``bill``, ``bill.title``, ``tags``; an unknown data set is an error."""
+    """Join specs ``bill``, ``bill.title``, ``tags``; an unknown data set is warned of and left out."""
     for spec in joins:
         name, _, field = spec.partition(".")
         if name not in datasets:
-            raise ValueError(f"unknown dataset {name!r}")
+            warnings.warn(f"unknown dataset {name!r} is not joined", stacklevel=2)
+            continue
         logs = join_tags(logs, datasets[name], keys) if name == "tags" else join_bills(logs, datasets[name], keys, field or None)
     return logs
 
@@ -134,17 +136,31 @@ def merge_state(now: DataFrame, before: DataFrame, key: str, seen: str) -> DataF
     )
 
 
-def in_session(rows: DataFrame, sessions: DataFrame, state: str, day: str) -> DataFrame:
-    """Rows with the sessions of their state that hold their day: start <= day <= end or an open end."""
-    return rows.join(sessions, state).filter((F.col("start_date") <= F.col(day)) & (F.col("end_date").isNull() | (F.col(day) <= F.col("end_date"))))
+def in_session(rows: DataFrame, sessions: DataFrame, state: str, day: str, bin_days: int = 128) -> DataFrame:
+    """Rows with the sessions of their state that hold their day: start <= day <= end or an open end.
 
+    Sessions are cut to the days there are and filed in bins of ``bin_days``; a row looks in its day's bin only, so that
+    neither a long list of sessions nor a state with most of the rows meets in one task. Rows without a day and sessions
+    without a start join nothing."""
+    number = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / bin_days)
+    low, high = rows.agg(F.min(day), F.max(day)).first()
+    kind = rows.schema[day].dataType
+    first = F.greatest(F.col("start_date"), F.lit(low).cast(kind))
+    last = F.least(F.coalesce(F.col("end_date"), F.lit(high).cast(kind)), F.lit(high).cast(kind))
+    bins = F.sequence(number(first), number(last))
+    filed = sessions.filter((F.col("start_date") <= F.lit(high).cast(kind)) & (first <= last)).withColumn("_bin", F.explode(bins))
+    held = (F.col("start_date") <= F.col(day)) & (F.col("end_date").isNull() | (F.col(day) <= F.col("end_date")))
+    return rows.withColumn("_bin", number(F.col(day))).join(filed, [state, "_bin"]).filter(held).drop("_bin")
 
-def overlapping(marks: DataFrame, chars: DataFrame, keys: Sequence[str], slack: float = 2.0, band: float = 50.0) -> DataFrame:
+
+def overlapping(marks: DataFrame, chars: DataFrame, keys: Sequence[str], slack: float = 2.0, band: float | None = None) -> DataFrame:
     """Marks with ``hit``: whether some character of the same page overlaps it sideways and stands within ``slack`` of it.
 
     Equi join on the page and on bands of ``band`` units that both reach into, so that a full page isn't paired with
-    itself; thin marks (narrower than 3, or than three times their height) never hit.
+    itself; unless given, a band is twice as high as characters are on the average. Thin marks (narrower than 3, or than three times their height) never hit.
     """
+    if band is None:
+        band = 2 * max(1.0, float(chars.agg(F.avg(F.col("c_bottom") - F.col("c_top"))).first()[0] or 1.0))
     flat = (F.col("x1") - F.col("x0") >= 3) & (F.col("x1") - F.col("x0") >= 3 * (F.col("bottom") - F.col("top")))
     near = (F.col("c_x0") < F.col("x1")) & (F.col("c_x1") > F.col("x0")) & (F.col("c_top") - slack <= F.col("bottom")) & (F.col("c_bottom") + slack >= F.col("top"))
 

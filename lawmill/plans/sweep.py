@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lawmill import sinks
 from lawmill.operators import runlogs
 from lawmill.operators.filters import bad_label
+from lawmill.session import materialise
 
 WORKFLOW = ("org", "repo", "workflow")
 
@@ -39,11 +41,42 @@ def advance_cursors(cursors: DataFrame, rows: DataFrame, category: str, ts: str)
     return both.select("category", F.greatest(F.coalesce("cursor", F.lit("1900-01-01").cast("timestamp_ntz")), F.coalesce("_new", "cursor")).alias("cursor"))
 
 
-def unchanged(current_version: str, processed_version: str | None) -> bool:
-    """Whether a run can be skipped because its input's version was already processed."""
-    return processed_version is not None and current_version == processed_version
+def new_versions(inputs: DataFrame, processed: DataFrame, keys: Sequence[str], version: str = "version", force: bool = False) -> DataFrame:
+    """Inputs whose version isn't one that was processed for their key. An input without a version always goes on, and with
+    ``force`` all do."""
+    return inputs if force else inputs.join(processed.select(*keys, version).distinct(), [*keys, version], "left_anti")
 
 
-def sweep_outcome(total: int, failed: int) -> str:
-    """ok (nothing new counts), degraded or failed."""
-    return "ok" if not failed else "failed" if failed >= total else "degraded"
+def run_gated(inputs: DataFrame, path: str, run: str, keys: Sequence[str], work: Callable[[DataFrame], DataFrame], version: str = "version", force: bool = False) -> DataFrame:
+    """One run over the inputs (keys, version) that are new; gives its result row: ``status`` (ok, also for nothing new;
+    degraded; failed), ``total`` and ``failed`` rows.
+
+    ``work`` gives rows with the keys, the version and an ``error``, null or empty where it went well. Good rows are written for
+    ``outputs``; a key's version counts as processed if none of its rows failed, so the others come again. Both become visible
+    with one commit, named ``run``; a run that was committed before does nothing and a lost one can be repeated.
+    """
+    spark = inputs.sparkSession
+    if run in sinks.committed_versions(spark, path):
+        return spark.read.json(f"{path}/{run}-result")
+    before = sinks.current_version(spark, path)
+    kinds = ", ".join(f"`{k}` {inputs.schema[k].dataType.simpleString()}" for k in (*keys, version))
+    processed = spark.read.schema(kinds).parquet(before) if before else spark.createDataFrame([], kinds)
+    made = materialise(work(new_versions(inputs, processed, keys, version, force)))
+    bad = F.coalesce("error", F.lit("")) != ""  # not a test for null, which would fold away for a column that has none
+    counts = Observation()
+    seen = made.observe(counts, F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("failed"))
+    seen.filter(~bad).drop("error").write.mode("overwrite").parquet(f"{path}/{run}-output")
+    total, failed = counts.get["total"], counts.get["failed"]
+    status = "ok" if not failed else "failed" if failed >= total else "degraded"
+    result = spark.createDataFrame([(run, status, total, failed)], "run string, status string, total long, failed long")
+    result.write.mode("overwrite").json(f"{path}/{run}-result")
+    done = made.groupBy(*keys, version).agg(F.count_if(bad).alias("_bad")).filter(f"_bad = 0 AND `{version}` IS NOT NULL").drop("_bad")
+    kept = processed.join(done.select(*keys), list(keys), "left_anti")
+    sinks.commit_state(kept.unionByName(done), path, run)
+    return result
+
+
+def outputs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The good rows of all committed runs."""
+    folders = [f"{path}/{run}-output" for run in sinks.committed_versions(spark, path)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)

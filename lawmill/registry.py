@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def all_queries() -> dict[str, Query]:
-    from lawmill import queries_core, queries_health, queries_records, queries_text  # noqa: F401  registers
+    from lawmill import queries_core, queries_health, queries_records, queries_runs, queries_text  # noqa: F401  registers
 
     return dict(QUERIES)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lawmill.functions.keys import action_log_key, bill_key, jurisdiction_name, vote_log_key
 from lawmill.functions.records import canonical_classes, merge_processing, prune_rows, reshape_action
 from lawmill.functions.text import xml_escape
+from lawmill.session import materialise
 
 
 def action_log_rows(bills: DataFrame) -> DataFrame:
@@ -57,18 +58,34 @@ def upsert_bills(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = (
     return both.select(*keys, F.coalesce("_new", "_old").alias("_row"), processing.alias("processing")).select(*keys, "_row.*", "processing")
 
 
+def resolved(spark, path: str) -> str:
+    """A path with the file system that Spark takes it to be on, so that tasks write where readers look."""
+    files, where = file_system(spark, path)
+    return files.makeQualified(where).toString()
+
+
 def write_tree(files: DataFrame, root: str) -> None:
-    """Write files: one per row of (path under the root, body as bytes), by the tasks that hold them; a file there is replaced."""
-    where = re.sub("^file:/*", "file:///", root)
+    """Write files: one per row of (path under the root, body as bytes), by the tasks that hold them; a file there is replaced.
+
+    The root is on the file system that Spark reads it from. A file is written under a name of its own and then moved into
+    place, so that a lost or repeated task never leaves half of one."""
+    where = re.sub("^file:/*", "file:///", resolved(files.sparkSession, root))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, base = (fs.LocalFileSystem(), where) if where.startswith("/") else fs.FileSystem.from_uri(where)
+        target, base = fs.FileSystem.from_uri(where)
         for batch in batches:
             for path, body in zip(batch["path"], batch["body"]):
                 whole = f"{base.rstrip('/')}/{path}"
-                target.create_dir(whole.rsplit("/", 1)[0], recursive=True)
-                with target.open_output_stream(whole) as out:
+                folder, name = whole.rsplit("/", 1)
+                target.create_dir(folder, recursive=True)
+                apart = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with target.open_output_stream(apart) as out:
                     out.write(body)
+                try:
+                    target.move(apart, whole)
+                except OSError:  # some file systems don't move onto a file
+                    target.delete_file(whole)
+                    target.move(apart, whole)
             yield pd.DataFrame({"n": [len(batch)]})
 
     files.select("path", "body").mapInPandas(put, "n long").agg({"n": "sum"}).collect()
@@ -121,6 +138,28 @@ def dashboard(bills: DataFrame, tag_defs: DataFrame, generated_at: Column, sourc
     return one.select(F.to_json(F.struct(generated_at.alias("generated_at"), F.lit(source).alias("source"), *one.columns)).alias("document"))
 
 
+def dashboard_shards(bills: DataFrame, shard_bytes: int = 8_000_000, folder: str = "bills") -> tuple[DataFrame, DataFrame]:
+    """(files, manifest) of the dashboard's bills in their order, for more of them than one value holds: files are (path, body
+    as bytes), each a JSON list, for ``write_tree``; the manifest has a row per file: its number, path, bytes, bills and first id.
+
+    The bills are sorted by range over tasks. Where each one begins is a running sum of sizes, inside a task and over the tasks
+    before it; a file holds what begins in its span of ``shard_bytes``, so a task never has more of a file than that and one bill.
+    The lists of all files in a row are the list of all bills."""
+    order = ["_state", "session", "id"]
+    text = bills.select(F.coalesce("state", F.lit("")).alias("_state"), "session", "id", F.to_json(F.struct(*bills.columns)).alias("_json"))
+    placed = text.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_size", F.octet_length("_json") + 1))
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each task
+    parts = placed.groupBy("_part").agg(F.sum("_size").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    begins = F.col("_base") + F.sum("_size").over(inside) - F.col("_size")
+    cut = placed.join(F.broadcast(parts), "_part").withColumn("shard", F.floor(begins / shard_bytes))
+    body = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_json"))), lambda x: x["_json"]), ","), F.lit("]"))
+    each = cut.groupBy("shard").agg(body.alias("body"), F.count(F.lit(1)).alias("n_bills"), F.min_by("id", "_at").alias("first_id"))
+    each = materialise(each.withColumn("path", F.format_string(f"{folder}/%06d.json", "shard")))
+    return each.select("path", F.encode("body", "UTF-8").alias("body")), each.select("shard", "path", F.octet_length("body").cast("long").alias("bytes"), "n_bills", "first_id")
+
+
 def feed_xml(items: DataFrame, title: str, link: str) -> DataFrame:
     """One RSS text of a limited feed's items (title, description, link, pub_date, guid, order)."""
     def tag(name: str, value: Column) -> Column:
@@ -174,10 +213,15 @@ def with_bill_key(df: DataFrame) -> DataFrame:
     return df.withColumn("bill_key", bill_key(F.col("state"), F.col("session_id"), F.col("identifier")))
 
 
+def file_system(spark, path: str):
+    """The file system of a path, and the path on it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def _commits(spark, path: str):
     """File system, folder of commits and the numbers committed so far."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, folder = file_system(spark, f"{path}/_commits")
     found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
     return files, folder, sorted(int(n) for n in found if n.isdigit())
 
@@ -188,6 +232,12 @@ def current_version(spark, path: str) -> str | None:
     return f"{path}/{spark.read.text(f'{folder}/{numbers[-1]:012d}').first()[0]}" if numbers else None
 
 
+def committed_versions(spark, path: str) -> list[str]:
+    """Names of a state table's versions in the order of their commits."""
+    _, folder, numbers = _commits(spark, path)
+    return [spark.read.text(f"{folder}/{n:012d}").first()[0] for n in numbers]
+
+
 def commit_state(df: DataFrame, path: str, version: str) -> None:
     """Write a new version of a state table, then commit it: a numbered file with its name, written apart and renamed
     into place, which is one step. Readers take the highest number, so they see the old version until then and never none."""

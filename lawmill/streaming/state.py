@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -126,6 +127,111 @@ def stream_dead_man(beats: DataFrame, hours: float = 6) -> DataFrame:
     return beats.groupBy("key").transformWithStateInPandas(DeadManProcessor(hours), f"key {kind}, last_seen timestamp, dead boolean", "Append", "ProcessingTime")
 
 
+class SilenceProcessor(StatefulProcessor):
+    """By event time: emits a key's ``dead`` at the end of each silence and ``back`` at the next beat."""
+
+    def __init__(self, hours: float):
+        self.millis = int(hours * 3_600_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, dead boolean")
+
+    def _rows(self, key, events: list[tuple[int, str]]) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]] * len(events), "at": pd.to_datetime([at for at, _ in events], unit="ms", utc=True), "state": [s for _, s in events]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, dead = self.last.get() if self.last.exists() else (None, False)
+        out = []
+        for at in sorted(int(at) for pdf in rows for at in pdf["ms"]):
+            if last is not None and at - last >= self.millis:
+                out += [] if dead else [(last + self.millis, "dead")]
+                out.append((at, "back"))
+            dead, last = False, at if last is None else max(last, at)
+        self.last.update((last, dead))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.millis)
+        if out:
+            yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, dead = self.last.get()
+        if not dead:
+            self.last.update((last, True))
+            yield self._rows(key, [(last + self.millis, "dead")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_silence(beats: DataFrame, hours: float = 6, late: str = "0 seconds") -> DataFrame:
+    """(key, at, state) from a stream of (key, at timestamp): ``dead`` when a key's beats have been missing for the hours, by the
+    stream's own time, ``back`` at the beat that ends it. Keys' beats come in order but for ``late``."""
+    kind = beats.schema["key"].dataType.simpleString()
+    timed = beats.select("key", "at", F.unix_millis("at").alias("ms")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(SilenceProcessor(hours), f"key {kind}, at timestamp, state string", "Append", "EventTime")
+
+
+def silences(beats: DataFrame, hours: float = 6) -> DataFrame:
+    """The batch twin of ``stream_silence`` over all beats there are."""
+    by = W.partitionBy("key").orderBy("at")
+    limit = F.make_dt_interval(hours=F.lit(int(hours)))
+    spans = beats.select("key", "at", F.lead("at").over(by).alias("next")).crossJoin(F.broadcast(beats.agg(F.max("at").alias("end"))))
+    silent = F.coalesce("next", "end") - F.col("at") >= limit
+    both = F.array(F.struct((F.col("at") + limit).alias("at"), F.lit("dead").alias("state")), F.struct(F.col("next").alias("at"), F.lit("back").alias("state")))
+    return spans.filter(silent).select("key", F.explode(both).alias("e")).filter("e.at IS NOT NULL").select("key", "e.at", "e.state")
+
+
+class ExpiringOrphanProcessor(StatefulProcessor):
+    """Orphans by event time: what isn't referred to for ``hours`` is given up, emitted as ``expired`` and forgotten; a bill that
+    arrived is forgotten as well then, without a row."""
+
+    def __init__(self, hours: float):
+        self.millis = int(hours * 3_600_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "arrived boolean, occurrences long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived, count, last = self.state.get() if self.state.exists() else (False, 0, None)
+        out = []
+        for at, kind in sorted((int(at), kind) for pdf in rows for at, kind in zip(pdf["ms"], pdf["kind"])):
+            if last is not None and at - last >= self.millis:
+                out += [] if arrived else [(key[0], "expired", count)]
+                arrived, count = False, 0
+            if kind == "bill":
+                out += [(key[0], "resolved", count)] if count and not arrived else []
+                arrived = True
+            else:
+                count += 1
+            last = at if last is None else max(last, at)
+        self.state.update((arrived, count, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.millis)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "status", "occurrences"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        arrived, count, _ = self.state.get()
+        self.state.clear()
+        if not arrived:
+            yield pd.DataFrame([(key[0], "expired", count)], columns=["key", "status", "occurrences"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_expiring_orphans(rows: DataFrame, hours: float, late: str = "0 seconds") -> DataFrame:
+    """(key, status, occurrences) from a stream of (key, kind, at timestamp): ``resolved`` when the bill of an orphan arrives,
+    ``expired`` when nothing has come for the hours, after which no state of the key is left."""
+    kind = rows.schema["key"].dataType.simpleString()
+    timed = rows.select("key", "kind", "at", F.unix_millis("at").alias("ms")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(ExpiringOrphanProcessor(hours), f"key {kind}, status string, occurrences long", "Append", "EventTime")
+
+
 def stream_tags(texts: DataFrame, defs: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("doc_id",)) -> None:
     """Score a stream of texts and keep the results under ``path``: one folder per batch, replaced if the batch is
     run again, so that each text and tag is there once. The keys met before are the stream's state, so texts scored

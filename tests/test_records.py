@@ -147,4 +147,4 @@ def test_cursors_and_state_commit(spark, tmp_path):
     old = spark.createDataFrame([("b", 1)], "k string, watermark long")
     taken = sweep.ship(marks, marks, old, ["k"], lambda df: df.filter("k = 'a'"))
     assert sorted((r["k"], r["watermark"]) for r in taken.collect()) == [("a", 5), ("b", 1)]
-    assert sweep.unchanged("1", "1") and sweep.sweep_outcome(3, 1) == "degraded"
+    assert sinks.committed_versions(spark, path) == ["v1", "v2"]
