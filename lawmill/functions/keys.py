@@ -44,9 +44,7 @@ def jurisdiction_code(jurisdiction: Column, fallback: Column | None = None, name
 
 def jurisdiction_name(name: Column, code: Column) -> Column:
     """The given name, else by code, else the code in upper case or ``?``."""
-    known = F.lit(None).cast("string")
-    for key, value in STATE_NAMES.items():
-        known = F.when(code == key, value).otherwise(known)
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in STATE_NAMES.items() for x in pair)), code)
     return F.coalesce(F.nullif(name, F.lit("")), known, F.upper(code), F.lit("?"))
 
 

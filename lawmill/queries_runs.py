@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 import warnings
+import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lawmill import sinks
@@ -13,6 +16,7 @@ from lawmill.operators import health, joins
 from lawmill.plans import sweep
 from lawmill.registry import query
 from lawmill.session import checkpoint_dir
+from lawmill.sources import records
 from lawmill.sources.tables import table
 from lawmill.streaming import shipping
 from lawmill.streaming import state as streams
@@ -208,6 +212,28 @@ def dashboard_shards(spark, sf):
     return manifest.join(read, "path").drop("path")
 
 
+@query("archive_members", "SELECT 'all' AS run, 'm' || s_nationkey || '.txt' AS file, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::BIGINT AS line_no, s_name AS line FROM supplier WHERE s_nationkey % 4 > 0 UNION ALL SELECT DISTINCT 'all', 'm' || s_nationkey || '.txt', NULL::BIGINT, NULL FROM supplier WHERE s_nationkey % 4 = 0")
+def archive_members(spark, sf):
+    """One archive with a member for each nation's suppliers, read by member; the bytes of every fourth member are spoilt."""
+    by = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("rows"))
+    members = by.select(F.concat(F.lit("m"), "s_nationkey", F.lit(".txt")).alias("file"), F.array_join(F.transform("rows", lambda r: r["s_name"]), "\n").alias("text"), (F.col("s_nationkey") % 4 == 0).alias("bad"))
+
+    def zipped(key, rows: pd.DataFrame) -> pd.DataFrame:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file, text in zip(rows["file"], rows["text"]):
+                archive.writestr(file, text)
+        data = bytearray(buffer.getvalue())
+        for file in rows["file"][rows["bad"]]:
+            at = archive.getinfo(file).header_offset + 30 + len(file)
+            data[at : at + 4] = b"\xff\xff\xff\xff"
+        return pd.DataFrame({"path": ["all.zip"], "body": [bytes(data)]})
+
+    root = _folder(spark, "archive")
+    sinks.write_tree(members.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(zipped, "path string, body binary"), root)
+    return records.read_run_archives(spark, root, whole_bytes=0)
+
+
 @query("join_with_unknown", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def join_with_unknown(spark, sf):
     """A data set that isn't there is warned of; the others are joined."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lawmill import schemas
 from lawmill.functions.keys import path_info, session_of
 from lawmill.functions.times import log_timestamp
+from lawmill.sources import archives
 
 #: What a broken, cut off, encrypted or oddly packed archive raises.
 UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError, KeyError)
@@ -139,13 +140,14 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_run_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_run_archives(spark: SparkSession, path: str, whole_bytes: int = 16 << 20) -> DataFrame:
     """(run, file, line_no, line) of the top-level text files of zipped run logs. A file that can't be read (broken,
-    encrypted, of an unknown method) gives one null line, and so does a broken archive; the others go on."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    encrypted, of an unknown method) gives one null line, and so does a broken archive; the others go on.
 
-    def broken(run: str, file: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"run": [run], "file": [file], "line_no": [None], "line": [None]}).astype({"line_no": "Int64"})
+    Archives of up to ``whole_bytes`` come as values; larger ones are read by member (``archives``), where a member packed in
+    another way than deflate can't be read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+    files = found.filter(F.col("length") <= whole_bytes).select("path", "content")
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,17 +157,20 @@ def read_run_archives(spark: SparkSession, path: str) -> DataFrame:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                     names = sorted(n for n in archive.namelist() if n.endswith(".txt") and "/" not in n)
                 except UNREADABLE:
-                    yield broken(run, None)
+                    yield archives.frame(run, None, 0, None)
                     continue
                 for file in names:
                     try:
                         lines = archive.read(file).decode("utf-8", "replace").splitlines()
                     except UNREADABLE:
-                        yield broken(run, file)
+                        yield archives.frame(run, file, 0, None)
                         continue
-                    yield pd.DataFrame({"run": run, "file": file, "line_no": range(len(lines)), "line": lines})
+                    if lines:
+                        yield archives.frame(run, file, 0, lines)
 
-    return files.mapInPandas(unzip, "run string, file string, line_no long, line string")
+    small = files.mapInPandas(unzip, archives.LINES)
+    large = found.filter(F.col("length") > whole_bytes).select("path")
+    return small.unionByName(archives.read_by_member(spark, large))
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:

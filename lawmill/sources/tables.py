@@ -11,7 +11,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan dealt to all cores where its files give fewer tasks than there are cores (a single row group, say), for work that
+    """A scan dealt to all cores where its files give tasks for less than half of them (a single row group, say), for work that
     costs more than moving the rows; any larger scan as it is, without a shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
