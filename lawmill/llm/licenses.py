@@ -7,6 +7,11 @@ matched against ordered rules. A rule names a sequence of identifiers that must
 sentence between them; rules are tried in order and each known sentence serves one rule only. "All rights reserved"
 right before a licence's first sentence belongs to that licence.
 
+A known sentence inside a longer one doesn't count. Licences are also known by tag lines
+(``SPDX-License-Identifier: <id>``) and by their names behind "licensed under" and the like; these sentences are made from
+``NAMES`` by ``named_sentences``. A sentence that says that something is not under a licence (``NEGATIONS``) is known as
+``negated`` and names none.
+
 Defined results: null or empty text, and one without a known sentence, gives an empty list and the verdict ``none``;
 very long texts are scanned whole; of equal rules in one text the first place counts; repeated rows are scanned each; an
 empty table gives an empty table; the four result columns are replaced where they exist, others may have any names. Every
@@ -16,9 +21,13 @@ are constants of the code, so their size is bounded.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawmill.llm.arrays import once
+
 #: Known licence sentences, or the part that does not vary, in normal form and their identifiers. Fixed values.
 SENTENCES = {
     "under the apache license version 2 0": "apache-2.0-notice",
@@ -73,10 +82,70 @@ SENTENCES = {
     "creative commons attribution share alike 4 0 international": "cc-by-sa-4.0-notice",
     "creative commons attribution noncommercial 4 0 international": "cc-by-nc-4.0-notice",
     "creative commons attribution noncommercial sharealike 4 0 international": "cc-by-nc-sa-4.0-notice",
+    "creative commons attribution noderivatives 4 0 international": "cc-by-nd-4.0-notice",
+    "creative commons attribution noncommercial noderivatives 4 0 international": "cc-by-nc-nd-4.0-notice",
     "cc0 1 0 universal": "cc0-notice",
     "dedicated to the public domain": "cc0-notice",
     "all rights reserved": "all-rights",
 }
+#: Identifier to the normal forms of a licence's SPDX identifier and of its names in running text. Fixed values.
+NAMES = {
+    "apache-2.0-notice": ("apache 2 0", "apache license 2 0", "apache license version 2 0", "apache license v2 0", "apache 2 0 license", "apache version 2 0"),
+    "mit-notice": ("mit", "mit license", "expat license"),
+    "mit-0-notice": ("mit 0",),
+    "bsd-2-notice": ("bsd 2 clause", "bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "freebsd license"),
+    "bsd-3-notice": ("bsd 3 clause", "bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "bsd license"),
+    "bsd-4-notice": ("bsd 4 clause", "bsd 4 clause license", "original bsd license"),
+    "0bsd-notice": ("0bsd", "bsd zero clause license", "zero clause bsd license"),
+    "isc-notice": ("isc", "isc license"),
+    "zlib-notice": ("zlib", "zlib license"),
+    "bsl-1.0-notice": ("bsl 1 0", "boost software license 1 0", "boost software license"),
+    "unlicense-notice": ("unlicense", "the unlicense"),
+    "wtfpl-notice": ("wtfpl", "do what the fuck you want to public license"),
+    "psf-notice": ("psf 2 0", "python 2 0", "psf license", "python software foundation license"),
+    "artistic-2.0-notice": ("artistic 2 0", "artistic license 2 0", "artistic license"),
+    "unicode-notice": ("unicode 3 0", "unicode dfs 2016", "unicode license v3", "unicode license"),
+    "gpl-2.0-notice": ("gpl 2 0", "gnu gpl v2", "gpl v2", "gplv2", "gnu gplv2", "gnu gpl version 2", "gpl version 2"),
+    "gpl-3.0-notice": ("gpl 3 0", "gnu gpl v3", "gpl v3", "gplv3", "gnu gplv3", "gnu gpl version 3", "gpl version 3"),
+    "lgpl-2.1-notice": ("lgpl 2 1", "gnu lgpl v2 1", "lgpl v2 1", "lgplv2 1"),
+    "lgpl-3.0-notice": ("lgpl 3 0", "gnu lgpl v3", "lgpl v3", "lgplv3"),
+    "agpl-3.0-notice": ("agpl 3 0", "gnu agpl v3", "agpl v3", "agplv3"),
+    "mpl-2.0-title": ("mpl 2 0", "mpl v2 0", "mozilla public license 2 0"),
+    "epl-2.0-notice": ("epl 2 0", "epl v2 0"),
+    "cc0-notice": ("cc0 1 0", "cc0"),
+    "cc-by-4.0-notice": ("cc by 4 0",),
+    "cc-by-sa-4.0-notice": ("cc by sa 4 0",),
+    "cc-by-nc-4.0-notice": ("cc by nc 4 0",),
+    "cc-by-nd-4.0-notice": ("cc by nd 4 0",),
+    "cc-by-nc-sa-4.0-notice": ("cc by nc sa 4 0",),
+    "cc-by-nc-nd-4.0-notice": ("cc by nc nd 4 0",),
+}
+TAG = "spdx license identifier"
+LEADS = ("licensed under the", "licensed under", "licensed with the", "released under the", "released under", "distributed under the", "available under the", "covered by the", "subject to the")
+#: Names that need no word before them, as they are said of nothing else.
+PLAIN = ("gplv2", "gplv3", "gnu gpl v2", "gnu gpl v3", "gnu gplv2", "gnu gplv3", "lgplv3", "agplv3", "isc license", "apache 2 0 license", "bsd 2 clause license", "bsd 3 clause license", "wtfpl", "unicode license v3", "mozilla public license 2 0")
+#: A sentence with one of these says that something is not licensed so. Fixed values.
+NEGATIONS = tuple(
+    f"{word} {verb} {tie}"
+    for word in ("not", "isn t", "aren t", "never", "no longer", "not be")
+    for verb, tie in (("licensed", "under"), ("released", "under"), ("distributed", "under"), ("available", "under"), ("covered", "by"), ("subject", "to"))
+)
+NEGATED = "negated"
+
+
+def named_sentences() -> dict[str, str]:
+    """Sentences made of the names: tag lines, and names behind words that license something."""
+    found = {}
+    for name, forms in NAMES.items():
+        found |= {f"{TAG} {forms[0]}": name}
+        for form in forms:
+            found |= {f"{lead} {form}": name for lead in LEADS}
+            if form in PLAIN:
+                found[form] = name
+    return found
+
+
+KNOWN = named_sentences() | SENTENCES
 #: Ordered rules: name, sequence of identifiers, class. Fixed values; earlier rules win.
 RULES = (
     ("Apache-2.0", ("apache-2.0-notice", "apache-2.0-comply", "license-copy", "apache-2.0-as-is", "apache-2.0-see"), "permissive"),
@@ -117,6 +186,20 @@ RULES = (
     ("MPL-2.0", ("mpl-2.0-title",), "copyleft"),
     ("EPL-2.0", ("epl-2.0-notice",), "copyleft"),
     ("BSL-1.0", ("bsl-1.0-notice",), "permissive"),
+    ("MIT-0", ("mit-0-notice",), "permissive"),
+    ("BSD-2-Clause", ("bsd-2-notice",), "permissive"),
+    ("BSD-3-Clause", ("bsd-3-notice",), "permissive"),
+    ("BSD-4-Clause", ("bsd-4-notice",), "permissive"),
+    ("0BSD", ("0bsd-notice",), "permissive"),
+    ("ISC", ("isc-notice",), "permissive"),
+    ("Zlib", ("zlib-notice",), "permissive"),
+    ("Unlicense", ("unlicense-notice",), "permissive"),
+    ("WTFPL", ("wtfpl-notice",), "permissive"),
+    ("PSF-2.0", ("psf-notice",), "permissive"),
+    ("Artistic-2.0", ("artistic-2.0-notice",), "permissive"),
+    ("Unicode-3.0", ("unicode-notice",), "permissive"),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4.0-notice",), "restricted"),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4.0-notice",), "restricted"),
     ("Unlicense", ("unlicense-grant",), "permissive"),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4.0-notice",), "restricted"),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",), "restricted"),
@@ -127,37 +210,72 @@ RULES = (
 ALL_RIGHTS = "all-rights"
 #: The rules as they are tried: each first with "all rights reserved" before it, that sentence alone last.
 ORDERED = (*(r for name, ids, kind in RULES for r in ((name, (ALL_RIGHTS, *ids), kind), (name, ids, kind))), ("Proprietary", (ALL_RIGHTS,), "restricted"))
-#: Every known sentence holds one of these words, so a sentence without any needs no look-up.
-ANCHORS = ("licen", "reserved", "permission", "warranty", "redistribut", "copyright", "public domain", "provided", "universal", "creative commons", "misrepresented", "mpl", "advertising", "endorse")
+#: Every known sentence holds one of these letters, so a text or sentence without any needs no look-up.
+ANCHORS = ("licen", "reserved", "permission", "warranty", "redistribut", "copyright", "domain", "provided", "universal", "commons", "misrepresented", "mpl", "advertising", "endorse", "gpl", "wtf", "released under", "distributed under", "available under", "covered by", "subject to")
 #: A stop and the white space behind it end a sentence, and so does a line without a letter or digit.
 STOP, PART = r"([.!?;:])[ \t\r\n\f\x0B]+", r"\n[^\p{L}\p{N}\n]*\n"
+TAG_LINE = r"(?i)(spdx-license-identifier):"
 MATCHES = "array<struct<at:int,rule:int,name:string,kind:string>>"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
-assert all(any(a in s for a in ANCHORS) for s in SENTENCES)
+assert all(any(a in s for a in ANCHORS) for s in KNOWN)
 
 
-def anchor_pattern() -> str:
-    return "(?i)" + "|".join(a.replace(" ", r"[^\p{L}\p{N}]+") for a in ANCHORS)
+def anchored(low: Column) -> Column:
+    """Whether a lower-cased text holds an anchor. Words of an anchor may stand on two lines, so its first word is looked for."""
+    found = F.lit(False)
+    for word in dict.fromkeys(a.split()[0] for a in ANCHORS):
+        found = found | low.contains(word)
+    return found
+
+
+def key_words() -> dict[str, list[str]]:
+    """Known sentences by the word of each that the fewest others hold."""
+    counts: dict[str, int] = {}
+    for sentence in KNOWN:
+        for word in set(sentence.split()):
+            counts[word] = counts.get(word, 0) + 1
+    found: dict[str, list[str]] = {}
+    for sentence in KNOWN:
+        found.setdefault(min(sentence.split(), key=lambda w: (counts[w], w)), []).append(sentence)
+    return found
 
 
 def sentences(text: Column) -> Column:
-    """Array of the sentences of a text."""
-    return F.split(F.regexp_replace(text, STOP, "$1\n\n"), PART, -1)
+    """Array of the sentences of a text. A tag line's colon ends none."""
+    return F.split(F.regexp_replace(F.regexp_replace(text, TAG_LINE, "$1 "), STOP, "$1\n\n"), PART, -1)
+
+
+def _constant(value, kind: str) -> Column:
+    """A constant of many parts as one expression, which Spark works out once when it plans."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def known_sentences(text: Column) -> Column:
     """Array of identifiers of the known sentences of a text, in order."""
-    anchor = anchor_pattern()
-    known = F.array(*(F.struct(F.lit(f" {s} ").alias("sentence"), F.lit(i).alias("id")) for s, i in SENTENCES.items()))
+    own = [{"word": f" {word} ", "own": [{"sentence": f" {x} ", "id": KNOWN[x]} for x in some]} for word, some in key_words().items()]
+    known = _constant(own, "array<struct<word:string,own:array<struct<sentence:string,id:string>>>>")
+    denials = _constant([f" {n} " for n in NEGATIONS], "array<string>")
+
+    def ids(plain: Column) -> Column:
+        tried = F.flatten(F.transform(F.filter(known, lambda k: F.instr(plain, k["word"]) > 0), lambda k: k["own"]))
+        places = F.transform(tried, lambda k: F.struct(F.instr(plain, k["sentence"]).alias("at"), F.length(k["sentence"]).alias("n"), k["id"].alias("id")))
+        found = F.array_sort(F.filter(places, lambda p: p["at"] > 0))
+
+        def named(hits: Column) -> Column:
+            inside = lambda p, q: (q["at"] <= p["at"]) & (q["at"] + q["n"] >= p["at"] + p["n"]) & (q["n"] > p["n"])
+            first = F.filter(hits, lambda p: ~F.exists(hits, lambda q: inside(p, q)))
+            negated = (F.size(hits) > 0) & F.exists(denials, lambda n: F.instr(plain, n) > 0)
+            return F.when(negated, F.array(F.lit(NEGATED))).otherwise(F.transform(first, lambda p: p["id"]))
+
+        return once(found, named)
 
     def held(sentence: Column) -> Column:
         plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " ")), F.lit(" "))
-        places = F.transform(known, lambda k: F.struct(F.instr(plain, k["sentence"]).alias("at"), k["id"].alias("id")))
-        return F.transform(F.array_sort(F.filter(places, lambda p: p["at"] > 0)), lambda p: p["id"])
+        return once(plain, ids)
 
-    found = F.flatten(F.transform(F.filter(sentences(text), lambda s: s.rlike(anchor)), held))
-    return F.when(text.rlike(anchor), found).otherwise(F.array().cast("array<string>"))
+    found = F.flatten(F.transform(F.filter(sentences(text), lambda s: anchored(F.lower(s))), held))
+    return F.when(anchored(F.lower(text)), found).otherwise(F.array().cast("array<string>"))
 
 
 def rule_pattern(sequence: tuple[str, ...]) -> str:
@@ -166,12 +284,8 @@ def rule_pattern(sequence: tuple[str, ...]) -> str:
 
 def match_rules(ids: Column) -> Column:
     """Array of (at, rule, name, kind) in text order of where each rule first matches."""
-    rules = F.array(
-        *(
-            F.struct(F.lit(rule_pattern(ids)).alias("pattern"), F.lit(n).alias("rule"), F.lit(name).alias("name"), F.lit(kind).alias("kind"))
-            for n, (name, ids, kind) in enumerate(ORDERED)
-        )
-    )
+    rows = [{"pattern": rule_pattern(ids_of), "rule": n, "name": name, "kind": kind} for n, (name, ids_of, kind) in enumerate(ORDERED)]
+    rules = _constant(rows, "array<struct<pattern:string,rule:int,name:string,kind:string>>")
     text = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
     none = F.from_json(F.lit("[]"), MATCHES)
 
@@ -182,8 +296,10 @@ def match_rules(ids: Column) -> Column:
         found = F.when(at > 0, F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
         return F.struct(rest.alias("rest"), found.alias("found")).cast(f"struct<rest:string,found:{MATCHES}>")
 
+    # what isn't there at first isn't there later, as matches are only taken out
+    present = F.filter(rules, lambda r: F.instr(text, r["pattern"]) > 0)
     first = F.struct(text.alias("rest"), none.alias("found")).cast(f"struct<rest:string,found:{MATCHES}>")
-    return F.array_sort(F.aggregate(rules, first, step, lambda acc: acc["found"]))
+    return F.array_sort(F.aggregate(present, first, step, lambda acc: acc["found"]))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

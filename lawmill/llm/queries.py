@@ -213,7 +213,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    known = ", ".join(f"(' {sentence} ', '{name}')" for sentence, name in licenses.SENTENCES.items())
+    known = ", ".join(f"(' {sentence} ', '{name}')" for sentence, name in licenses.KNOWN.items())
+    denied = " OR ".join(f"contains(s, ' {n} ')" for n in licenses.NEGATIONS)
     patterns = [licenses.rule_pattern(ids) for _, ids, _ in licenses.ORDERED]
     rests = ", ".join(f"replace(r{n}, '{p}', repeat('#', {len(p)})) AS r{n + 1}" for n, p in enumerate(patterns))
     found = ", ".join(
@@ -224,12 +225,16 @@ def _op10_sql() -> str:
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents), cut AS (
   SELECT rn, unnest(ss) AS s, unnest(range(len(ss))) AS pos
-  FROM (SELECT rn, regexp_split_to_array(regexp_replace(text, '{licenses.STOP}', '' || chr(10) || chr(10), 'g'), '{licenses.PART}') AS ss FROM docs)
+  FROM (SELECT rn, regexp_split_to_array(regexp_replace(regexp_replace(text, '{licenses.TAG_LINE}', '\1 ', 'g'), '{licenses.STOP}', '\1' || chr(10) || chr(10), 'g'), '{licenses.PART}') AS ss FROM docs)
 ), plain AS (
   SELECT rn, pos, ' ' || trim(regexp_replace(lower(s), '{licenses.NOT_WORD}', ' ', 'g')) || ' ' AS s FROM cut
+), hits AS (
+  SELECT rn, pos, s, id, instr(s, sentence) AS place, length(sentence) AS n FROM plain JOIN (VALUES {known}) AS known(sentence, id) ON contains(s, sentence)
 ), ids AS (
-  SELECT rn, list(id ORDER BY pos, instr(s, sentence), id) AS ids
-  FROM plain JOIN (VALUES {known}) AS known(sentence, id) ON instr(s, sentence) > 0 GROUP BY rn
+  SELECT rn, list(id ORDER BY pos, place) AS ids FROM (
+    SELECT DISTINCT rn, pos, CASE WHEN {denied} THEN 0 ELSE place END AS place, CASE WHEN {denied} THEN '{licenses.NEGATED}' ELSE id END AS id FROM (
+      SELECT * FROM hits p WHERE NOT EXISTS (
+        SELECT 1 FROM hits q WHERE q.rn = p.rn AND q.pos = p.pos AND q.place <= p.place AND q.place + q.n >= p.place + p.n AND q.n > p.n))) GROUP BY rn
 ), steps AS (
   SELECT rn, ids, ' ' || array_to_string(ids, '  ') || ' ' AS r0, {rests} FROM ids
 ), matches AS (

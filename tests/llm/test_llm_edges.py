@@ -413,6 +413,19 @@ def test_standard_license_texts(spark):
     assert [(r["want"], ",".join(r["licenses"])) for r in got] == [(r["want"], r["want"]) for r in got]
 
 
+def test_license_names_tags_and_negations(spark):
+    want = {
+        "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0", "SPDX-License-Identifier: MIT-0": "MIT-0",
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause", "Licensed under the GPLv3.": "GPL-3.0", "GNU GPL v3": "GPL-3.0", "ISC License": "ISC", "Apache 2.0 license": "Apache-2.0",
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "This is WTFPL.": "WTFPL", "Released under the PSF License": "PSF-2.0", "Distributed under the Artistic License 2.0": "Artistic-2.0", "Licensed under the Unicode License v3": "Unicode-3.0",
+        "This is not licensed under the MIT License.": "", "It isn't released under the BSD license": "", "No longer distributed under the GPLv3": "", "We admit limits. Not licensed.": "", "mit": "", "under the bridge": "",
+        "Available under the\n  MIT License, not under another.": "MIT", "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0", "SPDX-License-Identifier: 0BSD": "0BSD", "released\nunder the BSD 2-clause license": "BSD-2-Clause",
+    }
+    got = {r["text"]: r for r in licenses.scan_licenses(spark.createDataFrame([(k,) for k in want], "text string")).collect()}
+    assert {k: ",".join(r["licenses"]) for k, r in got.items()} == want
+    assert got["This is not licensed under the MIT License."]["license_verdict"] == "unknown"
+
+
 def test_license_files_of_the_system(spark):
     import os
 
