@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lawmill import sinks
 from lawmill.functions import keys, text
-from lawmill.operators import health, joins
+from lawmill.operators import health, joins, rules
 from lawmill.plans import sweep
 from lawmill.registry import query
 from lawmill.session import checkpoint_dir
@@ -297,3 +297,40 @@ def overlap_bands(spark, sf):
     chars = rows.filter("l_returnflag <> 'A'").select("page", F.col("l_quantity").alias("c_x0"), (F.col("l_quantity") + 1).alias("c_x1"), F.col("top").alias("c_top"), (F.col("top") + 4 + F.col("l_linenumber")).alias("c_bottom"))
     out = joins.overlapping(marks, chars, ["page"])
     return out.groupBy(F.col("mark_id").alias("id")).agg(F.max(F.col("hit").cast("int")).alias("hit"))
+
+
+PHRASES = (
+    "(H) FIN, JUD", "(H) FIN, JUD and many more", "(S) L&C,", "Minutes (HFIN)", "Heard & Held", "READ THE FIRST TIME - REFERRALS", "FN1: ZERO(COR)", "FN2: (DOT)", "NR: x", "Prefile released 1/8/25",
+    "Referred to Com. on RLS.", "Introduced.", "Introduced. Later", "Read second time. Ordered to third reading.", "Set for hearing May 3", "June 3 set for first hearing", "June 3", "From printer. May be heard in committee May 1.",
+    "Added Co-Sponsor Rep. X", "Added Alternate Co-Sponsor Rep. Y", "Referred to Rules Committee", "Filed with Secretary by X", "Filed with the Clerk by Y", "Referred to Assignments", "Rule 2-10 Deadline", "Sponsor Removed Z",
+    "Filed", "Filed later", "Referred to Judiciary", "Now in Rules", "On Committee agenda-- 3/1", "Added to Judiciary agenda", "Added to list",
+    "H Introduced and Referred to H02", "S Introduced and Referred to S03", "Bill Number Assigned", "H Placed on General File", "S Placed on General File", "S President Signed HEA 1", "Pursuant to JR 14-1", "Signed by Governor", "",
+)
+
+
+def _five_locales_sql() -> str:
+    listed = ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES)
+    return f"""WITH l AS (SELECT event_id, (['ak', 'ca', 'fl', 'il', 'wy', 'dc'])[user_id % 6 + 1] AS state, ([{listed}])[event_id % {len(PHRASES)} + 1] AS d,
+              CASE event_id % 7 WHEN 0 THEN 'filing' WHEN 1 THEN 'referral-committee' WHEN 2 THEN 'introduction' ELSE 'passage' END AS c FROM events)
+       SELECT event_id, state FROM l WHERE NOT CASE state
+         WHEN 'ak' THEN c IN ('filing', 'referral-committee') OR (d LIKE '(H) %' AND strlen(d) < 20 AND d LIKE '%,%') OR (d LIKE '(S) %' AND strlen(d) < 20 AND d LIKE '%,%') OR d LIKE '%Minutes%' OR d LIKE '%Heard & Held%'
+           OR d = 'READ THE FIRST TIME - REFERRALS' OR (d LIKE 'FN%' AND d LIKE '%: ZERO%') OR d LIKE 'NR:%' OR d LIKE '%Prefile released%'
+         WHEN 'ca' THEN c = 'referral-committee' OR d LIKE 'Referred to Com. on%' OR d = 'Introduced.' OR d = 'Read second time. Ordered to third reading.' OR d LIKE 'Set for hearing%' OR (d LIKE 'June %' AND d LIKE '%set for first hearing%')
+           OR d LIKE 'From printer. May be heard in committee%'
+         WHEN 'fl' THEN c = 'filing' OR d = 'Filed' OR d LIKE 'Referred to%' OR d LIKE 'Now in%' OR d LIKE 'On Committee agenda%' OR (d LIKE '%Added to%' AND d LIKE '%agenda%')
+         WHEN 'il' THEN c = 'filing' OR d LIKE 'Added Co-Sponsor%' OR d LIKE 'Added Alternate Co-Sponsor%' OR d = 'Referred to Rules Committee' OR d LIKE 'Filed with Secretary by%' OR d LIKE 'Filed with the Clerk by%'
+           OR d = 'Referred to Assignments' OR d LIKE 'Rule 2-10%' OR d LIKE 'Sponsor Removed%'
+         WHEN 'wy' THEN c IN ('introduction', 'referral-committee') OR d LIKE 'H Introduced and Referred to%' OR d LIKE 'S Introduced and Referred to%' OR d = 'Bill Number Assigned' OR d = 'H Placed on General File' OR d = 'S Placed on General File'
+           OR d LIKE 'S President Signed%' OR d LIKE 'Pursuant to JR%'
+         ELSE false END"""
+
+
+@query("noise_of_five_locales", _five_locales_sql())
+def noise_of_five_locales(spark, sf):
+    """The package's rules of five locales; their SQL is written out by hand."""
+    at = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    kind = F.col("event_id") % 7
+    classes = F.when(kind == 0, "filing").when(kind == 1, "referral-committee").when(kind == 2, "introduction").otherwise("passage")
+    logs = table(spark, sf, "events").select("event_id", at(("ak", "ca", "fl", "il", "wy", "dc"), F.col("user_id") % 6).alias("state"), at(PHRASES, F.col("event_id") % len(PHRASES)).alias("d"), F.array(classes).alias("c"))
+    kept = rules.filter_noise(logs, rules.default_rule_sets(), "state", F.col("d"), F.col("c"))
+    return kept.select("event_id", "state")
