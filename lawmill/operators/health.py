@@ -138,11 +138,11 @@ def metric_lines(samples: DataFrame, measurement: str, tags: Sequence[str], ts_n
     return samples.withColumn("line", line).filter(F.col("line").isNotNull())
 
 
-def log_streams(lines: DataFrame, labels: Sequence[str], ns: str, line: str, metadata: str | None = None, span_ns: int | None = None) -> DataFrame:
+def log_streams(lines: DataFrame, labels: Sequence[str], ns: str, line: str, metadata: str | None = None, span_ns: int | None = 3_600_000_000_000) -> DataFrame:
     """One row per label set with its values in time order as JSON; sets with a bad label are left out.
 
-    With ``span_ns`` a set's values are cut into rows of so much time (``span`` numbers them), which bounds a row
-    where one label set holds much of the log."""
+    A set's values are cut into rows of ``span_ns`` of time (an hour; ``span`` numbers them), which bounds a row where one
+    label set holds much of the log. None makes one row of a set."""
     good = F.lit(True)
     for label in labels:
         good = good & F.col(label).isNotNull() & ~F.col(label).cast("string").rlike(r"[\r\n]")
