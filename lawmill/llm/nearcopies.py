@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawmill.llm.components import connected_components
+from lawmill.llm.memory import give_back
 from lawmill.session import materialise, small
 
 WORDS = 5
@@ -53,8 +54,8 @@ SEGMENTS, BITS, CHAIN = 129, 20, 3  # CHAIN segments are compared after the shar
 BUDGET = 4  # differing bits a segment, a fifth
 PLACES = 4096
 SALTS = 32
-BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 2_500  # of a block of a family
-PAIRS_AT_ONCE = 2_000_000
+BLOCK_SHINGLES, BLOCK_ROWS = 300_000, 2_000  # of a block of a family
+PAIRS_AT_ONCE = 1_000_000
 MARKS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("ring", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("ring", T.ArrayType(T.LongType()))])
 _random = np.random.default_rng(5)
@@ -97,6 +98,7 @@ def marks(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts[at : at + 64]]
         digests += [hashlib.md5(s.tobytes()).digest() for s in sets]
         found += list(rings(sets))
+    give_back()
     return pd.DataFrame({"digest": pd.Series(digests, dtype=object), "ring": pd.Series(found, dtype=object)})
 
 
@@ -176,6 +178,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held = [batch.slice(last)]
     if held:
         yield links_of(held)
+        held.clear()
+    give_back()
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
@@ -217,11 +221,15 @@ def _shared(rows: list[np.ndarray], first: int) -> np.ndarray:
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     _, code, holders = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     often = holders >= max(16, n // 16)
-    dense = np.zeros((n, int(often.sum())), np.float32)
-    place = np.cumsum(often) - 1
-    hot = often[code]
-    dense[owner[hot], place[code[hot]]] = 1
-    shared = np.rint(dense[:first] @ dense[others].T).astype(np.int32).ravel()
+    hot, place = often[code], (np.cumsum(often) - 1)[code]
+    shared = np.zeros((first, len(others)), np.float32)  # whole numbers, exact
+    wide = max(1, PAIRS_AT_ONCE // n)
+    for at in range(0, int(often.sum()), wide):
+        own = hot & (place >= at) & (place < at + wide)
+        dense = np.zeros((n, wide), np.float32)
+        dense[owner[own], place[own] - at] = 1
+        shared += dense[:first] @ dense[others].T
+    shared = shared.astype(np.int32).ravel()
     some = ~hot & (holders[code] > 1)
     code, owner = code[some], owner[some]
     by = np.lexsort((owner, code))
@@ -299,6 +307,8 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets.append(values[offsets[at] : offsets[at + 1]].copy())
     if len(nodes) > 1:
         yield links()
+    sets.clear()
+    give_back()
 
 
 def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:

@@ -36,11 +36,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lawmill.llm.memory import give_back
+
 BLANK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE_BYTES = 1_200_000
 REMEMBERED = 150_000
-LEARN_CHARS = 400_000
+LEARN_CHARS = 150_000
 LONG = 64
 VERY_LONG = 2_000
 FEW = 12
@@ -427,6 +429,8 @@ def _with(df: DataFrame, columns: dict[str, T.DataType], make) -> DataFrame:
         for batch in batches:
             for part, arrays in slicer(batch):
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *arrays], [*names, *columns])
+        del slicer
+        give_back()
 
     return df.mapInArrow(run, schema)
 

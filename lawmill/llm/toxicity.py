@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lawmill.llm.memory import give_back
 from lawmill.session import materialise, small
 
 SAMPLE_ROWS = 2500
@@ -221,5 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(
                 {"severity": over.sum(axis=1), "grade": each.argmax(axis=1).astype(np.int32), "toxic_probability": over[:, 0]}
             )
+        known.clear()
+        give_back()
 
     return docs.withColumn("toxicity", scores(F.col("text")))
