@@ -349,12 +349,16 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     sets = texts.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), shingle_sets("text").alias("s"))
     sets = materialise(sets.select("node", "s.*"))
     done = materialise(similar(materialise(first_links(links)), sets))
-    roots, families = connected_components(done), connected_components(links)
-    known = families.select("node", F.col("root").alias("family")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = materialise(known)
-    split = known.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("family")
-    members = known.join(split, "family", "left_semi")
-    if not members.isEmpty():
-        roots = connected_components(done.unionByName(family_links(members, sets)))
+    roots = connected_components(done)
+    # what is left to search: links between different groups, and the families that they make of groups
+    rest = links.select("a", "b")
+    for end in ("a", "b"):
+        root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        rest = rest.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    rest = materialise(rest.filter("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    if not rest.isEmpty():
+        families = connected_components(rest).select(F.col("node").alias("root"), F.col("root").alias("family"))
+        groups = roots.select("node", "root").unionByName(families.select(F.col("root").alias("node"), "root")).distinct()
+        roots = connected_components(done.unionByName(family_links(groups.join(families, "root"), sets)))
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, "digest").select("doc_id", "component_id")
