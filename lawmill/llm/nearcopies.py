@@ -338,6 +338,16 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.mapInArrow(_searched, "a long, b long")
 
 
+def between(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of different groups that ``links`` connect, by their roots; a node without one is a group."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        ends = ends.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    pairs = ends.filter("root_a <> root_b")
+    return pairs.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
+
+
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs`` with a doc_id."""
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
@@ -351,14 +361,13 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     done = materialise(similar(materialise(first_links(links)), sets))
     roots = connected_components(done)
     # what is left to search: links between different groups, and the families that they make of groups
-    rest = links.select("a", "b")
-    for end in ("a", "b"):
-        root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        rest = rest.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    rest = materialise(rest.filter("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    rest = materialise(between(links, roots))
     if not rest.isEmpty():
         families = connected_components(rest).select(F.col("node").alias("root"), F.col("root").alias("family"))
-        groups = roots.select("node", "root").unionByName(families.select(F.col("root").alias("node"), "root")).distinct()
-        roots = connected_components(done.unionByName(family_links(groups.join(families, "root"), sets)))
+        groups = roots.unionByName(families.select(F.col("root").alias("node"), "root")).distinct()
+        # what the search finds joins groups, so components are of groups, not of all links again
+        joined = connected_components(between(family_links(groups.join(families, "root"), sets), roots))
+        whole = joined.select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        roots = groups.join(whole, "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, "digest").select("doc_id", "component_id")
