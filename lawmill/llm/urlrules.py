@@ -6,10 +6,12 @@ over the labelled urls' token sets plus a label token gives rules "tokens => blo
 labelled rows reaches the bound, and if no rule on fewer of its tokens does. A rule is filed in an inverted index
 under its rarest token; a url looks up its own tokens there and a rule fires if the url has all of the rule's tokens.
 
-What FP-growth sees is bounded, as each subset of a url's tokens may be frequent: tokens that fewer than ``MIN_COUNT``
-bad rows hold can't be in a rule and go; of tokens that the same labelled rows hold only the longest, the most
-specific one, stays; of the rest a url gives the ``MAX_TOKENS`` that part bad from good most. So n labelled urls have at
-most 2^12 sets each, whatever their length. Confidences are counted again on all tokens of all labelled urls.
+What FP-growth sees of a url is bounded, as each subset of a url's tokens may be frequent: tokens that fewer than
+``MIN_COUNT`` bad rows hold can't be in a rule and go; of tokens that the same labelled rows hold only the longest, the
+most specific one, stays; of the rest a url gives the ``MAX_TOKENS`` that part bad from good most. So n labelled urls have
+at most 2^12 sets each there, whatever their length. A rule that FP-growth can't see is held by a bad url with more
+tokens than that, and ``left_out_sets`` finds all of those level by level, so that no rule is lost. Confidences are
+counted again on all tokens of all labelled urls.
 
 Defined results: a null url or one without ``://`` has empty host and path and fits no rule; without labelled
 urls or with less than ``MIN_COUNT`` bad ones nothing is mined and the method allows; a null label is no label;
@@ -85,12 +87,12 @@ def url_tokens(url: Column) -> Column:
 
 
 def telling_tokens(rows: DataFrame, min_count: float) -> DataFrame:
-    """(token, score) from (row, bad, tokens): tokens of enough bad rows, one for each set of rows, by how much they part bad from good."""
+    """(token, held, score) from (row, bad, tokens): tokens of enough bad rows, one for each set of rows, by how much they part bad from good."""
     each = rows.select("row", "bad", F.explode("tokens").alias("token"))
     bad = F.sum(F.col("bad").cast("int")).alias("bad")
     held = each.groupBy("token").agg(bad, F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("row")).alias("same")).filter(F.col("bad") >= min_count)
     one = held.groupBy("bad", "held", "same").agg(F.max(F.struct(F.length("token").alias("n"), "token")).alias("one"))
-    return one.select("one.token", (F.col("bad") / F.col("held")).alias("score"))
+    return one.select("one.token", "held", (F.col("bad") / F.col("held")).alias("score"))
 
 
 def count_rules(rules: DataFrame, rows: DataFrame) -> DataFrame:
@@ -100,27 +102,74 @@ def count_rules(rules: DataFrame, rows: DataFrame) -> DataFrame:
     return hits.groupBy("items", "key").agg(F.sum(F.col("bad").cast("int")).alias("bad"), F.count(F.lit(1)).alias("held"))
 
 
+def left_out_sets(told: DataFrame, goods: int, least: float, min_confidence: float, max_tokens: int) -> DataFrame:
+    """(ids) of the sure sets of two tokens or more that a bad row with more than ``max_tokens`` tokens holds.
+
+    ``told`` is (row, bad, ranked), ranked an array of (by, n, token, id); ``goods`` counts the good rows. Sets grow by a
+    token a level. A set goes on only if it isn't sure yet and each token of it shuts out a good row that the others
+    let through: a token that shuts out none could be left out of a rule without making it less sure. Both hold for all
+    subsets of a minimal rule, so every minimal rule is reached, whatever its length. Rows that hold a set and go on
+    alike are counted as one, as in the fit's trees."""
+    unsure = F.filter("ranked", lambda t: -t["by"] < min_confidence)
+    bad = F.col("bad").cast("long")
+    wide = F.col("bad") & (F.size("ranked") > max_tokens)
+    each = told.select("row", bad.alias("bads"), (1 - bad).alias("good"), wide.alias("wide"), F.explode(F.transform(unsure, lambda t: t["id"])).alias("id"))
+    tally = (F.sum("bads").alias("bads"), F.sum("good").alias("good"), F.max("wide").alias("wide"))
+    first = materialise(each.groupBy("id").agg(*tally).filter(F.col("wide") & (F.col("good") < goods)))
+    kept = first.select(F.array("id").alias("ids"), "good")
+    rows = each.join(small(first.select("id")), "id", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("id")).alias("tail"), *(F.max(c).alias(c) for c in ("bads", "good", "wide")))
+    held = materialise(extended(rows.groupBy("tail").agg(*tally).withColumn("ids", F.array().cast("array<bigint>"))).groupBy("ids", "tail").agg(*tally))
+    found = first.select(F.array("id").alias("ids")).limit(0)
+    size = 1
+    while not kept.isEmpty():
+        size += 1
+        grown = materialise(extended(held).groupBy("ids", "tail").agg(*tally))
+        counted = grown.groupBy("ids").agg(*tally).filter(F.col("wide") & (F.col("bads") >= least))
+        parts = counted.select("ids", "bads", "good", F.explode(F.transform("ids", lambda out: F.array_remove("ids", out))).alias("part"))
+        parts = parts.join(small(kept.select(F.col("ids").alias("part"), F.col("good").alias("through"))), "part").filter(F.col("good") < F.col("through"))
+        whole = parts.groupBy("ids", "bads", "good").agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") == size)
+        whole = materialise(whole.withColumn("sure", F.col("bads") / (F.col("bads") + F.col("good")) >= min_confidence))
+        found = found.union(whole.filter("sure").select("ids"))
+        kept = whole.filter(~F.col("sure")).select("ids", "good")
+        held = grown.join(small(kept.select("ids")), "ids", "left_semi")
+    return found
+
+
+def extended(held: DataFrame) -> DataFrame:
+    """Each (ids, tail, bads, good, wide) with each id of its tail taken over into ids; the ids behind it are the new tail."""
+    each = held.select("*", F.posexplode("tail").alias("at", "id"))
+    tail = F.slice("tail", F.col("at") + 2, F.size("tail"))
+    return each.select(F.concat("ids", F.array("id")).alias("ids"), tail.alias("tail"), "bads", "good", "wide")
+
+
 def mine_rules(
     labelled: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, max_tokens: int = MAX_TOKENS
 ) -> DataFrame:
     """(rule_id, items, key, support, confidence) from (url, bad boolean). ``key`` is the rule's rarest token.
 
-    ``min_support``, a share of the labelled rows, applies besides ``min_count``."""
+    ``min_support``, a share of the labelled rows, applies besides ``min_count``. ``max_tokens`` parts the work between
+    FP-growth and ``left_out_sets``; the rules are the same for any value."""
     rows = labelled.filter(F.col("bad").isNotNull() & F.col("url").isNotNull()).select("bad", url_tokens(F.col("url")).alias("tokens"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     total = rows.count()
     least = max(min_count, min_support * total)
-    telling = small(materialise(telling_tokens(rows, least)))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), (-F.length("token")).alias("n"), "token")))
-    chosen = rows.select("row", F.explode("tokens").alias("token")).join(telling, "token").groupBy("row").agg(F.slice(ranked, 1, max_tokens).alias("best"))
-    items = F.transform("best", lambda t: t["token"])
-    sets = chosen.join(rows.select("row", "bad"), "row").select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items"))
-    sets = materialise(sets)
+    # ids from rare to common, so that rows go on alike soon in left_out_sets
+    telling = small(materialise(telling_tokens(rows, least).sort("held").withColumn("id", F.monotonically_increasing_id())))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), (-F.length("token")).alias("n"), "token", "id")))
+    told = materialise(rows.select("row", "bad", F.explode("tokens").alias("token")).join(telling, "token").groupBy("row", "bad").agg(ranked.alias("ranked")))
+    items = F.transform(F.slice("ranked", 1, max_tokens), lambda t: t["token"])
+    sets = told.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items"))
     # the share is of the sets; half a row less, so that rounding can't ask for one more
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, sets.count())), minConfidence=min_confidence).fit(sets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, told.count())), minConfidence=min_confidence).fit(sets)
     found = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).select(F.array_sort("antecedent").alias("items"))
-    counts = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    keyed = found.select("items", F.explode("items").alias("item")).join(counts, "item").groupBy("items").agg(F.min(F.struct("freq", "item")).alias("least"))
+    if not told.filter(F.col("bad") & (F.size("ranked") > max_tokens)).isEmpty():
+        goods = rows.filter(~F.col("bad")).count()
+        left = left_out_sets(told, goods, least, min_confidence, max_tokens).select("ids", F.explode("ids").alias("id")).join(telling, "id")
+        left = left.groupBy("ids").agg(F.sort_array(F.collect_list("token")).alias("items")).select("items")
+        single = telling.filter(F.col("score") >= min_confidence).select(F.array("token").alias("items"))
+        found = found.union(single).union(left).distinct()
+    counts = telling.select(F.col("token").alias("item"), "held")
+    keyed = found.select("items", F.explode("items").alias("item")).join(counts, "item").groupBy("items").agg(F.min(F.struct("held", "item")).alias("least"))
     counted = count_rules(small(materialise(keyed.select("items", F.col("least.item").alias("key")))), rows)
     sure = materialise(counted.withColumn("confidence", F.col("bad") / F.col("held")).filter((F.col("confidence") >= min_confidence) & (F.col("bad") >= least)))
     # a rule on more tokens than another says nothing new
