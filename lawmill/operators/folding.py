@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lawmill.functions.text import routine_line
-from lawmill.session import materialise
+from lawmill.session import materialise_unsized as materialise
 
 BLOCK = 4096
 

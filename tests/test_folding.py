@@ -72,3 +72,11 @@ def test_no_lines(spark):
     assert folding.fold_routine(spark.createDataFrame([], "run string, place int, line string"), "run", "place").count() == 0
     nulls = spark.createDataFrame([("a", 1, None), ("a", 2, "")], "run string, place int, line string")
     assert [r["fold"] for r in folding.fold_routine(nulls, "run", "place").collect()] == [None, None]
+
+
+def test_rounds_leave_the_plan_small(spark):
+    """Spark's estimate of a join is the product of both sides': were it kept from round to round, it would have thousands of digits."""
+    steps = spark.range(600).selectExpr("'a' AS k", "id AS n", "id + 1 AS to")
+    found = folding.reachable(spark.createDataFrame([("a", 0)], "k string, n long"), steps, ["k", "n"])
+    assert found.count() == 601
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
