@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawmill.operators.folding import running
+from lawmill.session import materialise
+
 BILL_KEY = ("state", "session_id", "bill_id")
 
 
@@ -153,6 +156,29 @@ def in_session(rows: DataFrame, sessions: DataFrame, state: str, day: str, bin_d
     return rows.withColumn("_bin", number(F.col(day))).join(filed, [state, "_bin"]).filter(held).drop("_bin")
 
 
+def count_in_sessions(rows: DataFrame, sessions: DataFrame, state: str, day: str) -> DataFrame:
+    """Sessions that hold some row of their state, with ``n``, the number of those rows, and ``first``, the first of their days.
+
+    The same rows and sessions meet as in ``in_session``, but as sums: rows are folded by state and day, carried sums count those up to
+    each day on which a session begins or ends, and the difference of two is a session's. So the work is in proportion to rows
+    and sessions, not to their pairs. Days, begins and ends are dates."""
+    number = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date"))
+    cells = rows.filter(F.col(day).isNotNull()).groupBy(F.col(state).alias("_state"), number(F.col(day)).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.filter(F.col("_state").isNotNull())
+    begin, end = number(F.col("start_date")) - 1, F.coalesce(number(F.col("end_date")), F.lit(2**31 - 1))
+    asked = sessions.filter(F.col("start_date").isNotNull() & F.col(state).isNotNull()).withColumns({"_begin": begin, "_end": end})
+    points = asked.select(F.col(state).alias("_state"), F.explode(F.array("_begin", "_end")).alias("_at"), F.lit(0).cast("long").alias("_n"))
+    folded = materialise(cells.unionByName(points).groupBy("_state", "_at").agg(F.sum("_n").alias("_n")))
+    summed = running(folded, "_state", "_at", counts={"_sum": F.col("_n")})
+    # the first day with rows behind a point: the reverse of a running last value
+    turned = summed.withColumn("_back", -F.col("_at").cast("long"))
+    known = running(turned, "_state", "_back", before={"_next": F.when(F.col("_n") > 0, F.col("_at"))})
+    at = lambda name: known.select("_state", F.col("_at").alias(f"_{name}"), F.col("_sum").alias(f"_{name}_sum"), *([F.col("_next")] if name == "begin" else []))
+    found = asked.withColumn("_state", F.col(state)).join(at("begin"), ["_state", "_begin"]).join(at("end"), ["_state", "_end"])
+    counted = found.withColumns({"n": F.col("_end_sum") - F.col("_begin_sum"), "first": F.date_add(F.lit("1970-01-01").cast("date"), F.col("_next"))})
+    return counted.filter("n > 0").select(*sessions.columns, "n", "first")
+
+
 def overlapping(marks: DataFrame, chars: DataFrame, keys: Sequence[str], slack: float = 2.0, band: float | None = None) -> DataFrame:
     """Marks with ``hit``: whether some character of the same page overlaps it sideways and stands within ``slack`` of it.
 

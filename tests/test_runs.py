@@ -8,7 +8,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from lawmill import sinks
+from lawmill import registry, sinks
 from lawmill.operators import health, joins
 from lawmill.plans import sweep
 from lawmill.streaming import shipping
@@ -30,6 +30,43 @@ def test_in_session_against_all_pairs(spark):
     assert joins.in_session(none, spark.createDataFrame(sessions, "state string, session int, start_date date, end_date date"), "state", "day").count() == 0
 
 
+def test_counts_in_sessions_against_all_pairs(spark):
+    rng = random.Random(4)
+    day = lambda n: DAY + dt.timedelta(days=n)
+    sessions = [(None if k % 23 == 0 else "a" if k % 3 else "b", k, day(rng.randrange(-900, 900)) if k % 19 else None, None if k % 7 == 0 else day(rng.randrange(-900, 1500))) for k in range(120)]
+    sessions += [("a", 900, dt.date(1, 1, 1), dt.date(9999, 12, 31)), ("c", 901, DAY, None), ("a", 902, day(5), day(5)), ("a", 902, day(5), day(5)), ("d", 903, day(40), day(40)), ("d", 904, day(41), None)]
+    rows = [(None if k % 29 == 0 else "a" if k % 2 else "b", day(rng.randrange(0, 600)) if k % 11 else None) for k in range(300)] + [("zz", DAY), ("a", day(5)), ("d", day(40)), ("d", day(40))]
+    made = spark.createDataFrame(rows, "state string, day date"), spark.createDataFrame(sessions, "state string, session int, start_date date, end_date date")
+    found = joins.count_in_sessions(*made, "state", "day").select("session", "n", "first").collect()
+    want = []
+    for state, session, a, b in sessions:
+        held = [d for st, d in rows if st and st == state and d and a and a <= d and (b is None or d <= b)]
+        want += [(session, len(held), min(held))] if held else []
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) > 50
+    assert joins.count_in_sessions(made[0].limit(0), made[1], "state", "day").count() == 0
+
+
+def _joined(plan):
+    """Rows that each join of an executed plan has made."""
+    if "Join" in plan.nodeName():
+        yield plan.metrics().get("numOutputRows").get().value()
+    inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
+    for k in range(plan.children().size()):
+        yield from _joined(plan.children().apply(k))
+    if inner is not None:
+        yield from _joined(inner)
+
+
+def test_sessions_and_orders_are_not_paired(spark, tmp_path):
+    """A thousand sessions that all hold ten thousand orders: no join makes rows by their product."""
+    spark.range(1000).selectExpr("id * 2400 AS c_custkey", "1 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(10_000).selectExpr("id * 3 AS o_custkey", "TIMESTAMP_NTZ '1992-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.all_queries()["sessions_of_orders"](spark, str(tmp_path))
+    got = [(r["n"], r["first"]) for r in found.collect()]
+    made = list(_joined(found._jdf.queryExecution().executedPlan()))
+    assert got == [(10_000, "1992-01-01")] * 1000 and made and max(made) <= 1000
+
+
 def test_grid_against_every_evaluation(spark):
     rng = random.Random(2)
     base = dt.datetime(2024, 1, 1)
