@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lawmill import schemas
 from lawmill.functions.keys import path_info, session_of
 from lawmill.functions.times import log_timestamp
-from lawmill.sources import archives
+from lawmill.sources import archives, listing
 
 #: What a broken, cut off, encrypted or oddly packed archive raises.
 UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError, KeyError)
@@ -54,8 +54,8 @@ def read_logs(spark: SparkSession, root: str, repos=None) -> DataFrame:
 
 
 def discover_log_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, relative, log_ts) of log files by listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("path", "length", "modificationTime")
+    """(path, relative, log_ts) of log files by listing alone, which tasks do: the driver holds none of the paths."""
+    files = listing.files_below(spark, root, ".json")
     return files.filter(F.col("path").contains("/logs/")).select(
         "path", F.regexp_replace("path", r"^.*?/(country:.*)$", "$1").alias("relative"), log_timestamp(F.col("path")).alias("log_ts")
     )

@@ -1,11 +1,14 @@
 import json
 import zipfile
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lawmill import schemas, sinks
 from lawmill.functions import keys, records, text, times
 from lawmill.plans import normalise, sweep, topic_feed
+from lawmill.sources import listing
 from lawmill.sources import records as src
 
 
@@ -88,6 +91,27 @@ def test_read_tree_to_feed(spark, tmp_path):
     assert xml.count("<item>") == 1
 
 
+@pytest.mark.parametrize("walk", [1, 3, 100])
+def test_tasks_list_what_spark_lists(spark, tmp_path, walk):
+    top = tmp_path / "a b%20c"
+    for name in ("x.json", "d/x.json", "d/e/f/g/y z.json", "d/e/é%.json", "country:us/state:wy/logs/1.json", "_h/x.json", ".h/x.json", "d/_x.json", "d/.x.json", "_k=1/x.json", "d/x.txt", "d/x.json.txt", "d/e/x.json._COPYING_", "_metadata/x.json", *(f"many/{k}/logs/{k}.json" for k in range(40))):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("{}")
+    (top / "empty").mkdir()
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    found = listing.files_below(spark, str(top), ".json", walk)
+    assert sorted(r["path"] for r in found.collect()) == sorted(r["path"] for r in read.load(str(top)).select("path").collect())
+    assert found.count() > 40 and listing.files_below(spark, str(top / "empty"), ".json", walk).count() == 0
+    assert [r["path"].rsplit("/", 1)[1] for r in listing.files_below(spark, f"{top}/d/e/f/g/*", ".json").collect()] == ["y z.json"]
+    with pytest.raises(AnalysisException):
+        listing.files_below(spark, str(top / "none"), ".json").count()
+
+
+def test_log_files_are_not_listed_on_the_driver(spark, tmp_path):
+    found = src.discover_log_files(spark, _tree(tmp_path))
+    assert found.inputFiles() == [] and found.count() == 3
+
+
 def test_action_logs_and_summary_views(spark, tmp_path):
     bills = src.read_bills(spark, _tree(tmp_path))
     keys_ = sorted(r["log_key"] for r in sinks.action_log_rows(bills).collect())
